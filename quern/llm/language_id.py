@@ -141,7 +141,7 @@ def _predict(model: Model, kept: list[str]):
                 part = batch.slice(at, 256)
                 counts = counts_of(part.column("text"))
                 known = np.array(part.column("has_letter").to_pylist(), dtype=bool)
-                lang, score, rejected = np.full(len(known), "und", dtype=object), np.zeros(len(known)), ~known
+                lang, score, rejected = np.full(len(known), "und", dtype=object), np.zeros(len(known)), np.ones(len(known), dtype=bool)
                 if len(names):
                     near = np.clip(vectors(counts, model.idf) @ model.centroids.T, 0, 1)
                     best = near.argmax(axis=1)
