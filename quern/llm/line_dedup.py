@@ -18,8 +18,6 @@ from quern.llm.storage import Workspace, small
 THRESHOLD = 2
 #: Shorter lines go only if equal: a few edits would make different lines of them.
 LEAST_CHARS = 24
-#: Characters whose counts' parities are compared before two lines are fetched: a bit each.
-PARITY = "abcdefghijklmnopqrstuvwxyz ,.0eE"[:30]
 #: Entries up to which decisions on lines are sent to all executors rather than joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -28,69 +26,82 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def segment_keys(line: Column, n: Column, t: int) -> Column:
-    """Hashes of (length, number, content) of the t + 1 segments of a line of n characters."""
-    at = [F.floor(n * i / (t + 1)).cast("int") for i in range(t + 2)]
-    return F.array(*(F.xxhash64(n, F.lit(i), F.substring(line, at[i] + 1, at[i + 1] - at[i])) for i in range(t + 1)))
+def bound(value: Column, fn) -> Column:
+    """fn(value) with `value` computed once, where fn uses it inside other functions' lambdas."""
+    return F.transform(F.array(value), fn)[0]
 
 
-def lookup_keys(line: Column, n: Column, t: int) -> Column:
-    """Keys under which partners of n or up to t fewer characters would have been entered."""
-    keys = []
-    for shorter in range(t + 1):
-        m = n - shorter
-        for i in range(t + 1):
-            start, end = F.floor(m * i / (t + 1)).cast("int"), F.floor(m * (i + 1) / (t + 1)).cast("int")
-            for move in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1):
-                inside = (start + move >= 0) & (start + move + (end - start) <= n)
-                keys.append(F.when(inside, F.xxhash64(m, F.lit(i), F.substring(line, start + move + 1, end - start))))
-    return F.array_compact(F.array(*keys))
+def segment_keys(line: Column, t: int) -> Column:
+    """Hashes of (length, number, content) of the t + 1 segments of a line."""
+
+    def keys(v):
+        at = lambda i: F.floor(v["n"] * i / (t + 1)).cast("int")
+        return F.transform(F.array(*map(F.lit, range(t + 1))), lambda i: F.xxhash64(v["n"], i, F.substring(v["line"], at(i) + 1, at(i + 1) - at(i))))
+
+    return bound(F.struct(line.alias("line"), F.length(line).alias("n")), keys)
+
+
+def lookup_keys(line: Column, t: int) -> Column:
+    """Keys under which partners of as many or up to t fewer characters would have been entered."""
+    places = [(shorter, i, move) for shorter in range(t + 1) for i in range(t + 1) for move in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1)]
+    tried = F.array(*(F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("i"), F.lit(c).alias("move")) for a, b, c in places))
+
+    def keys(v):
+        def key(x):
+            m = v["n"] - x["shorter"]
+            start, end = F.floor(m * x["i"] / (t + 1)).cast("int"), F.floor(m * (x["i"] + 1) / (t + 1)).cast("int")
+            inside = (start + x["move"] >= 0) & (x["move"] + end <= v["n"])
+            return F.when(inside, F.xxhash64(m, x["i"], F.substring(v["line"], start + x["move"] + 1, end - start)))
+
+        return F.array_compact(F.transform(tried, key))
+
+    return bound(F.struct(line.alias("line"), F.length(line).alias("n")), keys)
 
 
 def parities(line: Column) -> Column:
-    """An integer with the parity of the count of each character of PARITY. An edit changes at most two of its bits."""
-    low, bits = F.lower(line), F.lit(0)
-    for k, c in enumerate(dict.fromkeys(PARITY)):
-        bits = bits.bitwiseOR(F.shiftleft((F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).bitwiseAND(1), k))
-    return bits
+    """Whether the characters of each class (code point modulo 32) are odd in number, as bits. An edit changes at most two bits."""
+    return F.aggregate(F.split(line, ""), F.lit(0), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.ascii(c).bitwiseAND(31))))
 
 
 def edit_distance(a: Column, b: Column, t: int) -> Column:
     """Edit distance of two strings of at least t characters whose lengths differ by at most t; exact up to t, above t otherwise."""
     width = 2 * t + 1
     mask = (1 << width) - 1
-    p, s = F.split(a, ""), F.split(b, "")
-    m, n = F.length(a), F.length(b)
-
-    def equal_bits(j):
-        """Bit k: character j - t + k of a equals character j of b (from 1)."""
-        bits = F.lit(0)
-        for k in range(width):
-            same = F.coalesce(F.get(p, j - t + k - 1) == F.get(s, j - 1), F.lit(False))
-            bits = bits.bitwiseOR(F.when((j - t + k >= 1) & same, 1 << k).otherwise(0))
-        return F.struct(j.alias("j"), bits.alias("x"))
-
-    def step(state, column):
-        vp, vn, d, j, x = state["vp"], state["vn"], state["d"], column["j"], column["x"]
-        zero = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(mask)
-
-        def advance(_, d0):
-            hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(mask))
-            hn = d0.bitwiseAND(vp)
-            right = F.shiftright(d0, 1)
-            at = m - j + t  # the bit of a's last character
-            down = F.when(F.shiftright(d0, 2 * t).bitwiseAND(1) == 1, 0).otherwise(1)
-            bit = lambda v: F.call_function("shiftright", v, F.greatest(at, F.lit(0))).bitwiseAND(1)
-            return F.struct(
-                hn.bitwiseOR(F.bitwise_not(right.bitwiseOR(hp)).bitwiseAND(mask)).alias("vp"),
-                right.bitwiseAND(hp).alias("vn"),
-                (d + F.when(j + t <= m, down).otherwise(bit(hp) - bit(hn))).alias("d"),
-            )
-
-        return F.aggregate(F.array(zero), state, advance)
-
-    start = F.struct(F.lit(mask & ~((1 << t) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(t).alias("d"))
-    return F.aggregate(F.transform(F.sequence(F.lit(1), n), equal_bits), start, step)["d"]
+
+    def distance(v):
+        m = v["m"]
+
+        def equal_bits(j):
+            """Bit k: character j - t + k of a equals character j of b (from 1)."""
+            bits = F.lit(0)
+            for k in range(width):
+                same = F.coalesce(F.get(v["a"], j - t + k - 1) == F.get(v["b"], j - 1), F.lit(False))
+                bits = bits.bitwiseOR(F.when((j - t + k >= 1) & same, 1 << k).otherwise(0))
+            return F.struct(j.alias("j"), bits.alias("x"))
+
+        def step(state, column):
+            vp, vn, d, j, x = state["vp"], state["vn"], state["d"], column["j"], column["x"]
+            zero = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(mask)
+
+            def advance(d0):
+                hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(mask))
+                hn = d0.bitwiseAND(vp)
+                right = F.shiftright(d0, 1)
+                last = F.greatest(m - j + t, F.lit(0))  # the bit of a's last character
+                down = F.when(F.shiftright(d0, 2 * t).bitwiseAND(1) == 1, 0).otherwise(1)
+                bit = lambda v: F.call_function("shiftright", v, last).bitwiseAND(1)
+                return F.struct(
+                    hn.bitwiseOR(F.bitwise_not(right.bitwiseOR(hp)).bitwiseAND(mask)).alias("vp"),
+                    right.bitwiseAND(hp).alias("vn"),
+                    (d + F.when(j + t <= m, down).otherwise(bit(hp) - bit(hn))).alias("d"),
+                )
+
+            return bound(zero, advance)
+
+        start = F.struct(F.lit(mask & ~((1 << t) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(t).alias("d"))
+        return F.aggregate(F.transform(F.sequence(F.lit(1), v["n"]), equal_bits), start, step)["d"]
+
+    return bound(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), F.length(a).alias("m"), F.length(b).alias("n")), distance)
 
 
 def _removal(lines: DataFrame, name: str) -> DataFrame:
@@ -116,11 +127,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD
     n_exact = exact.agg(F.coalesce(F.sum(F.size("exact")), F.lit(0))).first()[0]
     exact_side = small(exact.withColumnRenamed("doc_key", "exact_key"), n_exact, BROADCAST_LINES)
     first = told.join(exact_side, F.col("doc_key") == F.col("exact_key"), "left").where(~F.coalesce(F.array_contains("exact", F.col("pos")), F.lit(False)))
-    line, n = F.col("line"), F.length("line")
-    long_ones = first.where(n >= max(least_chars, threshold + 1))
-    slim = long_ones.select(F.xxhash64("line").alias("h"), parities(line).alias("parity"), n.alias("n"), "line")
-    entered = slim.select("h", "parity", F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
-    looked = slim.select(F.col("h").alias("g"), F.col("parity").alias("other"), F.explode(lookup_keys(F.col("line"), F.col("n"), threshold)).alias("lookup"))
+    line = F.col("line")
+    long_ones = first.where(F.length("line") >= max(least_chars, threshold + 1))
+    slim = work.table(long_ones.select(F.xxhash64("line").alias("h"), parities(line).alias("parity"), segment_keys(line, threshold).alias("segments"), lookup_keys(line, threshold).alias("lookups")), "slim")
+    entered = slim.select("h", "parity", F.explode("segments").alias("key"))
+    looked = slim.select(F.col("h").alias("g"), F.col("parity").alias("other"), F.explode("lookups").alias("lookup"))
     alike = F.bit_count(F.col("parity").bitwiseXOR(F.col("other"))) <= 2 * threshold
     pairs = looked.join(entered, (F.col("lookup") == F.col("key")) & (F.col("g") != F.col("h")) & alike)
     pairs = work.table(pairs.select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b")).distinct(), "pairs")
@@ -131,6 +142,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD
     side = lambda c: texts.select(F.col("h").alias(f"{c}h"), F.struct("doc_key", "pos").alias(f"{c}_at"), F.col("line").alias(f"{c}_line"))
     both = pairs.join(side("a"), F.col("a") == F.col("ah")).join(side("b"), F.col("b") == F.col("bh"))
     both = both.where(F.abs(F.length("a_line") - F.length("b_line")) <= threshold)
+    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few pairs, long work
     close = both.where(edit_distance(F.col("a_line"), F.col("b_line"), threshold) <= threshold)
     later = close.select(F.greatest("a_at", "b_at").alias("at")).distinct().select("at.doc_key", "at.pos")
     near = work.table(_removal(later, "near"), "near")
