@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quern.plans import catalogue
+
+QUERIES = dict(catalogue.QUERIES)
+SQL = dict(catalogue.SQL)
