@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +24,21 @@ _RUNS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 MEMO_ENTRIES, MEMO_BYTES = 700_000, 64_000_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level models write for each byte: itself if printable in Latin-1, else the next free one from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _plain_word(word: str) -> bool:
+    """Only letters of the Latin blocks, which every version of Unicode takes for letters and NFC leaves as they are."""
+    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+
+
 def _open_ended(piece: str) -> bool:
     """Whether the piece may not be cut off behind its last character."""
     return piece == "" or piece[-1].isspace() or unicodedata.category(piece[-1])[0] in "ZC"
@@ -40,6 +56,8 @@ class PieceEncoder:
         self.mark_ids = self._one(" " + MARK)
         # the id that holds the mark's first byte (EE): no text without private-use characters has it
         self.mark_at = next(k for k, i in enumerate(self.mark_ids) if "î" in (self.tokenizer.id_to_token(i) or ""))
+        self.model = self.tokenizer.model
+        self.signs = {c: self._bytes(c) for c in ".,\n"}
         self.memo: dict = {}
         self.memo_bytes = 0
 
@@ -49,6 +67,22 @@ class PieceEncoder:
     def _bytes(self, text: str) -> bytes:
         return np.array(self._one(text), dtype="<u4").tobytes()
 
+    def _word(self, piece: str) -> bytes | None:
+        """Ids of a plain word, perhaps after a line break and before a comma or full stop, by the model alone; None for other pieces."""
+        before, word, after = b"", piece, b""
+        if word[0] == "\n":
+            before, word = self.signs["\n"], word[1:]
+        if word[-1:] in (".", ","):
+            after, word = self.signs[word[-1]], word[:-1]
+        if not word or not _plain_word(word):
+            return None
+        if self.spaced:
+            letters = word.encode().decode("latin-1").translate(_LETTERS)
+            word = letters if before else _LETTERS[32] + letters
+        else:
+            word = word.lower().encode().decode("latin-1").translate(_LETTERS)
+        return before + array("I", [t.id for t in self.model.tokenize(word)]).tobytes() + after
+
     def _pieces(self, text: str) -> list:
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
@@ -68,6 +102,9 @@ class PieceEncoder:
                 self.memo[p] = b""
             elif self.spaced and _open_ended(p):
                 self.memo[p] = None
+            elif (ids := self._word(p)) is not None:
+                self.memo[p] = ids
+                self.memo_bytes += len(ids)
             else:
                 chunk = p if self.spaced and p[0] == "\n" else " " + p
                 (alone if _PRIVATE.search(p) else plain).append((p, chunk))
