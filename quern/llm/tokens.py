@@ -74,13 +74,16 @@ class PieceEncoder:
             before, word = self.signs["\n"], word[1:]
         if word[-1:] in (".", ","):
             after, word = self.signs[word[-1]], word[:-1]
-        if not word or not _plain_word(word):
+        if not self.spaced:
+            word = word.lower()
+        if not word.isascii():
+            if not _plain_word(word):
+                return None
+            word = word.encode().decode("latin-1").translate(_LETTERS)
+        elif not word.isalpha():
             return None
-        if self.spaced:
-            letters = word.encode().decode("latin-1").translate(_LETTERS)
-            word = letters if before else _LETTERS[32] + letters
-        else:
-            word = word.lower().encode().decode("latin-1").translate(_LETTERS)
+        if self.spaced and not before:
+            word = _LETTERS[32] + word
         return before + array("I", [t.id for t in self.model.tokenize(word)]).tobytes() + after
 
     def _pieces(self, text: str) -> list:
@@ -100,11 +103,11 @@ class PieceEncoder:
                     alone.append((p, p[0]))
             elif not self.spaced and p == "":
                 self.memo[p] = b""
-            elif self.spaced and _open_ended(p):
-                self.memo[p] = None
-            elif (ids := self._word(p)) is not None:
+            elif p and (ids := self._word(p)) is not None:
                 self.memo[p] = ids
                 self.memo_bytes += len(ids)
+            elif self.spaced and _open_ended(p):
+                self.memo[p] = None
             else:
                 chunk = p if self.spaced and p[0] == "\n" else " " + p
                 (alone if _PRIVATE.search(p) else plain).append((p, chunk))
