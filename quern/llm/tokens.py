@@ -20,8 +20,8 @@ import pyarrow as pa
 MARK = "\ue000"
 _PRIVATE = re.compile("[\ue000-\uefff]")
 _RUNS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-#: Entries and bytes that a worker remembers before it starts again.
-MEMO_ENTRIES, MEMO_BYTES = 700_000, 64_000_000
+#: Entries that a worker remembers before it starts again, and characters of the longest piece that it remembers.
+MEMO_ENTRIES, MEMO_CHARS = 1_400_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,6 +44,17 @@ def _open_ended(piece: str) -> bool:
     return piece == "" or piece[-1].isspace() or unicodedata.category(piece[-1])[0] in "ZC"
 
 
+class _Memo(dict):
+    """Ids of pieces; what is missing is asked for when it is first needed."""
+
+    def __init__(self, ask: Callable):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, piece):
+        return self.ask(piece)
+
+
 class PieceEncoder:
     """`spaced`: the tokenizer keeps the space before a word (byte-level), else it drops white space."""
 
@@ -53,13 +64,14 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
+        self.model = self.tokenizer.model
+        self.signs = {c: self._bytes(c) for c in ".,\n"}
         self.mark_ids = self._one(" " + MARK)
         # the id that holds the mark's first byte (EE): no text without private-use characters has it
         self.mark_at = next(k for k, i in enumerate(self.mark_ids) if "î" in (self.tokenizer.id_to_token(i) or ""))
-        self.model = self.tokenizer.model
-        self.signs = {c: self._bytes(c) for c in ".,\n"}
-        self.memo: dict = {}
-        self.memo_bytes = 0
+        self.words = _Memo(self._plain)
+        self.memo = _Memo(self._learn)
+        self.waiting: list = []
 
     def _one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -67,8 +79,22 @@ class PieceEncoder:
     def _bytes(self, text: str) -> bytes:
         return np.array(self._one(text), dtype="<u4").tobytes()
 
+    def _plain(self, word: str) -> bytes | None:
+        """Ids of a word that is plain, by the model alone; None for others. A space stands before it if the tokenizer keeps that."""
+        key, letters = word, word[1:] if word[:1] == " " else word
+        if not letters.isascii():
+            if not _plain_word(letters):
+                return None
+            word = word.encode().decode("latin-1").translate(_LETTERS)
+        elif not letters.isalpha():
+            return None
+        elif letters is not word:
+            word = _LETTERS[32] + letters
+        ids = self.words[key] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return ids
+
     def _word(self, piece: str) -> bytes | None:
-        """Ids of a plain word, perhaps after a line break and before a comma or full stop, by the model alone; None for other pieces."""
+        """Ids of a plain word, perhaps after a line break and before a comma or full stop; None for other pieces."""
         before, word, after = b"", piece, b""
         if word[0] == "\n":
             before, word = self.signs["\n"], word[1:]
@@ -76,15 +102,10 @@ class PieceEncoder:
             after, word = self.signs[word[-1]], word[:-1]
         if not self.spaced:
             word = word.lower()
-        if not word.isascii():
-            if not _plain_word(word):
-                return None
-            word = word.encode().decode("latin-1").translate(_LETTERS)
-        elif not word.isalpha():
-            return None
-        if self.spaced and not before:
-            word = _LETTERS[32] + word
-        return before + array("I", [t.id for t in self.model.tokenize(word)]).tobytes() + after
+        elif not before:
+            word = " " + word
+        ids = self.words[word]
+        return None if ids is None else before + ids + after
 
     def _pieces(self, text: str) -> list:
         if not self.spaced:
@@ -93,9 +114,19 @@ class PieceEncoder:
         parts[0] = (parts[0],)  # a tuple: without a space before it
         return parts
 
-    def _learn(self, missing: list) -> None:
-        plain, alone = [], []
-        for p in missing:
+    def _learn(self, piece) -> bytes:
+        """Ids of a plain word; other pieces wait until they are encoded together and stand for nothing until then."""
+        if len(piece) <= MEMO_CHARS and isinstance(piece, str) and piece and (ids := self._word(piece)) is not None:
+            self.memo[piece] = ids
+            return ids
+        self.waiting.append(piece)
+        return b""
+
+    def _learn_waiting(self) -> list:
+        """Encodes the pieces that wait; None for those that may not be cut off behind their last character. Returns those not to be remembered."""
+        pieces, plain, alone = set(self.waiting), [], []
+        self.waiting.clear()
+        for p in pieces:
             if isinstance(p, tuple):
                 if self.spaced and p[0] and _open_ended(p[0]):
                     self.memo[p] = None
@@ -103,9 +134,6 @@ class PieceEncoder:
                     alone.append((p, p[0]))
             elif not self.spaced and p == "":
                 self.memo[p] = b""
-            elif p and (ids := self._word(p)) is not None:
-                self.memo[p] = ids
-                self.memo_bytes += len(ids)
             elif self.spaced and _open_ended(p):
                 self.memo[p] = None
             else:
@@ -123,8 +151,8 @@ class PieceEncoder:
             assert len(ends) == len(group), "pieces encoded together came apart"
             for (p, _), end in zip(group, (4 * ends).tolist(), strict=True):
                 self.memo[p] = raw[at:end]
-                self.memo_bytes += end - at
                 at = end + width
+        return [p for p in pieces if len(p[0] if isinstance(p, tuple) else p) > MEMO_CHARS]
 
     def _carefully(self, text: str) -> bytes:
         """For runs of white space: cut before each run; encode whole if even that can't be shown to be safe."""
@@ -138,21 +166,28 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
-        if len(self.memo) > MEMO_ENTRIES or self.memo_bytes > MEMO_BYTES:
+        if len(self.memo) + len(self.words) > MEMO_ENTRIES:
             self.memo.clear()
-            self.memo_bytes = 0
-        split = [self._pieces(t or "") for t in texts]
-        missing = set().union(*split).difference(self.memo)
-        if missing:
-            self._learn(list(missing))
-        out = []
-        for text, pieces in zip(texts, split, strict=True):
-            try:
-                out.append(b"".join(map(self.memo.__getitem__, pieces)))
-            except TypeError:  # a piece that is marked as open-ended
-                out.append(self._carefully(text or ""))
+            self.words.clear()
+        out, again = [], []
+        for k, text in enumerate(texts):
+            out.append(self._joined(text or ""))
+            if self.waiting and (not again or len(self.waiting) > again[-1][1]):
+                again.append((k, len(self.waiting)))
+        if again:
+            passing = self._learn_waiting()
+            for k, _ in again:
+                out[k] = self._joined(texts[k] or "")
+            for p in passing:
+                del self.memo[p]
         return out
 
+    def _joined(self, text: str) -> bytes:
+        try:
+            return b"".join(map(self.memo.__getitem__, self._pieces(text)))
+        except TypeError:  # a piece that is marked as open-ended
+            return self._carefully(text)
+
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
