@@ -21,7 +21,7 @@ MARK = "\ue000"
 _PRIVATE = re.compile("[\ue000-\uefff]")
 _RUNS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Entries that a worker remembers before it starts again, and characters of the longest piece that it remembers.
-MEMO_ENTRIES, MEMO_CHARS = 1_400_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 1_000_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
