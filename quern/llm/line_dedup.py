@@ -132,7 +132,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD
     slim = work.table(long_ones.select(F.xxhash64("line").alias("h"), parities(line).alias("parity"), segment_keys(line, threshold).alias("segments"), lookup_keys(line, threshold).alias("lookups")), "slim")
     entered = slim.select("h", "parity", F.explode("segments").alias("key"))
     looked = slim.select(F.col("h").alias("g"), F.col("parity").alias("other"), F.explode("lookups").alias("lookup"))
-    alike = F.bit_count(F.col("parity").bitwiseXOR(F.col("other"))) <= 2 * threshold
+    differ = F.col("parity").bitwiseXOR(F.col("other")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))  # bit_count would count the widened sign of an int
+    alike = F.bit_count(differ) <= 2 * threshold
     pairs = looked.join(entered, (F.col("lookup") == F.col("key")) & (F.col("g") != F.col("h")) & alike)
     pairs = work.table(pairs.select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b")).distinct(), "pairs")
     wanted = pairs.select("a").union(pairs.select("b")).toDF("w").distinct()

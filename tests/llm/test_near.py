@@ -162,6 +162,24 @@ def test_line_dedup(spark, no_docs):
     assert line_dedup.dedup_lines(spark, no_docs).count() == 0
 
 
+def test_near_lines_that_differ_in_a_character_of_any_class(spark):
+    rng = random.Random(6)
+    odd = [chr(c) for c in range(32, 127)] + list("ß\u00ffàÿ漢\U0001f600")
+    pairs = []
+    for c in odd:
+        s = "".join(rng.choices("abcdefgh", k=40))
+        pairs += [(s, s[:20] + c + s[20:]), (s[::-1], s[::-1][:20] + c + s[::-1][21:])]
+    for c, d in ("?.", "ßs", "_b"):
+        s = "".join(rng.choices("abcdefgh", k=40))
+        pairs.append((s[:30] + c + s[30:], s[:30] + d + s[30:]))
+    lines = [line for pair in pairs for line in pair]
+    assert len(set(lines)) == len(lines)
+    want = {k: sum(abs(len(s) - len(o)) <= 2 and lev(s, o) <= 2 for o in lines[:k]) > 0 for k, s in enumerate(lines)}
+    found = line_dedup.dedup_lines(spark, spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.row.doc_id: r.n_near == 1 for r in found} == want
+    assert sum(want.values()) == len(pairs)
+
+
 def test_line_dedup_of_odd_rows(spark, odd_docs):
     found = line_dedup.dedup_lines(spark, odd_docs)
     assert found.count() == odd_docs.count()
