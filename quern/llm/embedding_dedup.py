@@ -25,7 +25,8 @@ from quern.llm.graph import components
 from quern.llm.ngram_join import spanning
 from quern.llm.storage import Workspace, small
 
-SIMILARITY, TARGET_RECALL = 0.98, 0.999
+#: A target of 1 visits every cell that can hold a link. Targets below count links of all groups together, so small groups beside a large one can lose theirs.
+SIMILARITY, TARGET_RECALL = 0.98, 1.0
 #: Vectors, at most about, that codebooks and the search's radius are fitted on; all vectors are indexed.
 SAMPLE = 20_000
 #: Queries, at most, whose true links in the sample set the radius.

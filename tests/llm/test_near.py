@@ -241,6 +241,22 @@ def test_embedding_recall_of_a_table(spark):
     assert total > 0 and sum(r.n_links for r in found) >= 0.99 * total
 
 
+def test_loose_pairs_beside_a_tight_group(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=16) + rng.normal(size=(1000, 16)) * 1e-4
+    one = embedding_dedup.unit(rng.normal(size=(200, 16)))
+    aside = rng.normal(size=one.shape)
+    aside = embedding_dedup.unit(aside - (aside * one).sum(1)[:, None] * one)
+    x = np.concatenate([hot, one, 0.983 * one + np.sqrt(1 - 0.983**2) * aside]).astype(np.float32)
+    spark.createDataFrame([(k, 0, e) for k, e in enumerate(x.tolist())], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(embedding_dedup, "CELL", 2)
+    found = {r.vec_id: r for r in embedding_dedup.op3_embedding_dedup(spark, str(tmp_path)).collect()}
+    y = embedding_dedup.unit(x.astype(float))
+    linked = y @ y.T >= 0.98
+    assert [found[k].n_links for k in range(len(x))] == (linked.sum(1) - 1).tolist()
+    assert [found[k].component_id for k in range(len(x))] == [0] * 1000 + 2 * list(range(1000, 1200))
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(0, 10**6))
 def test_traversal_is_complete_and_in_order(seed):
