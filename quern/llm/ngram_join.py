@@ -1,4 +1,4 @@
-"""Operator 7: n-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""Operator 7: n-gram Jaccard join by banded MinHash LSH (an LSH forest with prefixes of one fixed length) and exact verification.
 
 Documents with equal shingle sets fall into one class first, so copies cost nothing later. Each tree of the forest labels a class
 with a sequence of minimum hashes. Classes under the same trie node, that is with the same prefix of labels,
