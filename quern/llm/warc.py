@@ -88,7 +88,7 @@ _ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("
 #: Columns that a predicate is pushed down to, with the header each is from.
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri"}
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
-#: Bytes of a block read to find the end of its HTTP headers when its payload isn't wanted.
+#: Bytes read at a time from a block to find the end of its HTTP headers when its payload isn't wanted.
 HEAD_BYTES = 4096
 
 
@@ -114,6 +114,17 @@ def _headers(stream) -> dict[str, str] | None:
     return found
 
 
+def _http_head(stream, length: int) -> bytes:
+    """The start of a block of `length` bytes, with the blank line that ends its HTTP headers; all of the block if there is none."""
+    block = bytearray()
+    while len(block) < length and (more := stream.read(min(HEAD_BYTES, length - len(block)))):
+        seen = max(0, len(block) - 3)
+        block += more
+        if block.find(b"\r\n\r\n", seen) >= 0:
+            break
+    return bytes(block)
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.uri = options["path"]
@@ -153,7 +164,7 @@ class WarcReader(DataSourceReader):
                 if any(head.get(name, "") not in values for name, values in self.wanted.items()):
                     stream.seek(length, io.SEEK_CUR)
                     continue
-                block = stream.read(length if self.with_payload else min(length, HEAD_BYTES))
+                block = stream.read(length) if self.with_payload else _http_head(stream, length)
                 if len(block) < length:
                     stream.seek(length - len(block), io.SEEK_CUR)
                 http, _, payload = block.partition(b"\r\n\r\n")

@@ -90,6 +90,20 @@ def test_warc(spark, pages, tmp_path, compression):
     assert few.first().payload is None
 
 
+@pytest.mark.parametrize("fill", [4096 - 71, 5000, 20_000])
+def test_long_http_headers_without_payload(spark, tmp_path, fill):
+    body = b"x" * 7
+    heads = [b"HTTP/1.1 200 OK\r\nSet-Cookie: " + b"c" * (fill + k) + b"\r\nContent-Length: 7\r\n\r\n" for k in range(8)]
+    blocks = [*(head + body for head in heads), b"no HTTP " * 3000]
+    with open(f"{tmp_path}/other.warc", "wb") as f:
+        for k, block in enumerate(blocks):
+            f.write(b"WARC/1.0\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (k, len(block)) + block + b"\r\n\r\n")
+    want = [(f"<{k}>", None if k == 8 else 7, len(block)) for k, block in enumerate(blocks)]
+    for payload in (True, False):
+        rows = warc.read_warc(spark, f"file://{tmp_path}", payload=payload).collect()
+        assert sorted((r.record_id, r.http_length, r.block_length) for r in rows) == want
+
+
 def test_least_bytes(spark, pages, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write_warc(spark, pages, path, least_bytes=1000)
