@@ -2,7 +2,7 @@
 
 Features are byte n-grams (one to three bytes, ASCII letters in lower case, everything that isn't a letter read as a
 space) hashed to a fixed number of buckets, weighted by TF-IDF and normalised. Each language has several centroids, clustered by
-cosine. A document belongs to the language of its nearest centroid and is rejected if even that one is too far.
+cosine. A document belongs to the language of its nearest centroid and is rejected if even that one is too far for a text of its length.
 
 Document frequencies cover all documents that may be learned from. Centroids are fitted on a bounded sample of labelled
 rows: `SAMPLE` for each language, chosen by a hash of doc_id and text.
@@ -21,8 +21,12 @@ BUCKETS = 4096
 #: Labelled rows of each language that centroids are fitted on, about; the rest of the labelled rows only counts towards document frequencies.
 SAMPLE = 1000
 CENTROIDS = 3
-#: A document is rejected below this share of the similarity that 1 in 200 of the fitted rows doesn't reach.
+#: A document is rejected below this share of the similarity that 1 in 200 of the fitted rows doesn't reach,
 REJECT_SHARE = 0.35
+#: and below this share of what 1 in 200 of the fitted rows, cut to its length, doesn't reach.
+CUT_SHARE = 0.7
+#: Lengths, in bytes, that fitted rows are cut to; between them the least similarity is interpolated.
+CUTS = (4, 16, 64, 256, 1024)
 
 _LOWER = np.full(256, 32, dtype=np.uint8)
 _LOWER[65:91] = np.arange(97, 123)
@@ -66,7 +70,12 @@ class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    reject_below: float
+    reject_below: np.ndarray  # for texts of each length in CUTS
+
+
+def least_scores(counts: np.ndarray, model: Model) -> np.ndarray:
+    """The similarity below which texts of these counts are rejected: short texts lie farther from every centroid than long ones."""
+    return np.interp(np.log(np.maximum(counts.sum(axis=1, dtype=np.float64) / 3, 1)), np.log(CUTS), model.reject_below)
 
 
 def _clusters(x: np.ndarray, k: int) -> np.ndarray:
@@ -98,6 +107,18 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(at, 256), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "counts"])
 
 
+def _cut_scores(model: Model):
+    def run(batches):
+        for batch in batches:
+            for cut in CUTS:
+                texts = [t[:cut] for t in batch.column("text").to_pylist() if len(t) >= cut]
+                for at in range(0, len(texts), 256):
+                    near = np.max(vectors(counts_of(pa.array(texts[at : at + 256], pa.binary())), model.idf) @ model.centroids.T, axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array([cut] * len(near), pa.int32()), pa.array(near, pa.float32())], names=["cut", "score"])
+
+    return run
+
+
 def fit(labelled: DataFrame) -> Model:
     """Learn from `labelled` (doc_id, text, lang): only text and lang are features and label; doc_id only helps to choose the sample.
 
@@ -113,10 +134,11 @@ def fit(labelled: DataFrame) -> Model:
     idf = (np.log((1 + n) / (1 + seen)) + 0.2).astype(np.float32)
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
-        return Model([], np.zeros((0, BUCKETS), np.float32), idf, 2.0)
+        return Model([], np.zeros((0, BUCKETS), np.float32), idf, np.full(len(CUTS), 2.0))
     spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(int((1 << 30) * min(1, SAMPLE / c)))) for lang, c in sizes.items()))
-    sample = rows.where(spread < share).select("lang", "text").mapInArrow(_counted, "lang string, counts binary").toArrow()
+    chosen = rows.where(spread < share).select("lang", "text")
+    sample = chosen.mapInArrow(_counted, "lang string, counts binary").toArrow()
     lang = np.array(sample["lang"].to_pylist())
     x = vectors(np.frombuffer(b"".join(sample["counts"].to_pylist()), dtype=np.float32).reshape(-1, BUCKETS), idf)
     names, centres = [], []
@@ -126,7 +148,14 @@ def fit(labelled: DataFrame) -> Model:
         centres.append(found)
     centroids = np.concatenate(centres).astype(np.float32)
     nearest = np.max(x @ centroids.T, axis=1)
-    return Model(names, centroids, idf, float(np.quantile(nearest, 0.005)) * REJECT_SHARE)
+    model = Model(names, centroids, idf, np.full(len(CUTS), float(np.quantile(nearest, 0.005)) * REJECT_SHARE))
+    scored = chosen.select("text").mapInArrow(_cut_scores(model), "cut int, score float").toArrow()  # at most a row for each cut of the sample
+    cut, score = scored["cut"].to_numpy(), scored["score"].to_numpy()
+    for k, c in enumerate(CUTS):
+        held = score[cut == c]
+        at_cut = np.quantile(held, 0.005) * CUT_SHARE if len(held) else model.reject_below[k - 1] if k else 0
+        model.reject_below[k] = max(model.reject_below[k], at_cut)
+    return model
 
 
 PREDICTED = "lang_pred string, score double, rejected boolean"
@@ -147,7 +176,7 @@ def _predict(model: Model, kept: list[str]):
                     best = near.argmax(axis=1)
                     lang = np.where(known, names[best], "und")
                     score = np.where(known, near.max(axis=1), 0.0)
-                    rejected = ~known | (score < model.reject_below)
+                    rejected = ~known | (score < least_scores(counts, model))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(lang.tolist(), pa.string()), pa.array(score.astype(np.float64)), pa.array(rejected)], names=[*kept, "lang_pred", "score", "rejected"])
 
     return run

@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -59,6 +60,21 @@ def test_held_out_accuracy(spark, labelled):
     assert all(rows[k].lang_pred == "und" and rows[k].score == 0 and rows[k].rejected for k in (2, 3, 4))
 
 
+def test_strangers_in_latin_script_are_rejected(spark, labelled):
+    rng = random.Random(1)
+    fi = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto".split()
+    pl = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem".split()
+    letters = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=n)) for words in (fi, pl, letters) for n in (60, 300) for _ in range(30)]
+    model = language_id.fit(labelled.where(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, ["doc_id"])
+    assert found.where(~F.col("rejected")).count() == 0
+    clean = labelled.where(language_id.held_out(F.col("doc_id")) & language_id.has_letter(F.col("text"))).crossJoin(spark.createDataFrame([(60,), (120,), (600,)], "cut int")).where(F.length("text") >= F.col("cut"))
+    clean = clean.select("doc_id", "cut", F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("text"))
+    rejected, n = language_id.predict(clean, model, ["doc_id", "cut"]).agg(F.count_if("rejected"), F.count("*")).first()
+    assert n > 500 and rejected <= 0.01 * n
+
+
 def test_equal_texts_get_equal_predictions(spark, odd_docs, no_docs):
     model = language_id.fit(odd_docs)
     rows = language_id.predict(odd_docs, model, odd_docs.columns).collect()
