@@ -213,7 +213,7 @@ def q_merge_keeper(spark, sf_dir):
 SELECT s_suppkey, regexp_replace(regexp_replace(trim(regexp_replace(upper(s_name || ' (Holdings) Co. Ltd'), '\([^)]*\)', ' ', 'g')), '[^A-Z0-9]+', ' ', 'g'), '( (CO|LTD))+$', '').replace(' ', '') AS brand_key,
   upper(s_name) LIKE '%0' AS ends_in_zero FROM supplier""")
 def q_brand_keys(spark, sf_dir):
-    """F10, F11, F12, F19."""
+    """F10, F19, and whether a name ends in 0."""
     name = F.concat("s_name", F.lit(" (Holdings) Co. Ltd"))
     return load(spark, sf_dir, "supplier").select("s_suppkey", text.brand_key(name).alias("brand_key"), F.upper("s_name").endswith("0").alias("ends_in_zero"))
 
@@ -222,7 +222,7 @@ def q_brand_keys(spark, sf_dir):
 WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS plain FROM b""")
 def q_strip_html(spark, sf_dir):
-    """F17, F18."""
+    """F17, with five named entities decoded."""
     return load(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("plain"))
 
 
@@ -340,7 +340,7 @@ def q_keyset_page(spark, sf_dir):
 @query("""
 SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY l.quality DESC NULLS LAST, d.doc_id LIMIT 700""")
 def q_nulls_last(spark, sf_dir):
-    """Sort by a related column, nulls last, id breaks ties."""
+    """The first 700 by a related column, nulls last, id breaks ties."""
     documents, labels = load(spark, sf_dir, "documents", "labels")
     return documents.select("doc_id").join(labels, "doc_id", "left").orderBy(F.col("quality").desc_nulls_last(), "doc_id").limit(700)
 
@@ -368,7 +368,7 @@ WITH t AS (SELECT item_id, list_filter(string_split(trim(regexp_replace(lower(te
 u AS (SELECT item_id, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM t), f AS (SELECT item_id, w, min(k) AS k FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k) AS n FROM f)
 SELECT item_id, string_agg(w, ' ' ORDER BY k) AS tokens FROM r WHERE n <= 6 GROUP BY item_id""")
 def q_tokenise(spark, sf_dir):
-    """F28, F33, P9."""
+    """F28, P9."""
     return load(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.tokens(F.col("text"), noise=["the", "of", "and"]), " ").alias("tokens"))
 
 
@@ -377,7 +377,7 @@ SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'flagged' WHEN r.n > 400 THEN 're
   CASE WHEN s_acctbal < 0 THEN 0 WHEN r.n > 400 THEN 1 WHEN p.parts >= 300 THEN 2 ELSE 3 END AS severity
 FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) r ON r.l_suppkey = s_suppkey LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1) p ON p.l_suppkey = s_suppkey""")
 def q_signals(spark, sf_dir):
-    """A decision table over per-entity aggregates."""
+    """One decision table of four labels over per-entity aggregates."""
     supplier, lineitem = load(spark, sf_dir, "supplier", "lineitem")
     held = lineitem.groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("returns"), F.countDistinct("l_partkey").alias("parts"))
     rules = [("flagged", F.col("s_acctbal") < 0), ("recalled", F.col("returns") > 400), ("broad", F.col("parts") >= 300)]
