@@ -3,12 +3,14 @@
 Of equal lines the first stays. Among those left, a line that is within `THRESHOLD` edits of an earlier one goes too. Two lines
 within t edits agree on one of t + 1 segments of the shorter one, at a place that the edits can have moved only a little; so
 each line is entered under its segments and looked up under the few substrings of the right length at the right
-places. Pairs that share a segment and whose letter counts allow it are verified by a banded bit-parallel edit distance: the band's
-vertical differences are bits of a number that is advanced one character at a time.
+places. A segment that very many lines share is refined by segments of what is left of them. Pairs that share a key and whose letter counts
+allow it are verified by a banded bit-parallel edit distance: the band's vertical differences are bits of a number that is advanced one character at a time.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ THRESHOLD = 2
 LEAST_CHARS = 24
 #: Entries up to which decisions on lines are sent to all executors rather than joined by a shuffle.
 BROADCAST_LINES = 1_000_000
+#: Pairs that may meet under one key; a key with more is divided by further segments. Lines up to which texts to verify are sent to all executors.
+FEW_PAIRS, VERIFY_TEXTS = 500, 50_000
 
 
 def lines_of(text: Column) -> Column:
@@ -31,33 +35,6 @@ def bound(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
-def segment_keys(line: Column, t: int) -> Column:
-    """Hashes of (length, number, content) of the t + 1 segments of a line."""
-
-    def keys(v):
-        at = lambda i: F.floor(v["n"] * i / (t + 1)).cast("int")
-        return F.transform(F.array(*map(F.lit, range(t + 1))), lambda i: F.xxhash64(v["n"], i, F.substring(v["line"], at(i) + 1, at(i + 1) - at(i))))
-
-    return bound(F.struct(line.alias("line"), F.length(line).alias("n")), keys)
-
-
-def lookup_keys(line: Column, t: int) -> Column:
-    """Keys under which partners of as many or up to t fewer characters would have been entered."""
-    places = [(shorter, i, move) for shorter in range(t + 1) for i in range(t + 1) for move in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1)]
-    tried = F.array(*(F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("i"), F.lit(c).alias("move")) for a, b, c in places))
-
-    def keys(v):
-        def key(x):
-            m = v["n"] - x["shorter"]
-            start, end = F.floor(m * x["i"] / (t + 1)).cast("int"), F.floor(m * (x["i"] + 1) / (t + 1)).cast("int")
-            inside = (start + x["move"] >= 0) & (x["move"] + end <= v["n"])
-            return F.when(inside, F.xxhash64(m, x["i"], F.substring(v["line"], start + x["move"] + 1, end - start)))
-
-        return F.array_compact(F.transform(tried, key))
-
-    return bound(F.struct(line.alias("line"), F.length(line).alias("n")), keys)
-
-
 def parities(line: Column) -> Column:
     """Whether the characters of each class (code point modulo 32) are odd in number, as bits. An edit changes at most two bits."""
     return F.aggregate(F.split(line, ""), F.lit(0), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.ascii(c).bitwiseAND(31))))
@@ -104,8 +81,112 @@ def edit_distance(a: Column, b: Column, t: int) -> Column:
     return bound(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), F.length(a).alias("m"), F.length(b).alias("n")), distance)
 
 
+def places(t: int) -> list[tuple[int, int, int]]:
+    """(shorter, i, move): where segment i of a text of `shorter` fewer characters can stand, moved by up to what t edits allow."""
+    return [(shorter, i, move) for shorter in range(t + 1) for i in range(t + 1) for move in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1)]
+
+
+def under_keys(rows: DataFrame, t: int, keep: list[str]) -> DataFrame:
+    """The columns `keep` of `rows` once for each key of a row, with key, role, m and the cut (start, size) that the key's segment makes.
+
+    `rows` has path (what is known to agree so far), role, m and rest. A row of role 0 is entered under the segments of its rest, of m characters; it
+    also looks for moved segments, in role 1, as rows do that have t or fewer characters more than m. With a null m, a text is taken
+    in both roles and for all lengths.
+    """
+    tried = F.array(*(F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("i"), F.lit(c).alias("move")) for a, b, c in places(t)))
+    put = rows.withColumn("n", F.length("rest")).withColumn("place", F.explode(tried)).where(F.col("m").isNull() | (F.col("n") - F.col("m") == F.col("place.shorter")))
+    m, i, move = F.col("n") - F.col("place.shorter"), F.col("place.i"), F.col("place.move")
+    begin, end = F.floor(m * i / (t + 1)).cast("int"), F.floor(m * (i + 1) / (t + 1)).cast("int")
+    put = put.select(*keep, "path", "rest", "n", F.when((F.col("role") == 0) & (F.col("place.shorter") == 0) & (move == 0), 0).otherwise(1).alias("role"), m.alias("whole"), i.alias("i"), (begin + move).alias("start"), (end - begin).alias("size"))
+    put = put.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
+    key = F.xxhash64("path", "whole", "i", F.substring("rest", F.col("start") + 1, F.col("size")))
+    return put.select(*keep, "rest", "role", (F.col("whole") - F.col("size")).alias("m"), "start", "size", key.alias("key"))
+
+
+def without_cut() -> Column:
+    """The rest of a text without the segment that its key names."""
+    return F.concat(F.substring("rest", F.lit(1), F.col("start")), F.substring("rest", F.col("start") + F.col("size") + 1, F.length("rest")))
+
+
+def live_keys(keys: DataFrame) -> DataFrame:
+    """Keys under which pairs can meet, with the number of those pairs."""
+    e, found = F.col("e"), F.col("l")
+    counted = keys.groupBy("key").agg(F.count_if(F.col("role") == 0).alias("e"), F.count_if(F.col("role") == 1).alias("l"))
+    return counted.where((e >= 2) | ((e >= 1) & (found >= 1))).select(F.col("key").alias("live"), (F.floor(e * (e - 1) / 2) + e * found).alias("pairs"))
+
+
+def pairs_under(members: DataFrame) -> DataFrame:
+    """a < b: texts that meet under one of the keys of `members`, of which each has few."""
+    entered = members.where("role = 0").select("key", F.col("id").alias("x"))
+    others = members.select(F.col("key").alias("other_key"), F.col("role").alias("other_role"), F.col("id").alias("y"))
+    met = entered.join(others, F.col("key") == F.col("other_key")).where("x <> y AND (other_role = 1 OR x < y)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def within(pairs: DataFrame, texts: DataFrame, n_pairs: int, n_texts: int, t: int) -> DataFrame:
+    """at, id: the later text of each pair of at most t edits."""
+    side = lambda c: small(texts.select(F.col("id").alias(f"{c}_id"), F.col("at").alias(f"{c}_at"), F.col("line").alias(f"{c}_line"), F.col("parity").alias(f"{c}_parity")), n_texts, VERIFY_TEXTS)
+    both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
+    differ = F.col("a_parity").bitwiseXOR(F.col("b_parity")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))  # bit_count would count the widened sign of an int
+    both = both.where((F.abs(F.length("a_line") - F.length("b_line")) <= t) & (F.bit_count(differ) <= 2 * t))
+    both = both.repartition(max(1, min(20_000, n_pairs // 100)))  # few pairs, long work
+    close = both.where(edit_distance(F.col("a_line"), F.col("b_line"), t) <= t)
+    first = F.col("a_at") < F.col("b_at")
+    return close.select(F.when(first, F.col("b_at")).otherwise(F.col("a_at")).alias("at"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("id")).distinct()
+
+
+def near_lines(work: Workspace, lines: DataFrame, t: int) -> DataFrame:
+    """at, id of the `lines` (at, line; all different) within t edits of an earlier one.
+
+    Lines meet under the keys of their segments. A key that many share is divided: what agrees is taken out, the t edits lie in the rest, and the rest is cut into segments again, and so
+    on until few lines share a key. Before that, each line of such a key is compared with the earliest one; keys whose lines have all found an earlier partner are done.
+    """
+    whole = lines.select("at", F.col("line").alias("rest"), F.lit(0).cast("long").alias("path"), F.lit(0).alias("role"), F.lit(None).cast("int").alias("m"))
+    live = work.table(live_keys(under_keys(whole, t, [])), "live")
+    n_live = live.count()
+    found = under_keys(whole, t, ["at"]).join(small(live, n_live), F.col("key") == F.col("live")).drop("live")
+    members = work.table(found.withColumn("id", F.xxhash64("rest")), "members")
+    texts = members.groupBy("id").agg(F.min("at").alias("at"), F.any_value("rest").alias("line"))
+    texts = work.table(texts.withColumn("parity", parities(F.col("line"))), "texts")
+    n_texts = texts.count()
+    pairs, gone = [work.table(pairs_under(members.where(F.col("pairs") <= FEW_PAIRS)), "pairs")], []
+    hot = members.where(F.col("pairs") > FEW_PAIRS)
+    while not hot.isEmpty():
+        hot = work.table(hot.select("key", "role", "m", "at", "id", without_cut().alias("rest")), "hot")
+        me = F.struct("at", "id")
+        firsts = hot.groupBy(F.col("key").alias("first_key")).agg(F.min(me).alias("any"), F.min(F.when(F.col("role") == 0, me)).alias("entered"))
+        n_hot = hot.count()
+        led = hot.join(small(firsts, firsts.count()), F.col("key") == F.col("first_key"))
+        led = led.select("key", "id", F.col("any.id").alias("lead"), F.when(F.col("role") == 0, F.col("any.id")).otherwise(F.col("entered.id")).alias("first")).where("id <> lead")
+        star = led.where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+        gone.append(work.table(within(star, texts, n_hot, n_texts, t), "gone"))
+        settled = reduce(DataFrame.union, gone).select(F.col("id").alias("settled")).distinct()
+        unsettled = work.table(led.join(settled, F.col("id") == F.col("settled"), "left_anti").select(F.col("key").alias("open_key")).distinct(), "open")
+        left = hot.join(small(unsettled, unsettled.count()), F.col("key") == F.col("open_key")).drop("open_key")
+        pairs.append(work.table(pairs_under(left.where(F.col("m") <= t)), "pairs"))  # nothing is left to cut
+        deeper = left.where(F.col("m") > t).withColumnRenamed("key", "path")
+        live = work.table(live_keys(under_keys(deeper, t, [])), "live")
+        members = under_keys(deeper, t, ["at", "id"]).join(small(live, live.count()), F.col("key") == F.col("live")).drop("live")
+        members = work.table(members, "members")
+        pairs.append(work.table(pairs_under(members.where(F.col("pairs") <= FEW_PAIRS)), "pairs"))
+        hot = members.where(F.col("pairs") > FEW_PAIRS)
+    every = reduce(DataFrame.union, pairs)
+    every = work.table(every.distinct(), "all-pairs") if len(pairs) > 1 else every
+    return reduce(DataFrame.union, [*gone, within(every, texts, every.count(), n_texts, t)])
+
+
 def _removal(lines: DataFrame, name: str) -> DataFrame:
-    return lines.groupBy("doc_key").agg(F.collect_list("pos").alias(name))  # lines of one document
+    return lines.groupBy("doc_key").agg(F.array_sort(F.collect_set("pos")).alias(name))  # lines of one document
+
+
+def _runs(n: Column, gone: Column) -> Column:
+    """The runs of places 0 to n - 1 between those of `gone`, which is sorted, as (from, size)."""
+    return F.zip_with(F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(n)), lambda low, high: F.struct((low + 1).alias("from"), (high - low - 1).alias("size")))
+
+
+def kept_lines(text: Column, gone: Column) -> Column:
+    """Lines of a text but for those at the places `gone`; in time that grows with the text."""
+    return bound(lines_of(text), lambda v: F.flatten(F.transform(_runs(F.size(v), gone), lambda r: F.slice(v, r["from"] + 1, r["size"]))))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -113,7 +194,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD
 
     The order of lines is that of doc_id, then of place in the text; rows without a doc_id come last. Lines are what line feeds separate. Blank lines stay. A null text stays
     null and has no lines; an empty text has one, blank. Rows equal in id and text are one document and are cleaned alike. Rows that repeat an id with another
-    text are told apart by their text. Lines of fewer than `least_chars` characters go only if equal to an earlier one. An empty table gives none.
+    text are told apart by their text. Lines of fewer than `least_chars` characters go only if equal to an earlier one. Very long texts, and texts of very many
+    lines, take time in proportion. Other columns stay in `row` under any name. An empty table gives none.
     """
     work = Workspace(spark, "lines")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.struct(row_key(F.col("doc_id"), F.col("text")).alias("id"), F.xxhash64("text").alias("th")).alias("doc_key"), F.col("text"))
@@ -122,39 +204,31 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD
     occurrences = work.table(hashes, "occurrences")
     place = F.struct("doc_key", "pos")
     repeated = occurrences.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first")
-    copies = occurrences.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(place != F.col("first")).select("doc_key", "pos").distinct()
+    copies = occurrences.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(place != F.col("first")).select("doc_key", "pos")
     exact = work.table(_removal(copies, "exact"), "exact")
     n_exact = exact.agg(F.coalesce(F.sum(F.size("exact")), F.lit(0))).first()[0]
     exact_side = small(exact.withColumnRenamed("doc_key", "exact_key"), n_exact, BROADCAST_LINES)
-    first = told.join(exact_side, F.col("doc_key") == F.col("exact_key"), "left").where(~F.coalesce(F.array_contains("exact", F.col("pos")), F.lit(False)))
-    line = F.col("line")
-    long_ones = first.where(F.length("line") >= max(least_chars, threshold + 1))
-    slim = work.table(long_ones.select(F.xxhash64("line").alias("h"), parities(line).alias("parity"), segment_keys(line, threshold).alias("segments"), lookup_keys(line, threshold).alias("lookups")), "slim")
-    entered = slim.select("h", "parity", F.explode("segments").alias("key"))
-    looked = slim.select(F.col("h").alias("g"), F.col("parity").alias("other"), F.explode("lookups").alias("lookup"))
-    differ = F.col("parity").bitwiseXOR(F.col("other")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))  # bit_count would count the widened sign of an int
-    alike = F.bit_count(differ) <= 2 * threshold
-    pairs = looked.join(entered, (F.col("lookup") == F.col("key")) & (F.col("g") != F.col("h")) & alike)
-    pairs = work.table(pairs.select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b")).distinct(), "pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).toDF("w").distinct()
-    n_wanted = wanted.count()
-    texts = long_ones.withColumn("h", F.xxhash64("line")).join(small(wanted, n_wanted, BROADCAST_LINES), F.col("h") == F.col("w"), "left_semi")
-    texts = work.table(texts.select("h", "doc_key", "pos", "line"), "texts")
-    side = lambda c: texts.select(F.col("h").alias(f"{c}h"), F.struct("doc_key", "pos").alias(f"{c}_at"), F.col("line").alias(f"{c}_line"))
-    both = pairs.join(side("a"), F.col("a") == F.col("ah")).join(side("b"), F.col("b") == F.col("bh"))
-    both = both.where(F.abs(F.length("a_line") - F.length("b_line")) <= threshold)
-    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few pairs, long work
-    close = both.where(edit_distance(F.col("a_line"), F.col("b_line"), threshold) <= threshold)
-    later = close.select(F.greatest("a_at", "b_at").alias("at")).distinct().select("at.doc_key", "at.pos")
-    near = work.table(_removal(later, "near"), "near")
+    none = F.array().cast("array<int>")
+    with_exact = keyed.join(exact_side, F.col("doc_key") == F.col("exact_key"), "left").drop("exact_key")
+    some = F.col("exact").isNotNull()
+    left = F.when(some, kept_lines(F.col("text"), F.col("exact"))).otherwise(lines_of(F.col("text")))
+    at = F.when(some, F.array_except(F.sequence(F.lit(0), _line_count(F.col("text")) - 1), F.col("exact")))
+    first = with_exact.select("doc_key", at.alias("places"), F.posexplode(left).alias("k", "line"))
+    long_ones = first.where((F.length("line") >= max(least_chars, threshold + 1)) & (F.trim("line") != ""))
+    lines = long_ones.select(F.struct("doc_key", F.coalesce(F.get("places", F.col("k")), "k").alias("pos")).alias("at"), "line")
+    near = near_lines(work, lines, threshold).select("at.doc_key", "at.pos")
+    near = work.table(_removal(near, "near"), "near")
     n_near = near.agg(F.coalesce(F.sum(F.size("near")), F.lit(0))).first()[0]
     near_side = small(near.withColumnRenamed("doc_key", "near_key"), n_near, BROADCAST_LINES)
-    none = F.array().cast("array<int>")
-    out = keyed.join(exact_side, F.col("doc_key") == F.col("exact_key"), "left").join(near_side, F.col("doc_key") == F.col("near_key"), "left")
-    out = out.withColumn("exact", F.coalesce("exact", none)).withColumn("near", F.coalesce("near", none))
-    gone = F.concat("exact", "near")
-    cleaned = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines_of(F.col("text")), lambda _, k: ~F.array_contains(gone, k)), "\n"))
-    return out.select("row", cleaned.alias("cleaned"), F.coalesce(F.size(lines_of(F.col("text"))), F.lit(0)).alias("n_lines"), F.size("exact").alias("n_exact"), F.size("near").alias("n_near"))
+    out = with_exact.join(near_side, F.col("doc_key") == F.col("near_key"), "left")
+    gone = F.array_sort(F.concat(F.coalesce("exact", none), F.coalesce("near", none)))
+    cleaned = F.when(some | F.col("near").isNotNull(), F.array_join(kept_lines(F.col("text"), gone), "\n")).otherwise(F.col("text"))
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    return out.select("row", cleaned.alias("cleaned"), F.coalesce(_line_count(F.col("text")), F.lit(0)).alias("n_lines"), size("exact").alias("n_exact"), size("near").alias("n_near"))
+
+
+def _line_count(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
 
 def apply_line_dedup(docs: DataFrame, deduped: DataFrame) -> DataFrame:

@@ -125,7 +125,9 @@ def brute_lines(rows):
     return lines
 
 
-def test_line_dedup(spark, no_docs):
+@pytest.mark.parametrize("few", [500, 3])
+def test_line_dedup(spark, no_docs, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", few)  # 3: keys are divided again and again
     rng = random.Random(5)
     line = lambda n: "".join(rng.choices("abcdefgh ", k=n)).strip()
     pool = [line(rng.randint(24, 60)) for _ in range(60)]
@@ -180,6 +182,26 @@ def test_near_lines_that_differ_in_a_character_of_any_class(spark):
     assert sum(want.values()) == len(pairs)
 
 
+def test_a_segment_that_thousands_of_lines_share(spark):
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choices("abcdefghijklmnop", k=k))
+    lines = [f"{word(40)} the same ending of very many lines" for _ in range(3000)]
+    near = [s[:10] + "#" + s[11:] for s in lines[:20]] + [s[:12] + s[14:] for s in lines[20:40]]
+    copies = ["no line has " + "".join(c if k not in at else "#" for k, c in enumerate("the same beginning of near copies")) for at in ({a, b} for a in range(33) for b in range(a))]
+    docs = spark.createDataFrame(list(enumerate(lines + near + copies)), "doc_id long, text string")
+    found = {r.row.doc_id: r.n_near for r in line_dedup.dedup_lines(spark, docs).collect()}
+    assert [k for k in range(3040) if found[k]] == list(range(3000, 3040))
+    want = [any(lev(s, o) <= 2 for o in copies[:k]) for k, s in enumerate(copies)]
+    assert [found[3040 + k] == 1 for k in range(len(copies))] == want
+
+
+def test_line_dedup_of_a_text_of_very_many_lines(spark):
+    many = "\n".join(f"line {k % 50_000} of a text" for k in range(100_000))
+    rows = line_dedup.dedup_lines(spark, spark.createDataFrame([(1, many), (2, "line 7 of a text\nnew")], "doc_id long, text string"), least_chars=1000).orderBy("row.doc_id").collect()
+    assert [(r.n_lines, r.n_exact, r.n_near) for r in rows] == [(100_000, 50_000, 0), (2, 1, 0)]
+    assert rows[0].cleaned == "\n".join(many.split("\n")[:50_000]) and rows[1].cleaned == "new"
+
+
 def test_line_dedup_of_odd_rows(spark, odd_docs):
     found = line_dedup.dedup_lines(spark, odd_docs)
     assert found.count() == odd_docs.count()
