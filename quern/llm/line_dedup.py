@@ -37,7 +37,37 @@ def bound(value: Column, fn) -> Column:
 
 def parities(line: Column) -> Column:
     """Whether the characters of each class (code point modulo 32) are odd in number, as bits. An edit changes at most two bits."""
-    return F.aggregate(F.split(line, ""), F.lit(0), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.ascii(c).bitwiseAND(31))))
+    one = F.lit(1).cast("long")  # 64 bits, so that no class is the sign
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", one, F.ascii(c).bitwiseAND(31))))
+
+
+def agreeing(a: Column, b: Column, most: Column) -> Column:
+    """Characters, `most` at most, that a and b have in common at their beginnings; by halving, so that texts are compared as wholes."""
+    powers = F.transform(F.sequence(F.lit(20), F.lit(0)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    powers = F.concat(F.array_repeat(F.lit(1 << 20), F.floor(most / (1 << 20)).cast("int")), powers)
+
+    def longer(n, p):
+        return F.when((n + p <= most) & (F.substring(a, n + 1, p) == F.substring(b, n + 1, p)), n + p).otherwise(n)
+
+    return F.aggregate(powers, F.lit(0), longer)
+
+
+def between(a: Column, b: Column, t: int) -> Column:
+    """struct(a, b): what is left without the beginnings and ends that two texts have in common, t characters or more. It has the same edit distance."""
+
+    def ends(v):
+        rest = lambda c: F.substring(v[c], v["n"] + 1, F.length(v[c]))
+        return F.struct(rest("a").alias("a"), rest("b").alias("b"))
+
+    def begins(v):
+        most = F.least(F.length(v["a"]), F.length(v["b"])) - t
+        return F.struct(v["a"], v["b"], agreeing(v["a"], v["b"], most).alias("n"))
+
+    def turned(v):
+        return F.struct(F.reverse(v["a"]).alias("a"), F.reverse(v["b"]).alias("b"))
+
+    found = bound(bound(F.struct(a.alias("a"), b.alias("b")), begins), ends)
+    return bound(bound(bound(found, turned), begins), ends)
 
 
 def edit_distance(a: Column, b: Column, t: int) -> Column:
@@ -110,8 +140,8 @@ def without_cut() -> Column:
 
 def live_keys(keys: DataFrame) -> DataFrame:
     """Keys under which pairs can meet, with the number of those pairs."""
-    e, found = F.col("e"), F.col("l")
-    counted = keys.groupBy("key").agg(F.count_if(F.col("role") == 0).alias("e"), F.count_if(F.col("role") == 1).alias("l"))
+    counted = keys.groupBy("key").agg(F.sum(F.when(F.col("role") == 0, F.lit(1 << 32)).otherwise(F.lit(1).cast("long"))).alias("both"))
+    e, found = F.shiftright("both", 32), F.col("both").bitwiseAND((1 << 32) - 1)
     return counted.where((e >= 2) | ((e >= 1) & (found >= 1))).select(F.col("key").alias("live"), (F.floor(e * (e - 1) / 2) + e * found).alias("pairs"))
 
 
@@ -127,10 +157,11 @@ def within(pairs: DataFrame, texts: DataFrame, n_pairs: int, n_texts: int, t: in
     """at, id: the later text of each pair of at most t edits."""
     side = lambda c: small(texts.select(F.col("id").alias(f"{c}_id"), F.col("at").alias(f"{c}_at"), F.col("line").alias(f"{c}_line"), F.col("parity").alias(f"{c}_parity")), n_texts, VERIFY_TEXTS)
     both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
-    differ = F.col("a_parity").bitwiseXOR(F.col("b_parity")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))  # bit_count would count the widened sign of an int
-    both = both.where((F.abs(F.length("a_line") - F.length("b_line")) <= t) & (F.bit_count(differ) <= 2 * t))
+    differ = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity")))
+    both = both.where((F.abs(F.length("a_line") - F.length("b_line")) <= t) & (differ <= 2 * t))
     both = both.repartition(max(1, min(20_000, n_pairs // 100)))  # few pairs, long work
-    close = both.where(edit_distance(F.col("a_line"), F.col("b_line"), t) <= t)
+    apart = bound(between(F.col("a_line"), F.col("b_line"), t), lambda v: edit_distance(v["a"], v["b"], t))
+    close = both.where(apart <= t)
     first = F.col("a_at") < F.col("b_at")
     return close.select(F.when(first, F.col("b_at")).otherwise(F.col("a_at")).alias("at"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("id")).distinct()
 
@@ -205,24 +236,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD
     place = F.struct("doc_key", "pos")
     repeated = occurrences.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first")
     copies = occurrences.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(place != F.col("first")).select("doc_key", "pos")
-    exact = work.table(_removal(copies, "exact"), "exact")
-    n_exact = exact.agg(F.coalesce(F.sum(F.size("exact")), F.lit(0))).first()[0]
-    exact_side = small(exact.withColumnRenamed("doc_key", "exact_key"), n_exact, BROADCAST_LINES)
-    none = F.array().cast("array<int>")
-    with_exact = keyed.join(exact_side, F.col("doc_key") == F.col("exact_key"), "left").drop("exact_key")
-    some = F.col("exact").isNotNull()
-    left = F.when(some, kept_lines(F.col("text"), F.col("exact"))).otherwise(lines_of(F.col("text")))
-    at = F.when(some, F.array_except(F.sequence(F.lit(0), _line_count(F.col("text")) - 1), F.col("exact")))
-    first = with_exact.select("doc_key", at.alias("places"), F.posexplode(left).alias("k", "line"))
-    long_ones = first.where((F.length("line") >= max(least_chars, threshold + 1)) & (F.trim("line") != ""))
-    lines = long_ones.select(F.struct("doc_key", F.coalesce(F.get("places", F.col("k")), "k").alias("pos")).alias("at"), "line")
+    copies = work.table(copies.distinct(), "copies")
+    n_exact = copies.count()
+    gone = small(copies.toDF("gone_key", "gone_pos"), n_exact, BROADCAST_LINES)
+    first = told.where(F.length("line") >= max(least_chars, threshold + 1)).join(gone, (F.col("doc_key") == F.col("gone_key")) & (F.col("pos") == F.col("gone_pos")), "left_anti")
+    lines = first.select(F.struct("doc_key", "pos").alias("at"), "line")
     near = near_lines(work, lines, threshold).select("at.doc_key", "at.pos")
-    near = work.table(_removal(near, "near"), "near")
-    n_near = near.agg(F.coalesce(F.sum(F.size("near")), F.lit(0))).first()[0]
-    near_side = small(near.withColumnRenamed("doc_key", "near_key"), n_near, BROADCAST_LINES)
-    out = with_exact.join(near_side, F.col("doc_key") == F.col("near_key"), "left")
+    near = work.table(near, "near")
+    side = lambda lines, n, name: small(_removal(lines, name).withColumnRenamed("doc_key", f"{name}_key"), n, BROADCAST_LINES)
+    out = keyed.join(side(copies, n_exact, "exact"), F.col("doc_key") == F.col("exact_key"), "left").join(side(near, near.count(), "near"), F.col("doc_key") == F.col("near_key"), "left")
+    none = F.array().cast("array<int>")
     gone = F.array_sort(F.concat(F.coalesce("exact", none), F.coalesce("near", none)))
-    cleaned = F.when(some | F.col("near").isNotNull(), F.array_join(kept_lines(F.col("text"), gone), "\n")).otherwise(F.col("text"))
+    cleaned = F.when(F.col("exact").isNotNull() | F.col("near").isNotNull(), F.array_join(kept_lines(F.col("text"), gone), "\n")).otherwise(F.col("text"))
     size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
     return out.select("row", cleaned.alias("cleaned"), F.coalesce(_line_count(F.col("text")), F.lit(0)).alias("n_lines"), size("exact").alias("n_exact"), size("near").alias("n_near"))
 
