@@ -10,6 +10,7 @@ rows: `SAMPLE` for each language, chosen by a hash of doc_id and text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,40 +160,41 @@ def fit(labelled: DataFrame) -> Model:
 
 
 PREDICTED = "lang_pred string, score double, rejected boolean"
+#: Texts that are counted at a time.
+ROWS = 256
 
 
-def _predict(model: Model, kept: list[str]):
+def _predict(model: Model):
     names = np.array(model.languages, dtype=object)
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                counts = counts_of(part.column("text"))
-                known = np.array(part.column("has_letter").to_pylist(), dtype=bool)
-                lang, score, rejected = np.full(len(known), "und", dtype=object), np.zeros(len(known)), np.ones(len(known), dtype=bool)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = []
+            for at in range(0, len(column), ROWS):
+                part = column.slice(at, ROWS)
+                counts, known = counts_of(part.fill_null(b"")), part.is_valid().to_numpy(zero_copy_only=False)
+                lang, score, rejected = np.full(len(part), "und", dtype=object), np.zeros(len(part)), np.ones(len(part), dtype=bool)
                 if len(names):
                     near = np.clip(vectors(counts, model.idf) @ model.centroids.T, 0, 1)
-                    best = near.argmax(axis=1)
-                    lang = np.where(known, names[best], "und")
+                    lang = np.where(known, names[near.argmax(axis=1)], "und")
                     score = np.where(known, near.max(axis=1), 0.0)
                     rejected = ~known | (score < least_scores(counts, model))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(lang.tolist(), pa.string()), pa.array(score.astype(np.float64)), pa.array(rejected)], names=[*kept, "lang_pred", "score", "rejected"])
+                parts.append((lang, score, rejected))
+            lang, score, rejected = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else ([], np.zeros(0), np.zeros(0, bool))
+            yield pa.StructArray.from_arrays([pa.array(list(lang), pa.string()), pa.array(score.astype(np.float64)), pa.array(rejected)], names=["lang_pred", "score", "rejected"])
 
-    return run
+    return F.arrow_udf(run, PREDICTED).asNondeterministic()  # so that a filter on its result doesn't run it again
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of `docs` with lang_pred, score (cosine to the nearest centroid) and rejected.
+    """The columns `keep` of `docs`, under any names but those three, with lang_pred, score (cosine to the nearest centroid) and rejected.
 
-    Text that is null or has no letter is `und` with score 0 and rejected. Only text decides. Equal texts get equal
-    predictions; languages at equal distance go to the first by name. An empty table gives none.
+    Text that is null or has no letter is `und` with score 0 and rejected. Only text decides, and only text goes to Python. Equal texts get equal
+    predictions; languages at equal distance go to the first by name. Very long texts are counted in parts. An empty table gives none.
     """
-    inner = [f"kept_{k}" for k in range(len(keep))]
-    rows = docs.select(*(F.col(c).alias(i) for c, i in zip(keep, inner, strict=True)), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), has_letter(F.col("text")).alias("has_letter"))
-    schema = ", ".join(f"{i} {docs.schema[c].dataType.simpleString()}" for c, i in zip(keep, inner, strict=True))
-    found = rows.mapInArrow(_predict(model, inner), f"{schema}, {PREDICTED}")
-    return found.select(*(F.col(i).alias(c) for c, i in zip(keep, inner, strict=True)), "lang_pred", "score", "rejected")
+    text = F.when(has_letter(F.col("text")), F.col("text").cast("binary"))
+    found = docs.select(F.struct(*keep).alias("kept"), _predict(model)(text).alias("found"))
+    return found.select(*(F.col("kept")[c].alias(c) for c in keep), "found.lang_pred", "found.score", "found.rejected")
 
 
 def held_out(doc_id: Column) -> Column:
