@@ -23,7 +23,7 @@ LEAST_CHARS = 24
 #: Entries up to which decisions on lines are sent to all executors rather than joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 #: Pairs that may meet under one key; a key with more is divided by further segments. Lines up to which texts to verify are sent to all executors.
-FEW_PAIRS, VERIFY_TEXTS = 500, 50_000
+FEW_PAIRS, VERIFY_TEXTS = 200, 50_000
 
 
 def lines_of(text: Column) -> Column:
@@ -121,7 +121,7 @@ def under_keys(rows: DataFrame, t: int, keep: list[str]) -> DataFrame:
 
     `rows` has path (what is known to agree so far), role, m and rest. A row of role 0 is entered under the segments of its rest, of m characters; it
     also looks for moved segments, in role 1, as rows do that have t or fewer characters more than m. With a null m, a text is taken
-    in both roles and for all lengths.
+    in both roles and for all lengths. `earlier` has the keys of a row of role 0 that come before this one.
     """
     tried = F.array(*(F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("i"), F.lit(c).alias("move")) for a, b, c in places(t)))
     put = rows.withColumn("n", F.length("rest")).withColumn("place", F.explode(tried)).where(F.col("m").isNull() | (F.col("n") - F.col("m") == F.col("place.shorter")))
@@ -130,7 +130,10 @@ def under_keys(rows: DataFrame, t: int, keep: list[str]) -> DataFrame:
     put = put.select(*keep, "path", "rest", "n", F.when((F.col("role") == 0) & (F.col("place.shorter") == 0) & (move == 0), 0).otherwise(1).alias("role"), m.alias("whole"), i.alias("i"), (begin + move).alias("start"), (end - begin).alias("size"))
     put = put.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
     key = F.xxhash64("path", "whole", "i", F.substring("rest", F.col("start") + 1, F.col("size")))
-    return put.select(*keep, "rest", "role", (F.col("whole") - F.col("size")).alias("m"), "start", "size", key.alias("key"))
+    bounds = [F.floor(F.col("n") * k / (t + 1)).cast("int") for k in range(t + 1)]
+    before = F.array(*(F.xxhash64("path", "whole", F.lit(k), F.substring("rest", bounds[k] + 1, bounds[k + 1] - bounds[k])) for k in range(t)))
+    earlier = F.when(F.col("role") == 0, F.slice(before, F.lit(1), F.col("i")))
+    return put.select(*keep, "rest", "role", (F.col("whole") - F.col("size")).alias("m"), "start", "size", key.alias("key"), earlier.alias("earlier"))
 
 
 def without_cut() -> Column:
@@ -146,11 +149,12 @@ def live_keys(keys: DataFrame) -> DataFrame:
 
 
 def pairs_under(members: DataFrame) -> DataFrame:
-    """a < b: texts that meet under one of the keys of `members`, of which each has few."""
-    entered = members.where("role = 0").select("key", F.col("id").alias("x"))
-    others = members.select(F.col("key").alias("other_key"), F.col("role").alias("other_role"), F.col("id").alias("y"))
-    met = entered.join(others, F.col("key") == F.col("other_key")).where("x <> y AND (other_role = 1 OR x < y)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """a < b: texts that meet under one of the keys of `members`, of which each has few, and under none before that."""
+    entered = members.where("role = 0").select("key", F.col("id").alias("x"), F.col("met").alias("x_met"))
+    others = members.select(F.col("key").alias("other_key"), F.col("role").alias("other_role"), F.col("id").alias("y"), F.col("met").alias("y_met"))
+    new = ~F.arrays_overlap("x_met", "y_met")
+    met = entered.join(others, (F.col("key") == F.col("other_key")) & (F.col("x") != F.col("y")) & ((F.col("other_role") == 1) | (F.col("x") < F.col("y"))) & new)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def within(pairs: DataFrame, texts: DataFrame, n_pairs: int, n_texts: int, t: int) -> DataFrame:
@@ -174,38 +178,43 @@ def near_lines(work: Workspace, lines: DataFrame, t: int) -> DataFrame:
     """
     whole = lines.select("at", F.col("line").alias("rest"), F.lit(0).cast("long").alias("path"), F.lit(0).alias("role"), F.lit(None).cast("int").alias("m"))
     live = work.table(live_keys(under_keys(whole, t, [])), "live")
-    n_live = live.count()
-    found = under_keys(whole, t, ["at"]).join(small(live, n_live), F.col("key") == F.col("live")).drop("live")
-    members = work.table(found.withColumn("id", F.xxhash64("rest")), "members")
+    found = under_keys(whole, t, ["at"]).join(small(live, live.count()), F.col("key") == F.col("live"))
+    members = work.table(found.select("at", F.xxhash64("rest").alias("id"), "key", "role", "m", "pairs", "rest", "start", "size", _met(None, t).alias("met")), "members")
     texts = members.groupBy("id").agg(F.min("at").alias("at"), F.any_value("rest").alias("line"))
     texts = work.table(texts.withColumn("parity", parities(F.col("line"))), "texts")
     n_texts = texts.count()
-    pairs, gone = [work.table(pairs_under(members.where(F.col("pairs") <= FEW_PAIRS)), "pairs")], []
-    hot = members.where(F.col("pairs") > FEW_PAIRS)
-    while not hot.isEmpty():
-        hot = work.table(hot.select("key", "role", "m", "at", "id", without_cut().alias("rest")), "hot")
+    pairs, gone = [pairs_under(members.where(F.col("pairs") <= FEW_PAIRS))], []
+    while n_hot := (hot := members.where(F.col("pairs") > FEW_PAIRS)).count():
+        hot = hot.select("key", "role", "m", "at", "id", "met", without_cut().alias("rest"))
         me = F.struct("at", "id")
         firsts = hot.groupBy(F.col("key").alias("first_key")).agg(F.min(me).alias("any"), F.min(F.when(F.col("role") == 0, me)).alias("entered"))
-        n_hot = hot.count()
-        led = hot.join(small(firsts, firsts.count()), F.col("key") == F.col("first_key"))
+        led = hot.join(small(firsts, n_hot), F.col("key") == F.col("first_key"))
         led = led.select("key", "id", F.col("any.id").alias("lead"), F.when(F.col("role") == 0, F.col("any.id")).otherwise(F.col("entered.id")).alias("first")).where("id <> lead")
         star = led.where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
         gone.append(work.table(within(star, texts, n_hot, n_texts, t), "gone"))
-        settled = reduce(DataFrame.union, gone).select(F.col("id").alias("settled")).distinct()
+        settled = small(reduce(DataFrame.union, gone).select(F.col("id").alias("settled")).distinct(), n_texts)
         unsettled = work.table(led.join(settled, F.col("id") == F.col("settled"), "left_anti").select(F.col("key").alias("open_key")).distinct(), "open")
-        left = hot.join(small(unsettled, unsettled.count()), F.col("key") == F.col("open_key")).drop("open_key")
-        pairs.append(work.table(pairs_under(left.where(F.col("m") <= t)), "pairs"))  # nothing is left to cut
-        deeper = left.where(F.col("m") > t).withColumnRenamed("key", "path")
-        live = work.table(live_keys(under_keys(deeper, t, [])), "live")
-        members = under_keys(deeper, t, ["at", "id"]).join(small(live, live.count()), F.col("key") == F.col("live")).drop("live")
-        members = work.table(members, "members")
-        pairs.append(work.table(pairs_under(members.where(F.col("pairs") <= FEW_PAIRS)), "pairs"))
-        hot = members.where(F.col("pairs") > FEW_PAIRS)
-    every = reduce(DataFrame.union, pairs)
-    every = work.table(every.distinct(), "all-pairs") if len(pairs) > 1 else every
+        left = hot.join(small(unsettled, n_hot), F.col("key") == F.col("open_key")).drop("open_key")
+        pairs.append(pairs_under(left.where(F.col("m") <= t)))  # nothing is left to cut
+        once = under_keys(left.where(F.col("m") > t).withColumnRenamed("key", "path"), t, ["at", "id", "met"])
+        once = once.select("at", "id", F.col("key").alias("path"), "role", "m", without_cut().alias("rest"), _met("met", t).alias("met"))
+        twice = under_keys(once, t, ["at", "id", "met"])  # two cuts before keys are counted again
+        live = work.table(live_keys(twice), "live")
+        found = twice.join(small(live, 9 * n_hot), F.col("key") == F.col("live"))
+        members = work.table(found.select("at", "id", "key", "role", "m", "pairs", "rest", "start", "size", _met("met", t).alias("met")), "members")
+        pairs.append(pairs_under(members.where(F.col("pairs") <= FEW_PAIRS)))
+    every = work.table(reduce(DataFrame.union, pairs).distinct(), "pairs")
     return reduce(DataFrame.union, [*gone, within(every, texts, every.count(), n_texts, t)])
 
 
+def _met(before: str | None, t: int) -> Column:
+    """Keys before this one under which two rows would have met already. For more than three edits, equal segments at
+    equal places needn't be parts of a best alignment, so there pairs may be met more than once."""
+    none = F.array().cast("array<bigint>")
+    now = F.coalesce("earlier", none) if t <= 3 else none
+    return F.concat(before, now) if before else now
+
+
 def _removal(lines: DataFrame, name: str) -> DataFrame:
     return lines.groupBy("doc_key").agg(F.array_sort(F.collect_set("pos")).alias(name))  # lines of one document
 
