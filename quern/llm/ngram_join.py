@@ -1,10 +1,11 @@
-"""Operator 7: n-gram Jaccard join by banded MinHash LSH (an LSH forest with prefixes of one fixed length) and exact verification.
+"""Operator 7: n-gram Jaccard join by a MinHash LSH forest and exact verification.
 
 Documents with equal shingle sets fall into one class first, so copies cost nothing later. Each tree of the forest labels a class
-with a sequence of minimum hashes. Classes under the same trie node, that is with the same prefix of labels,
-are linked to the node's smallest class; prefixes are as long as the target recall at the threshold allows. The
-connected groups that result hold every link. They are verified exactly, in blocks of bounded size, by products of sparse membership
-matrices; so a group of copies of any size is spread over tasks and its pairs are counted, not written out.
+with a sequence of minimum hashes; classes with a common prefix of labels are under one node of the tree's trie. Matched prefixes are
+shortened from whole labels: to `SHORT` hashes where few classes share that, so that nearly everything similar meets there, and elsewhere, in crowded
+parts of the trie, only as far as a class needs to be found with the target recall. Classes under a node are mates. Mates are placed in blocks of
+bounded size by the connected groups of nodes, and blocks that hold mates are verified exactly, by products of sparse membership matrices or pair by pair
+where mates are few; so a group of copies of any size is spread over tasks and its pairs are counted, not written out.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from quern.llm.graph import components
 from quern.llm.storage import Workspace, small
 
 SHINGLE, SIMILARITY = 5, 0.8
-TREES, FULL_PREFIX, TARGET_RECALL = 64, 16, 0.9999
+#: Trees, hashes of a whole label, and recall at the threshold that prefixes are shortened for.
+TREES, FULL, TARGET_RECALL = 32, 12, 0.999
+#: The shortest prefix, and the number of classes up to which a node of it is taken as it is.
+SHORT, FEW_MATES = 5, 8
 #: Classes in a block of a verified group; a group of more is verified as pairs of blocks.
 BLOCK = 256
 #: Bytes of text that are shingled at a time.
@@ -126,8 +130,13 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def forest_nodes(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray, trees: int) -> np.ndarray:
-    """One trie node of each tree: a hash of the tree and of the label prefix."""
+def trees_needed(similarity: float, length: int, target: float) -> int:
+    """Trees whose prefixes must be as short as `length` for the target recall, whatever the other trees find."""
+    return math.ceil(math.log(1 - target) / math.log(1 - similarity**length))
+
+
+def forest_nodes(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray, trees: int, lengths: tuple[int, ...]) -> np.ndarray:
+    """Of each tree, the trie nodes at some prefix lengths: hashes of the tree and of the label's prefix."""
     low = np.full((len(mul), 1), 0xFFFFFFFF, dtype=np.uint32)
     x = (shingles >> _U(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
@@ -136,30 +145,51 @@ def forest_nodes(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray, trees:
             hashes += add[:, None]
             low = np.minimum(low, hashes.min(axis=1, keepdims=True))
         labels = low.reshape(trees, -1).astype(np.uint64)
-        nodes = np.arange(trees, dtype=np.uint64)
+        nodes, out = np.arange(trees, dtype=np.uint64), []
         for k in range(labels.shape[1]):
             nodes = _mix(nodes * _U(_P) + labels[:, k] + _U(1))
-    return nodes.astype(np.int64)
+            if k + 1 in lengths:
+                out.append(nodes)
+    return np.stack(out).astype(np.int64)
 
 
-SIGNED = "row_key long, doc_id long, text_hash long, n int, h1 long, h2 long, nodes array<long>"
+SIGNED = "row_key long, doc_id long, text_hash long, n int, h1 long, h2 long, short array<long>, middle array<long>, whole array<long>"
 
 
-def _sign(trees: int, length: int):
+def _sign(trees: int, lengths: tuple[int, int, int]):
     def run(batches):
-        mul, add = _multipliers(trees * length)
+        mul, add = _multipliers(trees * lengths[2])
         for batch in batches:
             for at, sets in sets_of(batch.column("text")):
                 ids = [class_of(s) for s in sets]
-                nodes = [forest_nodes(s, mul, add, trees) if len(s) else np.zeros(0, np.int64) for s in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in nodes])]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(nodes)))
+                nodes = [forest_nodes(s, mul, add, trees, lengths) for s in sets if len(s)]
+                offsets = pa.array(np.concatenate([[0], np.cumsum([trees * (len(s) > 0) for s in sets])]).astype(np.int32))
+                flat = np.concatenate(nodes, axis=1) if nodes else np.zeros((3, 0), np.int64)
                 kept = [batch.column(c).slice(at, len(sets)) for c in ("row_key", "doc_id", "text_hash")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([len(s) for s in sets], pa.int32()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), listed], names=["row_key", "doc_id", "text_hash", "n", "h1", "h2", "nodes"])
+                found = [pa.array([len(s) for s in sets], pa.int32()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64())]
+                listed = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(row))) for row in flat]
+                yield pa.RecordBatch.from_arrays([*kept, *found, *listed], names=["row_key", "doc_id", "text_hash", "n", "h1", "h2", "short", "middle", "whole"])
 
     return run
 
 
+def mates_of(classes: DataFrame, work: Workspace, trees: int, needed: int) -> DataFrame:
+    """node, trie: the trie nodes that classes are matched at, of which each holds two classes or more.
+
+    The matched prefix is the short one where its node holds up to FEW_MATES classes. A class that has `needed` such trees has its target recall from them; so
+    crowded nodes keep whole labels unless they hold a class that has fewer: for those the prefix is shortened to the middle length.
+    """
+    under = classes.select("node", F.explode(F.arrays_zip("short", "middle", "whole")).alias("at")).select("node", "at.*")
+    shared = work.table(under.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("short", "shared"), "shared")
+    held = under.join(small(shared, shared.count()), F.col("short") == F.col("shared"))
+    held = work.table(held.select("node", F.when(F.col("n") <= FEW_MATES, F.col("short")).alias("short"), "middle", "whole"), "held")
+    crowded = held.where("short IS NULL")
+    wanting = crowded.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > trees - needed).select(F.col("node").alias("wanting"))
+    opened = crowded.join(wanting, F.col("node") == F.col("wanting"), "left_semi").select(F.col("middle").alias("opened")).distinct()
+    cut = crowded.join(opened, F.col("middle") == F.col("opened"), "left").select("node", F.when(F.col("opened").isNotNull(), F.col("middle")).otherwise(F.col("whole")).alias("trie"))
+    return work.table(held.where("short IS NOT NULL").select("node", F.col("short").alias("trie")).union(cut), "mates")
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """doc_id, or for rows without one a hash of the text that comes after all ids."""
     high = 1 << 62
@@ -178,8 +208,8 @@ def _fetched(batches):
             part = batch.slice(at, len(sets))
             h1, h2 = part.column("h1").to_pylist(), part.column("h2").to_pylist()
             keep = [class_of(s) == (a, b) for s, a, b in zip(sets, h1, h2, strict=True)]
-            arrays = [part.column(c).filter(pa.array(keep)) for c in ("node", "grp", "blk", "blks", "copies")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], pa.binary())], names=["node", "grp", "blk", "blks", "copies", "shingles"])
+            arrays = [part.column(c).filter(pa.array(keep)) for c in ("node", "grp", "blk", "blks", "copies", "tries")]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], pa.binary())], names=["node", "grp", "blk", "blks", "copies", "tries", "shingles"])
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -204,10 +234,16 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.
     return out
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> np.ndarray:
-    shared = shared_counts(left, right).astype(np.float64)
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None, mates: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs are similar: of `mates` one by one if they are few, else of all pairs at once."""
     a = np.array([len(s) for s in left], dtype=np.float64)[:, None]
     b = np.array([len(s) for s in (left if right is None else right)], dtype=np.float64)[None, :]
+    if mates.sum() * 16 < mates.size:
+        shared = np.zeros(mates.shape)
+        for i, j in zip(*np.nonzero(mates), strict=True):
+            shared[i, j] = len(np.intersect1d(left[i], (left if right is None else right)[j], assume_unique=True))
+    else:
+        shared = shared_counts(left, right).astype(np.float64)
     mask = shared >= similarity * (a + b - shared) - 1e-9
     if right is None:
         np.fill_diagonal(mask, False)
@@ -236,14 +272,17 @@ def _verify(similarity: float):
             first = group["blk"] == group["left_block"]
             sides = []
             for side in (group[first], group[~first]):
-                sides.append((side["node"].to_numpy(), side["copies"].to_numpy(), [np.frombuffer(s, dtype=np.uint64) for s in side["shingles"]]))
-            (nodes, copies, sets), (nodes2, copies2, sets2) = sides
+                sides.append((side["node"].to_numpy(), side["copies"].to_numpy(), [np.frombuffer(s, dtype=np.uint64) for s in side["shingles"]], [np.asarray(t) for t in side["tries"]]))
+            (nodes, copies, sets, tries), (nodes2, copies2, sets2, tries2) = sides
             if not sets or (len(sets) < 2 and not sets2):
                 continue
             one = not sets2 and bool((group["left_block"] == group["right_block"]).all())
             if not one and not sets2:
                 continue
-            mask = linked(sets, None if one else sets2, similarity)
+            mates = shared_counts(tries, None if one else tries2) > 0
+            if one:
+                np.fill_diagonal(mates, False)
+            mask = linked(sets, None if one else sets2, mates, similarity)
             found += [(a, None, n) for a, n in zip(nodes.tolist(), (mask @ (copies if one else copies2)).tolist(), strict=True) if n]
             if not one:
                 found += [(a, None, n) for a, n in zip(nodes2.tolist(), (mask.T @ copies).tolist(), strict=True) if n]
@@ -261,6 +300,16 @@ def blocked(members: DataFrame, sizes: DataFrame, block: int, work: Workspace) -
     return joined.withColumn("blks", blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blks")).cast("int")).drop("size")
 
 
+def facing_blocks(members: DataFrame, under: DataFrame, work: Workspace) -> DataFrame:
+    """face_grp, face_blk, faces: the pairs of blocks of large groups that hold mates, under each of their two blocks."""
+    held = members.select(F.col("node").alias("member"), "grp", "blk").join(under, F.col("member") == F.col("node"))
+    together = held.groupBy("grp", "trie").agg(F.array_sort(F.collect_set("blk")).alias("blks")).select("grp", "blks").distinct()
+    pairs = together.select("grp", "blks", F.explode("blks").alias("left_block")).select("grp", "left_block", F.explode("blks").alias("right_block")).where("left_block <= right_block").distinct()
+    pair = F.struct("left_block", "right_block")
+    either = pairs.select("grp", F.explode(F.array_distinct(F.array("left_block", "right_block"))).alias("blk"), pair.alias("pair"))
+    return work.table(either.groupBy(F.col("grp").alias("face_grp"), F.col("blk").alias("face_blk")).agg(F.collect_list("pair").alias("faces")), "faces")
+
+
 def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, target_recall: float = TARGET_RECALL) -> DataFrame:
     """A row for each row of `docs` (doc_id, text): doc_id, row_key, text_hash, class_id (smallest doc_id of the documents that links reach), n_links (other documents
     of Jaccard similarity `similarity` or more over 5-word shingles), n_copies (documents with the same shingles, itself included), kept (one document of
@@ -270,11 +319,13 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SI
     Rows that repeat a document are copies. Other columns are ignored. An empty table gives none.
     """
     work = Workspace(spark, "ngram")
-    length = prefix_length(similarity, trees, FULL_PREFIX, target_recall)
-    signed = work.table(_keyed(docs).mapInArrow(_sign(trees, length), SIGNED), "signed")
-    grouped = signed.where("n > 0").groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("row_key").alias("rep"), F.any_value("nodes").alias("nodes"))
+    middle = prefix_length(similarity, trees, FULL, target_recall)
+    short = min(SHORT, middle)
+    lengths = (short, middle, FULL) if short < middle < FULL else (max(1, middle - 1), middle, middle + 1) if middle > 1 else (1, 2, 3)
+    signed = work.table(_keyed(docs).mapInArrow(_sign(trees, lengths), SIGNED), "signed")
+    grouped = signed.where("n > 0").groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("row_key").alias("rep"), *(F.any_value(c).alias(c) for c in ("short", "middle", "whole")))
     classes = work.table(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    under = classes.select("node", F.explode("nodes").alias("trie"))
+    under = mates_of(classes, work, trees, trees_needed(similarity, lengths[0], target_recall))
     shared = under.groupBy("trie").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("trie").alias("shared_trie"), "least")
     stars = under.join(shared, F.col("trie") == F.col("shared_trie")).where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
     near = components(stars, work)
@@ -283,11 +334,15 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SI
     members = work.table(blocked(members, members.groupBy("grp").agg(F.count("*").alias("size")), BLOCK, work), "members")
     n_members = members.count()
     if n_members:
+        tries = under.groupBy(F.col("node").alias("trie_node")).agg(F.array_sort(F.collect_set("trie")).alias("tries"))  # one for each tree
         known = members.join(classes.select(F.col("node").alias("class_node"), "h1", "h2", "rep", "copies"), F.col("node") == F.col("class_node")).drop("class_node")
+        known = known.join(tries, F.col("node") == F.col("trie_node")).drop("trie_node")
         found = _keyed(docs).select("row_key", "text").join(small(known, n_members), F.col("row_key") == F.col("rep"))
-        sets = found.select("text", "h1", "h2", "node", "grp", "blk", "blks", "copies").mapInArrow(_fetched, "node long, grp long, blk int, blks int, copies long, shingles binary")
-        other = F.explode(F.sequence(F.lit(0), F.col("blks") - 1)).alias("other")
-        dealt = sets.select("*", other).select("node", "grp", "blk", "copies", "shingles", F.least("blk", "other").alias("left_block"), F.greatest("blk", "other").alias("right_block"), "blks")
+        sets = found.select("text", "h1", "h2", "node", "grp", "blk", "blks", "copies", "tries").mapInArrow(_fetched, "node long, grp long, blk int, blks int, copies long, tries array<long>, shingles binary")
+        faced = facing_blocks(members.where("blks > 1"), under, work)
+        sides = F.explode(F.coalesce("faces", F.array(F.struct(F.lit(0).alias("left_block"), F.lit(0).alias("right_block"))))).alias("face")
+        dealt = sets.join(small(faced, faced.count()), (F.col("grp") == F.col("face_grp")) & (F.col("blk") == F.col("face_blk")), "left").where("blks = 1 OR faces IS NOT NULL")
+        dealt = dealt.select("node", "grp", "blk", "blks", "copies", "tries", "shingles", sides).select("*", "face.*").drop("face")
         lots = max(1, n_members // 512)
         lot = F.when(F.col("blks") == 1, F.pmod(F.xxhash64("grp"), F.lit(lots))).otherwise(-1 - F.col("grp"))
         verified = dealt.withColumn("lot", lot).groupBy("lot", "left_block", "right_block").applyInPandas(_verify(similarity), "src long, dst long, n long")
@@ -301,7 +356,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SI
     joined = work.table(joined.select("root", F.col("h1").alias("c1"), F.col("h2").alias("c2"), "copies", "rep", F.coalesce("links", F.lit(0)).alias("links")), "joined")
     keepers = joined.groupBy(F.col("root").alias("keeper_root")).agg(F.min("rep").alias("keeper"))
     whole = joined.join(keepers, F.col("root") == F.col("keeper_root"))
-    rows = signed.drop("nodes").join(whole, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("n") > 0), "left")
+    rows = signed.drop("short", "middle", "whole").join(whole, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("n") > 0), "left")
     keeper = F.coalesce("keeper", "row_key")
     return rows.select("doc_id", "row_key", "text_hash", F.when(keeper < (1 << 62), keeper).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"), (F.col("row_key") == keeper).alias("kept"))
 

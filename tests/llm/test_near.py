@@ -78,8 +78,21 @@ def test_keep_one(spark, odd_docs):
 
 
 def test_prefixes_shorten_to_the_target():
-    d = ngram_join.prefix_length(0.8, 64, 16, 0.9999)
-    assert 1 - (1 - 0.8**d) ** 64 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 64
+    d = ngram_join.prefix_length(0.8, 32, 12, 0.999)
+    assert 1 - (1 - 0.8**d) ** 32 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 32
+    k = ngram_join.trees_needed(0.8, 5, 0.999)
+    assert 1 - (1 - 0.8**5) ** k >= 0.999 > 1 - (1 - 0.8**5) ** (k - 1)
+
+
+def test_crowded_nodes_keep_long_prefixes_unless_a_class_wants_recall(spark):
+    # classes 0 to 29: 0 to 19 crowd the first tree alone; 20 to 29 crowd both, and share a middle node by fives
+    rows = []
+    for k in range(30):
+        crowd = 1 if k < 20 else 2
+        rows.append((k, [crowd, 3 if k >= 20 else 100 + k], [10 + k % 2 if k < 20 else 20 + k // 25, 30 + k], [1000 + k, 2000 + k]))
+    classes = spark.createDataFrame(rows, "node long, short array<long>, middle array<long>, whole array<long>")
+    found = {(r.node, r.trie) for r in ngram_join.mates_of(classes, Workspace(spark, "test"), 2, 1).collect()}
+    assert found == {(k, 1000 + k) for k in range(20)} | {(k, 20 + k // 25) for k in range(20, 30)} | {(k, 30 + k) for k in range(20, 30)}
 
 
 @settings(max_examples=4, deadline=None)
