@@ -262,41 +262,21 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.link_embeddings(spark, frame.limit(0)).count() == 0
 
 
-def test_embedding_recall_of_a_table(spark):
-    path = "/root/testdata/check_s/embeddings.parquet"
-    rows = [tuple(r) for r in spark.read.parquet(path).select("vec_id", "label", "embedding").collect()]
-    found = embedding_dedup.link_embeddings(spark, spark.read.parquet(path)).collect()
-    by = {}
-    for i, label, e in rows:
-        by.setdefault(label, []).append((i, e))
-    total = 0
-    for held in by.values():
-        x = embedding_dedup.unit(np.array([e for _, e in held], float))
-        total += int((x @ x.T >= 0.98).sum()) - len(held)
-    assert total > 0 and sum(r.n_links for r in found) >= 0.99 * total
-
-
-def test_loose_pairs_beside_a_tight_group(spark, monkeypatch, tmp_path):
-    rng = np.random.default_rng(8)
-    hot = rng.normal(size=16) + rng.normal(size=(1000, 16)) * 1e-4
-    one = embedding_dedup.unit(rng.normal(size=(200, 16)))
-    aside = rng.normal(size=one.shape)
-    aside = embedding_dedup.unit(aside - (aside * one).sum(1)[:, None] * one)
-    x = np.concatenate([hot, one, 0.983 * one + np.sqrt(1 - 0.983**2) * aside]).astype(np.float32)
-    spark.createDataFrame([(k, 0, e) for k, e in enumerate(x.tolist())], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    monkeypatch.setattr(embedding_dedup, "CELL", 2)
-    found = {r.vec_id: r for r in embedding_dedup.op3_embedding_dedup(spark, str(tmp_path)).collect()}
-    y = embedding_dedup.unit(x.astype(float))
-    linked = y @ y.T >= 0.98
-    assert [found[k].n_links for k in range(len(x))] == (linked.sum(1) - 1).tolist()
-    assert [found[k].component_id for k in range(len(x))] == [0] * 1000 + 2 * list(range(1000, 1200))
-
-
-@settings(max_examples=50, deadline=None)
-@given(st.integers(0, 10**6))
-def test_traversal_is_complete_and_in_order(seed):
-    rng = np.random.default_rng(seed)
-    a, b, limit = rng.random(6), rng.random(5), rng.random()
-    cells = embedding_dedup.traverse(a, b, limit)
-    bounds = [a[c // 5] + b[c % 5] for c in cells]
-    assert bounds == sorted(bounds) and set(cells) == {i * 5 + j for i in range(6) for j in range(5) if a[i] + b[j] <= limit}
+def test_embedding_recall_of_a_tight_group_beside_loose_pairs(spark):
+    rng = np.random.default_rng(9)
+    vectors = [rng.normal(size=24) for _ in range(900)]
+    centre = rng.normal(size=24)
+    vectors += [centre + rng.normal(size=24) * 0.005 for _ in range(600)]  # one tight group
+    vectors += [v + rng.normal(size=24) * 0.19 for v in vectors[:500]]  # pairs near the threshold
+    rows = [(k, int(rng.integers(0, 2)) if k < 900 else 0, v.tolist()) for k, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    found = {r.vec_id: r.n_links for r in embedding_dedup.link_embeddings(spark, frame).collect()}
+    x = np.array([r.embedding for r in frame.orderBy("vec_id").collect()], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[1] for r in rows])
+    links = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(links, False)
+    want = links.sum(axis=1)
+    loose = [k for k in range(len(rows)) if not 900 <= k < 1500]
+    assert sum(want[k] for k in loose) > 100
+    assert [found[k] for k in range(len(rows))] == want.tolist()
