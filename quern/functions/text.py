@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Legal-form words that end a firm's name.
-LEGAL_FORMS = ["INC", "LLC", "LTD", "CORP", "CO", "COMPANY", "CORPORATION", "INCORPORATED", "LIMITED", "PLC", "GMBH"]
+#: Legal forms and country tags that owners add to a firm's name.
+LEGAL_FORMS = ["LLC", "LLP", "LP", "INC", "INCORPORATED", "CO", "CORP", "CORPORATION", "LTD", "LIMITED", "COMPANY", "PBC", "PLC", "GMBH", "AG", "SA", "SAS", "SPA", "SRL", "BV", "NV", "USA", "US"]
+#: Words that say nothing in a search.
+NOISE = ["and", "the", "of", "with", "for", "de", "la", "oz"]
 
 
 def collapse(text: Column) -> Column:
@@ -20,20 +22,32 @@ def word_form(text: Column) -> Column:
 
 
 def brand_key(name: Column) -> Column:
-    """A key under which spellings of a firm's name meet: no parentheses, leading THE, legal forms or punctuation. A name of
-    at most three characters keeps all its words."""
-    short = F.length(F.trim(name)) <= 3
-    bare = word_form(F.regexp_replace(name, r"\([^)]*\)", " "))
-    bare = F.regexp_replace(bare, "^THE ", "")
-    bare = F.regexp_replace(bare, f"( ({'|'.join(LEGAL_FORMS)}))+$", "")
-    return F.when(short, F.regexp_replace(F.upper(name), "[^A-Z0-9]", "")).otherwise(F.regexp_replace(bare, " ", ""))
+    """A key under which spellings of a firm's name meet: no notes in parentheses, leading THE, legal forms after the first word, or anything but letters and
+    digits of any script. A key of at most three characters keeps signs such as the ampersand, which initials need."""
+    bare = F.regexp_replace(F.regexp_replace(F.upper(name), r"\([^)]*\)", " "), "[.,'\u2019\u2018`\u00b4]", "")
+    bare = F.regexp_replace(bare, r"^\s*THE\s+", "")
+    bare = F.regexp_replace(bare, rf"(?<=\S)\s+({'|'.join(LEGAL_FORMS)})\b", "")
+    key = F.regexp_replace(bare, r"[^\p{L}\p{N}]", "")
+    return F.when(F.length(key) <= 3, F.regexp_replace(F.upper(name), r"[\s.\-/\\'`\u2011\u2022\u2019\u2018\u00b4\u2122\u00ae\u00a9]", "")).otherwise(key)
 
 
 def tokens(query: Column, least: int = 2, most: int = 6, noise: list[str] | None = None) -> Column:
-    """Distinct lower-case words of a query in order, without short ones and noise, at most `most`."""
-    parts = F.split(F.trim(F.regexp_replace(F.lower(query), "[^a-z0-9]+", " ")), " ")
-    kept = F.filter(parts, lambda w: (F.length(w) >= least) & ~w.isin(*(noise or [""])))
-    return F.slice(F.array_distinct(kept), 1, most)
+    """Distinct lower-case words of a query, of letters and digits of any script, in order and without short ones, at most `most`. Noise goes unless all is noise."""
+    words = F.array_distinct(F.filter(F.split(F.lower(query), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= least))
+    said = F.filter(words, lambda w: ~w.isin(*(noise or NOISE)))
+    return F.slice(F.when(F.size(said) > 0, said).otherwise(words), 1, most)
+
+
+def strip_location(firm: Column) -> Column:
+    """A firm's name without `of City, ST`, for two-letter states."""
+    return F.regexp_replace(firm, r"(?i),?\s+of\s+[^,]+,\s*[a-z]{2}\.?\s*$", "")
+
+
+def firm_keys(firm: Column) -> Column:
+    """Keys of the names in a firm's text: on either side of d/b/a, a/k/a or t/a, with and without the place."""
+    parts = F.split(firm, r"(?i)\s+(?:d/?b/?a|a/?k/?a|t/?a)\.?\s+")
+    keys = F.flatten(F.transform(parts, lambda p: F.array(brand_key(F.trim(p)), brand_key(F.trim(strip_location(p))))))
+    return F.array_distinct(F.filter(keys, lambda k: F.length(k) >= 2))
 
 
 def singular(word: Column) -> Column:

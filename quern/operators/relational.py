@@ -9,11 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key by `order`; aggregates before it shuffles, so hot keys don't meet in one task."""
-    return first_per_key(df, keys, order)
-
-
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     place = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= n).drop("_place")
