@@ -23,7 +23,7 @@ LEAST_CHARS = 24
 #: Entries up to which decisions on lines are sent to all executors rather than joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 #: Pairs that may meet under one key; a key with more is divided by further segments. Lines up to which texts to verify are sent to all executors.
-FEW_PAIRS, VERIFY_TEXTS = 200, 50_000
+FEW_PAIRS, VERIFY_TEXTS = 60, 50_000
 
 
 def lines_of(text: Column) -> Column:
@@ -121,7 +121,7 @@ def under_keys(rows: DataFrame, t: int, keep: list[str]) -> DataFrame:
 
     `rows` has path (what is known to agree so far), role, m and rest. A row of role 0 is entered under the segments of its rest, of m characters; it
     also looks for moved segments, in role 1, as rows do that have t or fewer characters more than m. With a null m, a text is taken
-    in both roles and for all lengths. `earlier` has the keys of a row of role 0 that come before this one.
+    in both roles and for all lengths. `earlier` has the keys of a row that come before this one, in role 1 that of the beginning.
     """
     tried = F.array(*(F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("i"), F.lit(c).alias("move")) for a, b, c in places(t)))
     put = rows.withColumn("n", F.length("rest")).withColumn("place", F.explode(tried)).where(F.col("m").isNull() | (F.col("n") - F.col("m") == F.col("place.shorter")))
@@ -130,9 +130,9 @@ def under_keys(rows: DataFrame, t: int, keep: list[str]) -> DataFrame:
     put = put.select(*keep, "path", "rest", "n", F.when((F.col("role") == 0) & (F.col("place.shorter") == 0) & (move == 0), 0).otherwise(1).alias("role"), m.alias("whole"), i.alias("i"), (begin + move).alias("start"), (end - begin).alias("size"))
     put = put.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
     key = F.xxhash64("path", "whole", "i", F.substring("rest", F.col("start") + 1, F.col("size")))
-    bounds = [F.floor(F.col("n") * k / (t + 1)).cast("int") for k in range(t + 1)]
+    bounds = [F.floor(F.col("whole") * k / (t + 1)).cast("int") for k in range(t + 1)]
     before = F.array(*(F.xxhash64("path", "whole", F.lit(k), F.substring("rest", bounds[k] + 1, bounds[k + 1] - bounds[k])) for k in range(t)))
-    earlier = F.when(F.col("role") == 0, F.slice(before, F.lit(1), F.col("i")))
+    earlier = F.slice(before, F.lit(1), F.when(F.col("role") == 0, F.col("i")).otherwise(F.least("i", F.lit(1))))  # a common beginning can always be taken out
     return put.select(*keep, "rest", "role", (F.col("whole") - F.col("size")).alias("m"), "start", "size", key.alias("key"), earlier.alias("earlier"))
 
 
