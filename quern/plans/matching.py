@@ -58,17 +58,15 @@ def q_barcode_forms(spark, sf_dir):
 
 @query(f"""
 WITH {RAW_SQL}, {JUDGED_SQL}, known AS (SELECT p_partkey, code FROM j WHERE reason IS NULL AND length(code) = 13),
-n AS (SELECT s_suppkey, 'Lot 12, UPC: ' || (SELECT max(code) FROM known WHERE p_partkey <= s_suppkey * 7) || ' and 123456789012, call 5551234' AS notice FROM supplier),
+n AS (SELECT s_suppkey, 'Lot 12, UPC: ' || code || ' and 123456789012, call 5551234' AS notice FROM supplier JOIN known ON p_partkey = s_suppkey * 7),
 x AS (SELECT s_suppkey, unnest(list_filter(regexp_extract_all(notice, '[0-9]+'), lambda d: length(d) IN (12, 13))) AS d FROM n)
 SELECT DISTINCT s_suppkey, known.p_partkey FROM x JOIN known ON lpad(d, 13, '0') = code""")
 def q_barcodes_in_text(spark, sf_dir):
     """Codes in running text, put into their one form, joined by equality."""
     part, supplier = load(spark, sf_dir, "part", "supplier")
     known = raw_codes(part).select("p_partkey", barcodes.normalize_barcode(F.col("raw"))["code"].alias("code")).where(F.length("code") == 13)
-    reach = supplier.select("s_suppkey", (F.col("s_suppkey") * 7).alias("top"))
-    greatest = known.select("p_partkey", F.max("code").over(Window.orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, 0)).alias("top_code"))  # a product list as long as a dimension
-    upto = reach.join(greatest, F.col("p_partkey") <= F.col("top")).groupBy("s_suppkey").agg(F.max("top_code").alias("c"))
-    notices = upto.select("s_suppkey", F.concat(F.lit("Lot 12, UPC: "), "c", F.lit(" and 123456789012, call 5551234")).alias("notice"))
+    named = supplier.join(known, F.col("s_suppkey") * 7 == F.col("p_partkey"))
+    notices = named.select("s_suppkey", F.concat(F.lit("Lot 12, UPC: "), "code", F.lit(" and 123456789012, call 5551234")).alias("notice"))
     runs = notices.select("s_suppkey", F.explode(F.regexp_extract_all("notice", F.lit(r"(?<!\d)(\d{12,13})(?!\d)"), 1)).alias("run"))
     read = runs.select("s_suppkey", barcodes.normalize_barcode(F.col("run"))["code"].alias("read"))
     return read.join(known, F.col("read") == F.col("code")).select("s_suppkey", "p_partkey").distinct()
@@ -82,7 +80,6 @@ WITH q AS (SELECT col0 AS query_id, list_filter(string_split_regex(lower(col1),
 t AS (SELECT query_id, CASE WHEN len(list_filter(ws, lambda w: w NOT IN ('and', 'the'))) > 0 THEN list_filter(ws, lambda w: w NOT IN ('and', 'the')) ELSE ws END AS tokens FROM q),
 m AS (SELECT query_id, p_brand, tokens, list_filter(tokens, lambda w: contains(lower(p_brand), w)) AS matched FROM t, (SELECT DISTINCT p_brand FROM part)),
 best AS (SELECT *, max(len(matched)) OVER (PARTITION BY query_id) AS best FROM m), win AS (SELECT * FROM best WHERE best > 0 AND len(matched) = best),
-acc AS (SELECT query_id, w FROM (SELECT query_id, unnest(matched) AS w, count(*) OVER (PARTITION BY query_id) AS rows_, best FROM win) GROUP BY query_id, w, best HAVING count(*) = (SELECT count(*) FROM win x WHERE x.query_id = query_id)),
 a AS (SELECT query_id, list(w) AS accounted FROM (SELECT query_id, w, count(*) AS c FROM (SELECT query_id, unnest(matched) AS w FROM win) GROUP BY ALL) y WHERE c = (SELECT count(*) FROM win x WHERE x.query_id = y.query_id) GROUP BY query_id)
 SELECT DISTINCT t.query_id, p_partkey FROM t LEFT JOIN a USING (query_id), part WHERE len(list_filter(tokens, lambda w: NOT contains(lower(p_name), w))) = 0
   OR EXISTS (SELECT 1 FROM win WHERE win.query_id = t.query_id AND win.p_brand = part.p_brand) AND len(list_filter(tokens, lambda w: NOT contains(lower(p_name), w) AND NOT list_contains(a.accounted, w))) = 0""")
