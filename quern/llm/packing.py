@@ -102,6 +102,8 @@ def _cut(tokenizer: str, end_id: int, capacity: int, narrow: bool):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 ids += end
                 total = len(ids) // 4
+                if narrow and np.frombuffer(ids, "<u4").max() > 0xFFFF:
+                    raise ValueError("ids of more than 16 bits; packing stores 16")
                 first = (total - 1) % capacity + 1
                 cuts = [0, *range(first, total + 1, capacity)]
                 for k in range(len(cuts) - 1):
@@ -117,7 +119,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int, narrow: bool):
 def pack(spark: SparkSession, docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2) -> DataFrame:
     """Pieces of `docs` (doc_id, text) with the sequence and offset that each is packed at.
 
-    Returns doc_id, piece, start, length, ids_crc32, ids (little-endian 16-bit ids, for a vocabulary of at most 65,536),
+    Returns doc_id, piece, start, length, ids_crc32, ids (little-endian 16-bit ids; a larger id is an error),
     sequence_id, offset. A null or empty text is a piece of the end id alone. Rows that repeat a
     doc_id, or have none, are documents of their own. A document of more than `capacity` ids is cut into pieces of
     `capacity`, the first one shorter where it doesn't come out even. Other columns of `docs`, whatever their names, are

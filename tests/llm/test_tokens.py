@@ -45,6 +45,11 @@ def test_two_fit_beats_the_greedy_fill():
     assert (sorted([60, 20, 20]), 1) in [(sorted(b), t) for b, t in packing.best_two_fit({60: 1, 25: 1, 20: 2}, 100)]
 
 
+def test_pack_refuses_ids_of_more_than_16_bits(spark):
+    with pytest.raises(Exception, match="more than 16 bits"):
+        packing.pack(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), end_id=70_000).count()
+
+
 def test_pack(spark, odd_docs):
     rows = packing.pack(spark, odd_docs, capacity=64).collect()
     assert len({(r.doc_id, r.piece, r.ids_crc32, r.sequence_id, r.offset) for r in rows}) == len(rows)
