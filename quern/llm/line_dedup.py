@@ -3,7 +3,7 @@
 Of equal lines the first stays. Among those left, a line that is within `THRESHOLD` edits of an earlier one goes too. Two lines
 within t edits agree on one of t + 1 segments of the shorter one, at a place that the edits can have moved only a little; so
 each line is entered under its segments and looked up under the few substrings of the right length at the right
-places. A segment that very many lines share is refined by segments of what is left of them. Pairs that share a key and whose letter counts
+places. A segment that very many lines share is refined by the letter counts of its lines, then by segments of what is left of them. Pairs that share a key and whose letter counts
 allow it are verified by a banded bit-parallel edit distance: the band's vertical differences are bits of a number that is advanced one character at a time.
 """
 
@@ -22,8 +22,8 @@ THRESHOLD = 2
 LEAST_CHARS = 24
 #: Entries up to which decisions on lines are sent to all executors rather than joined by a shuffle.
 BROADCAST_LINES = 1_000_000
-#: Pairs that may meet under one key; a key with more is divided by further segments. Lines up to which texts to verify are sent to all executors.
-FEW_PAIRS, VERIFY_TEXTS = 60, 50_000
+#: Pairs that may meet under one key for each line that it has; a key with more is divided, which makes about as many rows of each line. Lines up to which texts to verify are sent to all executors.
+FEW_PAIRS, VERIFY_TEXTS = 20, 50_000
 
 
 def lines_of(text: Column) -> Column:
@@ -120,11 +120,14 @@ def under_keys(rows: DataFrame, t: int, keep: list[str]) -> DataFrame:
     """The columns `keep` of `rows` once for each key of a row, with key, role, m and the cut (start, size) that the key's segment makes.
 
     `rows` has path (what is known to agree so far), role, m and rest. A row of role 0 is entered under the segments of its rest, of m characters; it
-    also looks for moved segments, in role 1, as rows do that have t or fewer characters more than m. With a null m, a text is taken
+    also looks for moved segments, in role 1, as rows do that have t or fewer characters more than m. Without m, a text is taken
     in both roles and for all lengths. `earlier` has the keys of a row that come before this one, in role 1 that of the beginning.
     """
     tried = F.array(*(F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("i"), F.lit(c).alias("move")) for a, b, c in places(t)))
-    put = rows.withColumn("n", F.length("rest")).withColumn("place", F.explode(tried)).where(F.col("m").isNull() | (F.col("n") - F.col("m") == F.col("place.shorter")))
+    put = rows.withColumn("n", F.length("rest"))
+    if "m" in rows.columns:
+        tried = F.filter(tried, lambda p: p["shorter"] == F.col("n") - F.col("m"))
+    put = put.withColumn("place", F.explode(tried))
     m, i, move = F.col("n") - F.col("place.shorter"), F.col("place.i"), F.col("place.move")
     begin, end = F.floor(m * i / (t + 1)).cast("int"), F.floor(m * (i + 1) / (t + 1)).cast("int")
     put = put.select(*keep, "path", "rest", "n", F.when((F.col("role") == 0) & (F.col("place.shorter") == 0) & (move == 0), 0).otherwise(1).alias("role"), m.alias("whole"), i.alias("i"), (begin + move).alias("start"), (end - begin).alias("size"))
@@ -141,11 +144,32 @@ def without_cut() -> Column:
     return F.concat(F.substring("rest", F.lit(1), F.col("start")), F.substring("rest", F.col("start") + F.col("size") + 1, F.length("rest")))
 
 
+def letter_groups(line: Column, n: int) -> Column:
+    """A number for each of n groups of characters (by code point modulo n): how often each character of the group occurs. An edit changes at most two of them."""
+
+    def group(chars, g):
+        return F.xxhash64(F.array_join(F.array_sort(F.filter(chars, lambda c: F.ascii(c) % n == g)), ""))
+
+    return bound(F.split(line, ""), lambda chars: F.array(*(group(chars, g) for g in range(n))))
+
+
+def under_counts(rows: DataFrame, groups: DataFrame, n_texts: int, t: int) -> DataFrame:
+    """`rows` (key, id, met, ...), once for each of 2t + 1 groups of characters; t edits leave the counts of one of them as they are.
+
+    The new key is the old one with those counts; `met` is extended by the keys of the groups before, so a pair meets under the first that agrees.
+    """
+    here = rows.join(small(groups, n_texts), F.col("id") == F.col("group_id")).drop("group_id")
+    each = F.transform("counts", lambda c, g: F.xxhash64("key", g, c))
+    others = [c for c in rows.columns if c not in ("key", "met")]
+    split = here.select(*others, "met", each.alias("keys")).select(*others, "met", "keys", F.posexplode("keys").alias("g", "key"))
+    return split.select(*others, "key", F.concat("met", F.slice("keys", F.lit(1), F.col("g"))).alias("met"))
+
+
 def live_keys(keys: DataFrame) -> DataFrame:
-    """Keys under which pairs can meet, with the number of those pairs."""
+    """Keys under which pairs can meet, with the number of those pairs for each line of the key."""
     counted = keys.groupBy("key").agg(F.sum(F.when(F.col("role") == 0, F.lit(1 << 32)).otherwise(F.lit(1).cast("long"))).alias("both"))
     e, found = F.shiftright("both", 32), F.col("both").bitwiseAND((1 << 32) - 1)
-    return counted.where((e >= 2) | ((e >= 1) & (found >= 1))).select(F.col("key").alias("live"), (F.floor(e * (e - 1) / 2) + e * found).alias("pairs"))
+    return counted.where((e >= 2) | ((e >= 1) & (found >= 1))).select(F.col("key").alias("live"), ((e * (e - 1) / 2 + e * found) / (e + found)).alias("pairs"))
 
 
 def pairs_under(members: DataFrame) -> DataFrame:
@@ -173,17 +197,17 @@ def within(pairs: DataFrame, texts: DataFrame, n_pairs: int, n_texts: int, t: in
 def near_lines(work: Workspace, lines: DataFrame, t: int) -> DataFrame:
     """at, id of the `lines` (at, line; all different) within t edits of an earlier one.
 
-    Lines meet under the keys of their segments. A key that many share is divided: what agrees is taken out, the t edits lie in the rest, and the rest is cut into segments again, and so
-    on until few lines share a key. Before that, each line of such a key is compared with the earliest one; keys whose lines have all found an earlier partner are done.
+    Lines meet under the keys of their segments. A key that many share is divided, first by how often letters occur in its lines, of which t edits leave some groups alone. If many still
+    share a key, what agrees is taken out, the t edits lie in the rest, and the rest is cut into segments again, and so on until few lines share a key. Before that, each line of such a key is compared with the earliest one; keys whose lines have all found an earlier partner are done.
     """
-    whole = lines.select("at", F.col("line").alias("rest"), F.lit(0).cast("long").alias("path"), F.lit(0).alias("role"), F.lit(None).cast("int").alias("m"))
+    whole = lines.select("at", F.col("line").alias("rest"), F.lit(0).cast("long").alias("path"), F.lit(0).alias("role"))
     live = work.table(live_keys(under_keys(whole, t, [])), "live")
     found = under_keys(whole, t, ["at"]).join(small(live, live.count()), F.col("key") == F.col("live"))
     members = work.table(found.select("at", F.xxhash64("rest").alias("id"), "key", "role", "m", "pairs", "rest", "start", "size", _met(None, t).alias("met")), "members")
     texts = members.groupBy("id").agg(F.min("at").alias("at"), F.any_value("rest").alias("line"))
     texts = work.table(texts.withColumn("parity", parities(F.col("line"))), "texts")
     n_texts = texts.count()
-    pairs, gone = [pairs_under(members.where(F.col("pairs") <= FEW_PAIRS))], []
+    pairs, gone, counted = [pairs_under(members.where(F.col("pairs") <= FEW_PAIRS))], [], False
     while n_hot := (hot := members.where(F.col("pairs") > FEW_PAIRS)).count():
         hot = hot.select("key", "role", "m", "at", "id", "met", without_cut().alias("rest"))
         me = F.struct("at", "id")
@@ -195,6 +219,15 @@ def near_lines(work: Workspace, lines: DataFrame, t: int) -> DataFrame:
         settled = small(reduce(DataFrame.union, gone).select(F.col("id").alias("settled")).distinct(), n_texts)
         unsettled = work.table(led.join(settled, F.col("id") == F.col("settled"), "left_anti").select(F.col("key").alias("open_key")).distinct(), "open")
         left = hot.join(small(unsettled, n_hot), F.col("key") == F.col("open_key")).drop("open_key")
+        if not counted:
+            ids = left.select(F.col("id").alias("hot_id")).distinct()
+            groups = texts.join(ids, F.col("id") == F.col("hot_id")).select(F.col("id").alias("group_id"), letter_groups(F.col("line"), 2 * t + 1).alias("counts"))
+            finer = work.table(under_counts(left, work.table(groups, "groups"), n_texts, t), "counted")
+            live = work.table(live_keys(finer), "live")
+            members = work.table(finer.join(small(live, (2 * t + 1) * n_hot), F.col("key") == F.col("live")).drop("live").withColumn("start", F.lit(0)).withColumn("size", F.lit(0)), "members")
+            pairs.append(pairs_under(members.where(F.col("pairs") <= FEW_PAIRS)))
+            counted = True
+            continue
         pairs.append(pairs_under(left.where(F.col("m") <= t)))  # nothing is left to cut
         once = under_keys(left.where(F.col("m") > t).withColumnRenamed("key", "path"), t, ["at", "id", "met"])
         once = once.select("at", "id", F.col("key").alias("path"), "role", "m", without_cut().alias("rest"), _met("met", t).alias("met"))
