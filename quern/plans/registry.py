@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import catalogue, matching  # noqa: F401 (adds its queries to the catalogue's)
+from quern.plans import catalogue, interchange, matching  # noqa: F401 (add their queries to the catalogue's)
 
 QUERIES = dict(catalogue.QUERIES)
 SQL = dict(catalogue.SQL)

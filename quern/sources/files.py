@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,27 +22,50 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str, mu
     return parsed.select("r.*", "bad", F.when(F.col("bad"), F.col("value")).alias("line"))
 
 
-def read_csv_with_header_below(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
-    """Rows of CSV files whose header is not the first line: the first line that has all `required` names, in any order or
-    case. Lines before it are a preamble. A file without such a line gives no rows."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+def bind(patterns: Mapping[str, str], cells: Sequence[str]) -> dict[str, int] | None:
+    """A cell of its own for each pattern that occurs in it, whatever the case; None if there aren't enough."""
+    place: dict[str, int] = {}
+
+    def settle(name: str, tried: set[int]) -> bool:
+        for k, cell in enumerate(cells):
+            if k not in tried and re.search(patterns[name], cell, re.IGNORECASE):
+                tried.add(k)
+                holder = next((n for n, at in place.items() if at == k), None)
+                if holder is None or settle(holder, tried):
+                    place[name] = k
+                    return True
+        return False
+
+    return place if all(settle(name, set()) for name in patterns) else None
+
+
+def read_csv_with_header_below(spark: SparkSession, path: str, required: Sequence[str] | Mapping[str, str]) -> DataFrame:
+    """Rows of CSV files whose header is not the first line: the first line in which each of the `required` patterns finds a cell of its own; names
+    without patterns stand for whole cells, in any order or case. Lines before it are a preamble. A file without such a line gives no rows.
+    A file is read whole by one task, as its header decides on all of it."""
+    lines = spark.read.text(path, wholetext=True)
+    patterns = dict(required) if isinstance(required, Mapping) else {r: rf"^\s*{re.escape(r)}\s*$" for r in required}
 
     def rows(batches):
         import csv
 
-        wanted = [r.lower() for r in required]
         for batch in batches:
             out = []
             for text in batch.column("value").to_pylist():
-                table = list(csv.reader(io.StringIO(text.lstrip("﻿"))))
-                at = next((k for k, line in enumerate(table) if set(wanted) <= {c.strip().lower() for c in line}), None)
-                if at is None:
-                    continue
-                place = {c.strip().lower(): k for k, c in reversed(list(enumerate(table[at])))}
-                out += [[line[place[w]] if place[w] < len(line) else None for w in wanted] for line in table[at + 1 :] if any(line)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(len(required))], names=list(required))
-
-    return lines.select("value").mapInArrow(rows, ", ".join(f"`{r}` string" for r in required))
+                place = None
+                for line in csv.reader(io.StringIO(text.lstrip("\ufeff"))):
+                    if place is None:
+                        place = bind(patterns, line)
+                    elif any(line):
+                        out.append([line[place[c]] if place[c] < len(line) else None for c in patterns])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(len(patterns))], names=list(patterns))
+
+    return lines.select("value").mapInArrow(rows, ", ".join(f"`{c}` string" for c in patterns))
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header and doubled quotes; cells may hold line breaks. Everything is text."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
