@@ -88,3 +88,47 @@ def without(stored: Column, removed: Column) -> Column:
     """The elements of `stored` but for `removed`, or all of them if none would be left."""
     left = F.filter(stored, lambda x: ~F.array_contains(removed, x))
     return F.when(F.size(left) > 0, left).otherwise(stored)
+
+
+#: Signs of tags that no reader sees, and the forms of tags.
+INVISIBLE = r"[­​-‏‪-‮⁠﻿]"
+REPEATED_PREFIX = r"^([a-z]{2}:)(?:\1)+"
+WELL_FORMED_TAG = r"^[a-z]{2}:[\p{L}\p{M}0-9-]+$"
+ADDITIVE_TAG = r"^[a-z]{2}:(e\d{3,4}[a-z]{0,4})$"
+
+
+def canonical_tag(tag: Column) -> Column:
+    plain = F.lower(F.trim(F.regexp_replace(tag, INVISIBLE, "")))
+    return F.regexp_replace(F.regexp_replace(plain, r"\s+", "-"), REPEATED_PREFIX, "$1")
+
+
+def tags_of(raw: Column) -> Column:
+    """The well-formed tags in a text: several if language prefixes divide it into well-formed ones, else the text itself if it is one."""
+    parts = F.transform(F.split(F.regexp_replace(F.lower(raw), REPEATED_PREFIX, "$1"), r"[\s,;-]+(?=[a-z]{2}:)"), canonical_tag)
+    divided = F.forall(parts, lambda t: t.rlike(WELL_FORMED_TAG))
+    return F.array_distinct(F.filter(F.when(divided, parts).otherwise(F.array(canonical_tag(raw))), lambda t: t.rlike(WELL_FORMED_TAG)))
+
+
+def additive_numbers(tags: Column) -> Column:
+    return F.filter(F.transform(tags, lambda t: F.regexp_extract(t, ADDITIVE_TAG, 1)), lambda n: n != "")
+
+
+def words_only(text: Column) -> Column:
+    """Letters and digits of any script in lower case, after a few entities are decoded."""
+    plain = F.coalesce(text, F.lit(""))
+    for entity, sign in (("&quot;", '"'), ("&amp;", "&"), ("&#39;|&apos;", "'"), ("&nbsp;", " ")):
+        plain = F.regexp_replace(plain, f"(?i){entity}", sign)
+    return F.lower(F.regexp_replace(plain, r"[^\p{L}\p{N}]", ""))
+
+
+def split_fault(confidence: Column, brand: Column, title: Column, secondary: Column, name: Column, company: Column) -> Column:
+    """Why a proposed split of a name is refused, or null: its parts must put the name together again, and the title must say more than the company."""
+    rebuilt = F.concat(words_only(brand), words_only(title), words_only(secondary))
+    return (
+        F.when(confidence == "low", "low_confidence")
+        .when(F.trim(F.coalesce(title, F.lit(""))) == "", "empty_title")
+        .when(rebuilt != words_only(name), "does_not_reconstruct")
+        .when(words_only(title) == words_only(company), "title_is_brand")
+        .when(words_only(title) == "", "title_has_no_words")
+        .when(brand.isNull() & secondary.isNull(), "no_split_offered")
+    )

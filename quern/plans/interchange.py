@@ -177,3 +177,63 @@ def q_drop_gate(spark, sf_dir):
 def q_open_columns(spark, sf_dir):
     """Rows in which one of a group of columns, put together at run time, still has no value."""
     return load(spark, sf_dir, "documents").select("doc_id", rules.any_missing("lang", "source").alias("open"))
+
+
+#: A tag as a feed has it, the tags that it stands for, and the additive that it names.
+TAGS = [
+    ("en:milk en:soybeans", "en:milk|en:soybeans", ""),
+    ("en:en:gluten-en:soybeans", "en:gluten|en:soybeans", ""),
+    ("es:contiene-de:-trigo+", "", ""),
+    (" EN:Tree  Nuts", "en:tree-nuts", ""),
+    ("milk", "", ""),
+    ("en:E322i", "en:e322i", "e322i"),
+    ("en:crustacean-shellfish", "en:crustacean-shellfish", ""),
+    ("fr:\u200blait, fr:blé", "fr:lait|fr:blé", ""),
+    ("en:e1442;en:milk", "en:e1442|en:milk", "e1442"),
+]
+
+
+@query(f"SELECT p_partkey, ({[t for _, t, _ in TAGS]!r})[p_partkey % {len(TAGS)} + 1] AS tags, ({[a for _, _, a in TAGS]!r})[p_partkey % {len(TAGS)} + 1] AS additives FROM part")
+def q_tags(spark, sf_dir):
+    """tags in one form, several in one text taken apart, additives by number."""
+    raw = F.element_at(F.array(*(F.lit(t) for t, _, _ in TAGS)), (F.col("p_partkey") % len(TAGS) + 1).cast("int"))
+    found = load(spark, sf_dir, "part").select("p_partkey", rules.tags_of(raw).alias("t"))
+    return found.select("p_partkey", F.array_join("t", "|").alias("tags"), F.array_join(rules.additive_numbers(F.col("t")), "|").alias("additives"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 7 WHEN 1 THEN 'low_confidence' WHEN 2 THEN 'empty_title' WHEN 3 THEN 'does_not_reconstruct' WHEN 4 THEN 'title_is_brand' WHEN 5 THEN 'title_has_no_words' WHEN 6 THEN 'no_split_offered' END AS fault FROM part""")
+def q_split_faults(spark, sf_dir):
+    """proposed splits of names, refused where their parts don't put the name together again."""
+    kind, nothing = F.col("p_partkey") % 7, F.lit(None).cast("string")
+    brand, name, sort = F.col("p_brand"), F.col("p_name"), F.col("p_type")
+    whole = F.concat(brand, F.lit("&nbsp;"), name, F.lit(", "), sort)
+    lead = F.when(kind == 4, nothing).when(kind == 6, nothing).when(kind == 5, F.concat(brand, name)).otherwise(brand)
+    title = F.when(kind == 2, " ").when(kind == 3, "Other").when(kind == 4, brand).when(kind == 5, "!!").when(kind == 6, whole).otherwise(name)
+    second = F.when(kind == 4, F.concat(name, sort)).when(kind == 6, nothing).otherwise(sort)
+    fault = rules.split_fault(F.when(kind == 1, "low").otherwise("high"), lead, title, second, whole, brand)
+    return load(spark, sf_dir, "part").select("p_partkey", fault.alias("fault"))
+
+
+@query("""
+SELECT o_orderpriority AS source, count(*) AS records, 'open' AS file_name FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL
+UNION ALL SELECT o_orderpriority, count(*), 'filled' FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL""")
+def q_run_log(spark, sf_dir):
+    """Each run appends what it matched to the log of runs."""
+    orders, path = load(spark, sf_dir, "orders"), shared_path(spark, "runs")
+    for file_name, status in (("open", "O"), ("filled", "F")):
+        sinks.append_run(orders.where(F.col("o_orderstatus") == status).groupBy(F.col("o_orderpriority").alias("source")).agg(F.count("*").alias("records")), path, file_name)
+    return spark.read.schema("source string, records long, file_name string").parquet(path)
+
+
+@query("""
+WITH best AS (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC) AS k FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 20))
+SELECT l_partkey, l_orderkey, o_orderpriority FROM best JOIN orders ON o_orderkey = l_orderkey WHERE k = 1""")
+def q_record_chain(spark, sf_dir):
+    """The latest record of each wanted key in one file, then what a second file says under that record's id."""
+    part, lineitem, orders = load(spark, sf_dir, "part", "lineitem", "orders")
+    wanted = part.where("p_size > 20").select(F.col("p_partkey").alias("l_partkey"))
+    held = lineitem.select("l_partkey", "l_orderkey", "l_shipdate").join(wanted, "l_partkey", "left_semi")
+    best = held.groupBy("l_partkey").agg(F.max(F.struct("l_shipdate", "l_orderkey"))["l_orderkey"].alias("l_orderkey"))
+    said = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    return best.join(said, "l_orderkey").select("l_partkey", "l_orderkey", "o_orderpriority")

@@ -23,3 +23,8 @@ def undo(spark: SparkSession, table: DataFrame, path: str, run_label: str, key:
     joined = table.join(log, key, "left")
     still = F.col("new_value").eqNullSafe(F.col(column)) & (F.col("old_value").isNotNull() | F.col("new_value").isNotNull())
     return joined.withColumn(column, F.when(still, F.col("old_value")).otherwise(F.col(column))).drop("old_value", "new_value")
+
+
+def append_run(counts: DataFrame, path: str, file_name: str) -> None:
+    """Append what a run matched (source, records) to the log of runs under `path`."""
+    counts.select("source", F.col("records").cast("long"), F.lit(file_name).alias("file_name")).write.mode("append").parquet(path)
