@@ -132,3 +132,15 @@ def split_fault(confidence: Column, brand: Column, title: Column, secondary: Col
         .when(words_only(title) == "", "title_has_no_words")
         .when(brand.isNull() & secondary.isNull(), "no_split_offered")
     )
+
+
+#: What a notice's reason says when the way of making was at fault.
+PROCESS_FAULTS = [
+    "listeria", "salmonella", r"e\.? ?coli", "o157", "stec", "clostridium", "botulinum", "botulism", "cronobacter", "norovirus", "hepatitis", "cyclospora", "staphylococc", "bacillus", "pathogen", "microbial",
+    "mold", "yeast", "contaminat", "insanitary", "unsanitary", "sanitation", "rodent", "insect", "pest", "filth", r"\bc?gmp\b", "good manufacturing", "under.?process", "processing deviation", "temperature abuse",
+    "not properly (cooked|pasteurized)", "pasteuri", "without (the )?benefit of (federal )?inspection", "foreign (material|matter|object)", r"\bmetal\b", r"\bglass\b", "hard plastic", "pieces of plastic", r"\brubber\b",
+]
+
+
+def is_process_fault(reason: Column) -> Column:
+    return F.coalesce(reason.rlike(f"(?i)({'|'.join(PROCESS_FAULTS)})"), F.lit(False))

@@ -237,3 +237,52 @@ def q_record_chain(spark, sf_dir):
     best = held.groupBy("l_partkey").agg(F.max(F.struct("l_shipdate", "l_orderkey"))["l_orderkey"].alias("l_orderkey"))
     said = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
     return best.join(said, "l_orderkey").select("l_partkey", "l_orderkey", "o_orderpriority")
+
+
+#: Reasons of notices, and whether the way of making was at fault.
+REASONS = [("May contain Salmonella", True), ("Undeclared milk", False), ("cGMP deviations", True), ("Pieces of METAL", True), ("metallic print on label", False), (None, False), ("E. coli O157:H7", True), ("Unlabelled", False), ("underprocessed", True), ("Produced without benefit of inspection", True)]
+
+
+@query(f"SELECT p_partkey, ({[p for _, p in REASONS]!r})[p_partkey % {len(REASONS)} + 1] AS process FROM part")
+def q_process_faults(spark, sf_dir):
+    """Notices whose reason is a fault of the process rather than of a label."""
+    reason = F.element_at(F.array(*(F.lit(r) for r, _ in REASONS)), (F.col("p_partkey") % len(REASONS) + 1).cast("int"))
+    return load(spark, sf_dir, "part").select("p_partkey", rules.is_process_fault(reason).alias("process"))
+
+
+@query("""
+WITH k AS (SELECT *, CASE WHEN l_quantity < 2 THEN 'too_few' WHEN l_discount > 0.09 THEN 'too_cheap' END AS fault FROM lineitem)
+SELECT 'company' AS held, count(DISTINCT l_suppkey) AS n, sum(DISTINCT l_suppkey)::BIGINT AS keys FROM k WHERE fault IS NULL
+UNION ALL SELECT 'product', count(DISTINCT l_partkey), sum(DISTINCT l_partkey)::BIGINT FROM k WHERE fault IS NULL
+UNION ALL SELECT 'link', count(*), sum(l_partkey)::BIGINT FROM (SELECT DISTINCT l_partkey, l_suppkey FROM k WHERE fault IS NULL)
+UNION ALL SELECT fault, count(*), sum(l_orderkey)::BIGINT FROM k WHERE fault IS NOT NULL GROUP BY fault""")
+def q_ingest_tables(spark, sf_dir):
+    """One feed becomes several tables; each row that can't be written is kept beside them with its fault, and stops nothing else."""
+    fault = F.when(F.col("l_quantity") < 2, "too_few").when(F.col("l_discount") > 0.09, "too_cheap")
+    feed = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", fault.alias("fault"))
+    path = shared_path(spark, "ingested")
+    feed.write.partitionBy("fault").parquet(f"{path}/checked")  # the tables are taken from one pass over the feed
+    checked = spark.read.schema("l_orderkey long, l_partkey long, l_suppkey long, fault string").parquet(f"{path}/checked")
+    sound = checked.where(F.col("fault").isNull())
+    tables = {"company": sound.select(F.col("l_suppkey").alias("key")).distinct(), "product": sound.select(F.col("l_partkey").alias("key")).distinct(), "link": sound.select(F.col("l_partkey").alias("key"), "l_suppkey").distinct()}
+    for name, table in tables.items():
+        table.write.mode("append").parquet(f"{path}/{name}")
+    counts = [spark.read.schema("key long").parquet(f"{path}/{name}").agg(F.lit(name).alias("held"), F.count("*").alias("n"), F.sum("key").alias("keys")) for name in tables]
+    refused = checked.where(F.col("fault").isNotNull()).groupBy(F.col("fault").alias("held")).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+    return reduce(DataFrame.union, counts).union(refused)
+
+
+@query("SELECT table_name AS held, column_name AS name FROM information_schema.columns WHERE table_name IN ('part', 'supplier', 'nation') AND column_name LIKE '%name'")
+def q_columns(spark, sf_dir):
+    """Which columns tables have, from the catalogue, without reading a row."""
+    found = []
+    for name in ("part", "supplier", "nation"):
+        load(spark, sf_dir, name).createOrReplaceTempView(f"columns_of_{name}")
+        found += [(name, c.name) for c in spark.catalog.listColumns(f"columns_of_{name}") if c.name.endswith("name")]
+    return spark.createDataFrame(found, "held string, name string")
+
+
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey = 77")
+def q_point_lookup(spark, sf_dir):
+    """One row by its key; the key reaches the scan, whose statistics rule out other row groups."""
+    return load(spark, sf_dir, "part").where(F.col("p_partkey") == 77).select("p_partkey", "p_name", "p_brand").limit(1)
