@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import embedding_dedup, filter_audit, importance, language_id, line_dedup, media, mixing, ngram_join, packing, token_counts, token_files, warc
+from quern.llm import embedding_dedup, filter_audit, html_extraction, importance, language_id, line_dedup, media, mixing, ngram_join, packing, token_counts, token_files, warc
 
 QUERIES = {
     "op1_pack_documents": packing.op1_pack_documents,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_html_extraction": html_extraction.op13_html_extraction,
 }
 SQL = {
     "op3_embedding_dedup": embedding_dedup.OP3_SQL,
@@ -25,4 +26,5 @@ SQL = {
     "op9_mix_sources": mixing.OP9_SQL,
     "op11_importance_resampling": importance.OP11_SQL,
     "op12_filter_audit": filter_audit.OP12_SQL,
+    "op13_html_extraction": html_extraction.OP13_SQL,
 }
