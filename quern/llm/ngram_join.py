@@ -2,8 +2,9 @@
 
 Documents with equal shingle sets fall into one class first, so copies cost nothing later. Each tree of the forest labels a class
 with a sequence of minimum hashes; classes with a common prefix of labels are under one node of the tree's trie. Matched prefixes are
-shortened from whole labels: to `SHORT` hashes where few classes share that, so that nearly everything similar meets there, and elsewhere, in crowded
-parts of the trie, only as far as a class needs to be found with the target recall. Classes under a node are mates. Mates are placed in blocks of
+shortened from whole labels, one hash at a time, until all trees together reach the target recall; no tree ever matches longer ones. Where few classes
+share a still shorter prefix of `SHORT` hashes, that one is matched, so that nearly everything similar meets there; crowded parts of a trie keep the prefix of the target.
+Crowding is no matter of chance for a pair (two groups of copies crowd a node exactly where they meet), so it may only add matches. Classes under a node are mates. Mates are placed in blocks of
 bounded size by the connected groups of nodes, and blocks that hold mates are verified exactly, by products of sparse membership matrices or pair by pair
 where mates are few; so a group of copies of any size is spread over tasks and its pairs are counted, not written out.
 """
@@ -130,11 +131,6 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def trees_needed(similarity: float, length: int, target: float) -> int:
-    """Trees whose prefixes must be as short as `length` for the target recall, whatever the other trees find."""
-    return math.ceil(math.log(1 - target) / math.log(1 - similarity**length))
-
-
 def forest_nodes(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray, trees: int, lengths: tuple[int, ...]) -> np.ndarray:
     """Of each tree, the trie nodes at some prefix lengths: hashes of the tree and of the label's prefix."""
     low = np.full((len(mul), 1), 0xFFFFFFFF, dtype=np.uint32)
@@ -153,41 +149,32 @@ def forest_nodes(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray, trees:
     return np.stack(out).astype(np.int64)
 
 
-SIGNED = "row_key long, doc_id long, text_hash long, n int, h1 long, h2 long, short array<long>, middle array<long>, whole array<long>"
+SIGNED = "row_key long, doc_id long, text_hash long, n int, h1 long, h2 long, short array<long>, middle array<long>"
 
 
-def _sign(trees: int, lengths: tuple[int, int, int]):
+def _sign(trees: int, lengths: tuple[int, int]):
     def run(batches):
-        mul, add = _multipliers(trees * lengths[2])
+        mul, add = _multipliers(trees * lengths[1])
         for batch in batches:
             for at, sets in sets_of(batch.column("text")):
                 ids = [class_of(s) for s in sets]
                 nodes = [forest_nodes(s, mul, add, trees, lengths) for s in sets if len(s)]
                 offsets = pa.array(np.concatenate([[0], np.cumsum([trees * (len(s) > 0) for s in sets])]).astype(np.int32))
-                flat = np.concatenate(nodes, axis=1) if nodes else np.zeros((3, 0), np.int64)
+                flat = np.concatenate(nodes, axis=1) if nodes else np.zeros((2, 0), np.int64)
                 kept = [batch.column(c).slice(at, len(sets)) for c in ("row_key", "doc_id", "text_hash")]
                 found = [pa.array([len(s) for s in sets], pa.int32()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64())]
                 listed = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(row))) for row in flat]
-                yield pa.RecordBatch.from_arrays([*kept, *found, *listed], names=["row_key", "doc_id", "text_hash", "n", "h1", "h2", "short", "middle", "whole"])
+                yield pa.RecordBatch.from_arrays([*kept, *found, *listed], names=["row_key", "doc_id", "text_hash", "n", "h1", "h2", "short", "middle"])
 
     return run
 
 
-def mates_of(classes: DataFrame, work: Workspace, trees: int, needed: int) -> DataFrame:
-    """node, trie: the trie nodes that classes are matched at, of which each holds two classes or more.
-
-    The matched prefix is the short one where its node holds up to FEW_MATES classes. A class that has `needed` such trees has its target recall from them; so
-    crowded nodes keep whole labels unless they hold a class that has fewer: for those the prefix is shortened to the middle length.
-    """
-    under = classes.select("node", F.explode(F.arrays_zip("short", "middle", "whole")).alias("at")).select("node", "at.*")
+def mates_of(classes: DataFrame, work: Workspace) -> DataFrame:
+    """node, trie: the trie nodes that classes are matched at: the short prefix where its node holds two to FEW_MATES classes, else the middle one."""
+    under = classes.select("node", F.explode(F.arrays_zip("short", "middle")).alias("at")).select("node", "at.*")
     shared = work.table(under.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("short", "shared"), "shared")
     held = under.join(small(shared, shared.count()), F.col("short") == F.col("shared"))
-    held = work.table(held.select("node", F.when(F.col("n") <= FEW_MATES, F.col("short")).alias("short"), "middle", "whole"), "held")
-    crowded = held.where("short IS NULL")
-    wanting = crowded.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > trees - needed).select(F.col("node").alias("wanting"))
-    opened = crowded.join(wanting, F.col("node") == F.col("wanting"), "left_semi").select(F.col("middle").alias("opened")).distinct()
-    cut = crowded.join(opened, F.col("middle") == F.col("opened"), "left").select("node", F.when(F.col("opened").isNotNull(), F.col("middle")).otherwise(F.col("whole")).alias("trie"))
-    return work.table(held.where("short IS NOT NULL").select("node", F.col("short").alias("trie")).union(cut), "mates")
+    return work.table(held.select("node", F.when(F.col("n") <= FEW_MATES, F.col("short")).otherwise(F.col("middle")).alias("trie")), "mates")
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -320,12 +307,11 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SI
     """
     work = Workspace(spark, "ngram")
     middle = prefix_length(similarity, trees, FULL, target_recall)
-    short = min(SHORT, middle)
-    lengths = (short, middle, FULL) if short < middle < FULL else (max(1, middle - 1), middle, middle + 1) if middle > 1 else (1, 2, 3)
+    lengths = (min(SHORT, middle - 1), middle) if middle > 1 else (1, 2)
     signed = work.table(_keyed(docs).mapInArrow(_sign(trees, lengths), SIGNED), "signed")
-    grouped = signed.where("n > 0").groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("row_key").alias("rep"), *(F.any_value(c).alias(c) for c in ("short", "middle", "whole")))
+    grouped = signed.where("n > 0").groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("row_key").alias("rep"), *(F.any_value(c).alias(c) for c in ("short", "middle")))
     classes = work.table(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    under = mates_of(classes, work, trees, trees_needed(similarity, lengths[0], target_recall))
+    under = mates_of(classes, work)
     shared = under.groupBy("trie").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("trie").alias("shared_trie"), "least")
     stars = under.join(shared, F.col("trie") == F.col("shared_trie")).where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
     near = components(stars, work)
@@ -356,7 +342,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SI
     joined = work.table(joined.select("root", F.col("h1").alias("c1"), F.col("h2").alias("c2"), "copies", "rep", F.coalesce("links", F.lit(0)).alias("links")), "joined")
     keepers = joined.groupBy(F.col("root").alias("keeper_root")).agg(F.min("rep").alias("keeper"))
     whole = joined.join(keepers, F.col("root") == F.col("keeper_root"))
-    rows = signed.drop("short", "middle", "whole").join(whole, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("n") > 0), "left")
+    rows = signed.drop("short", "middle").join(whole, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("n") > 0), "left")
     keeper = F.coalesce("keeper", "row_key")
     return rows.select("doc_id", "row_key", "text_hash", F.when(keeper < (1 << 62), keeper).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"), (F.col("row_key") == keeper).alias("kept"))
 

@@ -80,19 +80,43 @@ def test_keep_one(spark, odd_docs):
 def test_prefixes_shorten_to_the_target():
     d = ngram_join.prefix_length(0.8, 32, 12, 0.999)
     assert 1 - (1 - 0.8**d) ** 32 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 32
-    k = ngram_join.trees_needed(0.8, 5, 0.999)
-    assert 1 - (1 - 0.8**5) ** k >= 0.999 > 1 - (1 - 0.8**5) ** (k - 1)
-
-
-def test_crowded_nodes_keep_long_prefixes_unless_a_class_wants_recall(spark):
-    # classes 0 to 29: 0 to 19 crowd the first tree alone; 20 to 29 crowd both, and share a middle node by fives
-    rows = []
-    for k in range(30):
-        crowd = 1 if k < 20 else 2
-        rows.append((k, [crowd, 3 if k >= 20 else 100 + k], [10 + k % 2 if k < 20 else 20 + k // 25, 30 + k], [1000 + k, 2000 + k]))
-    classes = spark.createDataFrame(rows, "node long, short array<long>, middle array<long>, whole array<long>")
-    found = {(r.node, r.trie) for r in ngram_join.mates_of(classes, Workspace(spark, "test"), 2, 1).collect()}
-    assert found == {(k, 1000 + k) for k in range(20)} | {(k, 20 + k // 25) for k in range(20, 30)} | {(k, 30 + k) for k in range(20, 30)}
+
+
+def test_crowded_nodes_keep_the_prefix_of_the_target(spark):
+    # classes 0 to 19 crowd the first tree; 20 to 29 share its node by fives and crowd the second
+    rows = [(k, [1 if k < 20 else 5 + k // 25, 3 if k >= 20 else 100 + k], [10 + k % 2 if k < 20 else 30 + k, 50 + k // 25 if k >= 20 else 200 + k]) for k in range(30)]
+    classes = spark.createDataFrame(rows, "node long, short array<long>, middle array<long>")
+    found = {(r.node, r.trie) for r in ngram_join.mates_of(classes, Workspace(spark, "test")).collect()}
+    assert found == {(k, 10 + k % 2) for k in range(20)} | {(k, 5 + k // 25) for k in range(20, 30)} | {(k, 50 + k // 25) for k in range(20, 30)}
+
+
+def planted_groups(rng, left, right, n_words=193):
+    """Texts of two groups of near copies; every text of one group is at a similarity of 0.80 to 0.81 to every text of the other."""
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(3 * n_words)]
+    base = words[:n_words]  # 190 shingles with the last word
+    other = list(base)
+    for at in (10, 40, 70, 110):  # each takes five shingles away: 169 of 211 are shared
+        other[at] = words[n_words + at]
+    groups = []
+    for side, n in ((base, left), (other, right)):
+        groups.append([" ".join([*side, words[2 * n_words + 20 * len(groups) + k]]) for k in range(n)])
+    return groups
+
+
+@pytest.mark.parametrize(("left", "right"), [(5, 5), (1, 8), (8, 8)])
+def test_recall_between_groups_of_near_copies(spark, left, right):
+    """Groups whose members crowd nodes exactly where they meet: nearly all of their links are found, and nearly no pair of groups is split."""
+    rng = random.Random(left * 10 + right)
+    pairs = [planted_groups(rng, left, right) for _ in range(60)]
+    similarity = {round(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)), 3) for p in pairs[:3] for a in p[0] for b in p[1]}
+    assert 0.8 <= min(similarity) <= max(similarity) < 0.815
+    texts = [t for p in pairs for group in p for t in group]
+    found = ngram_join.jaccard_classes(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    each = left + right
+    links = sum(r["n_links"] for r in found) - len(pairs) * (left * (left - 1) + right * (right - 1))
+    assert links >= 0.99 * len(pairs) * 2 * left * right
+    assert len({r["class_id"] for r in found}) <= len(pairs) + 1
+    assert sum(r["kept"] for r in found) <= len(pairs) + 1 and len(found) == each * len(pairs)
 
 
 @settings(max_examples=4, deadline=None)
