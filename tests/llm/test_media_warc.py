@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +12,7 @@ from quern.llm import media, warc
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.binary(max_size=3000), st.sampled_from([0, 1, 2]))
+@given(st.binary(max_size=3000), st.sampled_from([None, 0, 1, 2]))
 def test_png_round_trip(raw, kind):
     samples = np.frombuffer(media.payload(raw), dtype=np.uint8).reshape(-1, 64)
     assert (media.png_decode(media.png_encode(samples, kind)) == samples).all()
@@ -37,6 +39,25 @@ def test_every_filter_of_another_writer():
     assert (media.png_decode(png) == samples).all()
 
 
+def test_each_row_takes_the_filter_of_least_differences():
+    flat, steps = np.full((1, 64), 200, dtype=np.uint8), np.arange(0, 128, 2, dtype=np.uint8)[None, :]
+    noise = np.random.default_rng(4).integers(0, 256, (1, 64), dtype=np.uint8)
+    samples = np.concatenate([np.zeros((1, 64), np.uint8), steps, noise, noise, flat])
+    png = media.png_encode(samples)
+    lines = zlib.decompress(png[41 : 41 + int.from_bytes(png[33:37], "big")])
+    assert [lines[k * 65] for k in (0, 1, 3, 4)] == [0, 1, 2, 1]
+    assert (media.png_decode(png) == samples).all()
+
+
+def test_long_texts_are_sliced_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(media, "SLICE_BYTES", 1 << 20)
+    texts = ["ab" * 700_000, None, "", "x" * 64, "y" * 65, "long " * 1_000_000]
+    assert [n for _, n in media.slices(pa.array([t and t.encode() for t in texts]))] == [1, 4, 1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = {r["doc_id"]: r for r in media.features(media.to_media(docs)).collect()}
+    assert all(rows[k]["payload_sha256"] == hashlib.sha256(media.payload((t or "").encode())).hexdigest() for k, t in enumerate(texts))
+
+
 def test_damage_is_found():
     png = media.png_encode(np.arange(640, dtype=np.uint16).astype(np.uint8).reshape(-1, 64))
     for bad in (png[:-5], png[:40] + bytes([png[40] ^ 1]) + png[41:], b"x" + png[1:]):
