@@ -194,6 +194,11 @@ def within(pairs: DataFrame, texts: DataFrame, n_pairs: int, n_texts: int, t: in
     return close.select(F.when(first, F.col("b_at")).otherwise(F.col("a_at")).alias("at"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("id")).distinct()
 
 
+def identity(line: Column) -> Column:
+    """96 bits of two hashes, which tell all lines of a corpus apart; pairs of lines are pairs of these."""
+    return F.struct(F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"))
+
+
 def near_lines(work: Workspace, lines: DataFrame, t: int) -> DataFrame:
     """at, id of the `lines` (at, line; all different) within t edits of an earlier one.
 
@@ -203,7 +208,7 @@ def near_lines(work: Workspace, lines: DataFrame, t: int) -> DataFrame:
     whole = lines.select("at", F.col("line").alias("rest"), F.lit(0).cast("long").alias("path"), F.lit(0).alias("role"))
     live = work.table(live_keys(under_keys(whole, t, [])), "live")
     found = under_keys(whole, t, ["at"]).join(small(live, live.count()), F.col("key") == F.col("live"))
-    members = work.table(found.select("at", F.xxhash64("rest").alias("id"), "key", "role", "m", "pairs", "rest", "start", "size", _met(None, t).alias("met")), "members")
+    members = work.table(found.select("at", identity(F.col("rest")).alias("id"), "key", "role", "m", "pairs", "rest", "start", "size", _met(None, t).alias("met")), "members")
     texts = members.groupBy("id").agg(F.min("at").alias("at"), F.any_value("rest").alias("line"))
     texts = work.table(texts.withColumn("parity", parities(F.col("line"))), "texts")
     n_texts = texts.count()
