@@ -12,8 +12,8 @@ from quern.llm.storage import Workspace
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification doesn't reject."""
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
-    found = language_id.predict(docs, model, docs.columns)
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # so that no name of a column clashes with a prediction's
+    return language_id.predict(rows, model, ["row"]).where(~F.col("rejected")).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
