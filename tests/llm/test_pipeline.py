@@ -30,3 +30,14 @@ def test_odd_rows(spark, data, which, request):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, data).persist()
         docs.count()
+
+
+def test_columns_named_like_those_of_operators(spark, data):
+    """Extra columns pass through the stages under names that the operators use themselves."""
+    names = ["score", "rejected", "lang_pred", "row", "kept", "copies", "size", "class_id", "cleaned"]
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60).selectExpr("*", *(f"doc_id AS {n}" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, data).persist()
+        assert docs.columns[-len(names) :] == names, name
+        assert all(r[n] == r["doc_id"] for r in docs.collect() for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() > 0
