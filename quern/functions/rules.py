@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.text import word_form
+from quern.functions.text import decode_entities, word_form
 
 #: Grains with gluten, and sources of malt without it.
 GLUTEN_GRAINS = ["wheat", "barley", "rye", "spelt", "farro", "kamut", "khorasan", "einkorn", "emmer", "triticale", "durum", "semolina", "bulgur", "couscous", "freekeh", "seitan", "graham", "farina", "matzo", "matzah", "atta", "maida"]
@@ -113,34 +113,19 @@ def additive_numbers(tags: Column) -> Column:
     return F.filter(F.transform(tags, lambda t: F.regexp_extract(t, ADDITIVE_TAG, 1)), lambda n: n != "")
 
 
-def words_only(text: Column) -> Column:
-    """Letters and digits of any script in lower case, after a few entities are decoded."""
-    plain = F.coalesce(text, F.lit(""))
-    for entity, sign in (("&quot;", '"'), ("&amp;", "&"), ("&#39;|&apos;", "'"), ("&nbsp;", " ")):
-        plain = F.regexp_replace(plain, f"(?i){entity}", sign)
-    return F.lower(F.regexp_replace(plain, r"[^\p{L}\p{N}]", ""))
-
-
-def split_fault(confidence: Column, brand: Column, title: Column, secondary: Column, name: Column, company: Column) -> Column:
-    """Why a proposed split of a name is refused, or null: its parts must put the name together again, and the title must say more than the company."""
-    rebuilt = F.concat(words_only(brand), words_only(title), words_only(secondary))
-    return (
-        F.when(confidence == "low", "low_confidence")
-        .when(F.trim(F.coalesce(title, F.lit(""))) == "", "empty_title")
-        .when(rebuilt != words_only(name), "does_not_reconstruct")
-        .when(words_only(title) == words_only(company), "title_is_brand")
-        .when(words_only(title) == "", "title_has_no_words")
-        .when(brand.isNull() & secondary.isNull(), "no_split_offered")
-    )
+def letters_of(text: Column) -> Column:
+    """Letters and digits of any script in lower case, after entities are decoded; an empty text for null."""
+    return F.lower(F.regexp_replace(decode_entities(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]", ""))
 
 
-#: What a notice's reason says when the way of making was at fault.
-PROCESS_FAULTS = [
-    "listeria", "salmonella", r"e\.? ?coli", "o157", "stec", "clostridium", "botulinum", "botulism", "cronobacter", "norovirus", "hepatitis", "cyclospora", "staphylococc", "bacillus", "pathogen", "microbial",
-    "mold", "yeast", "contaminat", "insanitary", "unsanitary", "sanitation", "rodent", "insect", "pest", "filth", r"\bc?gmp\b", "good manufacturing", "under.?process", "processing deviation", "temperature abuse",
-    "not properly (cooked|pasteurized)", "pasteuri", "without (the )?benefit of (federal )?inspection", "foreign (material|matter|object)", r"\bmetal\b", r"\bglass\b", "hard plastic", "pieces of plastic", r"\brubber\b",
-]
+def split_fault(pieces: Column, name: Column, title: Column, maker: Column, sure: Column) -> Column:
+    """Why a proposal to divide `name` into `pieces` is refused, or null. All pieces together must have the letters of the name, none lost and none added;
+    the title among them must have letters, and others than the maker's; a single piece divides nothing; and the proposer must be sure."""
+    given = F.filter(pieces, lambda p: p.isNotNull())
+    seen = F.struct(letters_of(F.array_join(given, "")).alias("together"), letters_of(name).alias("whole"), letters_of(title).alias("title"), letters_of(maker).alias("maker"), F.size(given).alias("n"))
 
+    def judge(x):
+        bad = {"unsure": ~sure, "untitled": F.trim(F.coalesce(title, F.lit(""))) == "", "differs": x["together"] != x["whole"], "says_maker": x["title"] == x["maker"], "wordless": x["title"] == "", "undivided": x["n"] < 2}
+        return F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in bad.items())))
 
-def is_process_fault(reason: Column) -> Column:
-    return F.coalesce(reason.rlike(f"(?i)({'|'.join(PROCESS_FAULTS)})"), F.lit(False))
+    return F.get(F.transform(F.array(seen), judge)[0], F.lit(0))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,9 +41,20 @@ def tokens(query: Column, least: int = 2, most: int = 6, noise: list[str] | None
     return F.slice(F.when(F.size(said) > 0, said).otherwise(words), 1, most)
 
 
+#: States, districts and territories, by their postal codes.
+STATES = (
+    "AL Alabama,AK Alaska,AZ Arizona,AR Arkansas,CA California,CO Colorado,CT Connecticut,DE Delaware,DC District of Columbia,FL Florida,GA Georgia,HI Hawaii,ID Idaho,IL Illinois,IN Indiana,IA Iowa,KS Kansas,KY Kentucky,"
+    "LA Louisiana,ME Maine,MD Maryland,MA Massachusetts,MI Michigan,MN Minnesota,MS Mississippi,MO Missouri,MT Montana,NE Nebraska,NV Nevada,NH New Hampshire,NJ New Jersey,NM New Mexico,NY New York,NC North Carolina,"
+    "ND North Dakota,OH Ohio,OK Oklahoma,OR Oregon,PA Pennsylvania,PR Puerto Rico,RI Rhode Island,SC South Carolina,SD South Dakota,TN Tennessee,TX Texas,UT Utah,VT Vermont,VA Virginia,WA Washington,WV West Virginia,WI Wisconsin,WY Wyoming"
+).split(",")
+#: Short forms of states that are not their codes.
+SHORT_STATES = ["Calif", "Mass", "Penn", "Penna", "Tex", "Fla", "Ill", "Wash", "Minn", "Mich", "Wis", "Ariz", "Colo", "Conn", "Okla", "Tenn", "N.Y", "N.J"]
+
+
 def strip_location(firm: Column) -> Column:
-    """A firm's name without `of City, ST`, for two-letter states."""
-    return F.regexp_replace(firm, r"(?i),?\s+of\s+[^,]+,\s*[a-z]{2}\.?\s*$", "")
+    """A firm's name without `of City, State`, the state by its code, its name or a short form; what is no state stays."""
+    states = [s.split(" ", 1)[0] for s in STATES] + [s.split(" ", 1)[1].replace(" ", r"\s+") for s in STATES] + [s.replace(".", r"\.\s?") for s in SHORT_STATES]
+    return F.regexp_replace(firm, rf"(?i),?\s+of\s+[^,]+,\s*(?:{'|'.join(sorted(states, key=len, reverse=True))})\.?\s*$", "")
 
 
 def firm_keys(firm: Column) -> Column:
@@ -58,13 +72,26 @@ def singular(word: Column) -> Column:
     )
 
 
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+
+
+def decode_entities(text: Column) -> Column:
+    """`text` with its character references decoded, decimal, hexadecimal and named (all of HTML's), once. Unknown names, control characters and what is no character stay as they are."""
+    names = F.from_json(F.lit(json.dumps({name[:-1]: sign for name, sign in html5.items() if name.endswith(";")})), "map<string,string>")  # one literal
+    number = lambda c: F.when(F.lower(F.substring(c, 2, 1)) == "x", F.conv(F.substring(c, 3, 10), 16, 10)).otherwise(F.conv(F.substring(c, 2, 10), 10, 10)).cast("int")
+    shown = lambda n: n.isin(9, 10) | ((n >= 32) & ~n.between(127, 159) & ~n.between(0xD800, 0xDFFF) & (n <= 0x10FFFF))
+    sign = lambda c: F.when(~c.startswith("#"), F.try_element_at(names, c)).when(shown(number(c)), F.decode(F.unhex(F.lpad(F.hex(number(c)), 8, "0")), "UTF-32"))
+    codes = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1))
+    decoded = F.zip_with(F.split(text, ENTITY), F.transform(codes, lambda c: F.coalesce(sign(c), F.concat(F.lit("&"), c, F.lit(";")))), lambda plain, s: F.concat(F.coalesce(plain, F.lit("")), F.coalesce(s, F.lit(""))))
+    return F.when(text.rlike(ENTITY), F.array_join(decoded, "")).otherwise(text)
+
+
 def strip_html(html: Column) -> Column:
-    """Text of a page: scripts, styles and comments go, tags become spaces, five entities are decoded."""
+    """Text of a page: scripts, styles and comments go, tags become spaces, entities are decoded, a no-break space is a space."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>", " ")
     bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", " ")
     bare = F.regexp_replace(bare, r"<[^>]*>", " ")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(sign))
+    bare = F.replace(decode_entities(bare), F.lit("\u00a0"), F.lit(" "))
     return F.trim(F.regexp_replace(bare, "[ \\t\\r\\n]+", " "))
 
 

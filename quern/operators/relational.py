@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.dictionary import hits
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     place = Window.partitionBy(*keys).orderBy(*order)
@@ -59,12 +61,22 @@ def first_reason(rules: Sequence[tuple[str, Column]], otherwise: str | None = No
 
 
 def ancestors(tree: DataFrame, levels: int = 5) -> DataFrame:
-    """node, ancestor, depth for up to `levels` steps up a tree (node, parent), itself at depth 0; as many joins, no loop over rows."""
+    """node, ancestor, depth for up to `levels` steps up a tree (node, parent), itself at depth 0. The way up is carried along in an array, so each level is one join; a cycle is walked round until the levels are over."""
     step = tree.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-    now = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
+    now = tree.select("node", F.array("node").alias("way"), F.col("parent").alias("up"))
+    longer = F.when(F.col("up").isNotNull(), F.array_append("way", F.col("up"))).otherwise(F.col("way"))
+    for _ in range(1, levels):
+        now = now.select("node", longer.alias("way"), "up").join(step, F.col("up") == F.col("_n"), "left").select("node", "way", F.col("_p").alias("up"))
+    return now.select("node", F.posexplode(longer).alias("depth", "ancestor")).select("node", "ancestor", "depth")
+
+
+def descendants(tree: DataFrame, roots: DataFrame, levels: int = 4) -> DataFrame:
+    """root, node, depth for up to `levels` steps down a tree (node, parent) from `roots` (root), each at depth 0. Only the last level found is joined again."""
+    step = tree.where(F.col("parent").isNotNull()).select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
+    now = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     out = now
     for depth in range(1, levels + 1):
-        now = now.join(step, F.col("ancestor") == F.col("_n")).where(F.col("_p").isNotNull()).select("node", F.col("_p").alias("ancestor"), F.lit(depth).alias("depth"))
+        now = now.join(step, F.col("node") == F.col("_p")).select("root", F.col("_n").alias("node"), F.lit(depth).alias("depth"))
         out = out.union(now)
     return out
 
@@ -74,26 +86,50 @@ def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
 
 
+def _sets(bag: DataFrame, owner: str, element: str) -> DataFrame:
+    """o, es: each owner's distinct elements."""
+    return bag.where(F.col(owner).isNotNull() & F.col(element).isNotNull()).groupBy(F.col(owner).alias("o")).agg(F.collect_set(element).alias("es"))  # one owner's elements
+
+
+def _rarest(sets: DataFrame, n: int) -> DataFrame:
+    """o, e: the `n` elements of each set that the fewest sets have."""
+    pairs = sets.select("o", F.explode("es").alias("e"))
+    spread = pairs.groupBy("e").agg(F.count("*").alias("spread"))
+    return first_per_key(pairs.join(spread, "e"), ["o"], [F.col("spread").asc(), F.col("e").asc()], n).select("o", "e")
+
+
+def _compared(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, shared, jaccard of pairs, by the intersection of their two sets."""
+    side = lambda c: sets.select(F.col("o").alias(c), F.col("es").alias(f"{c}_es"))
+    both = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size("a_es").alias("na"), F.size("b_es").alias("nb"), F.size(F.array_intersect("a_es", "b_es")).cast("long").alias("shared"))
+    return both.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+
+
 def similar_sets(bag: DataFrame, owner: str, element: str, seeds: int = 3, least: float = 0.1) -> DataFrame:
     """a, b (a < b), shared, jaccard of owners that share one of the `seeds` rarest elements of either.
 
-    Blocking by rare elements keeps the join far from all pairs; sizes are counted once and not per pair.
+    Owners meet by their rare elements only; what meets is compared by its sets, which are put together once, so no pair is taken apart into elements again.
     """
-    pairs = bag.select(F.col(owner).alias("o"), F.col(element).alias("e")).distinct()
-    spread = pairs.groupBy("e").agg(F.count("*").alias("spread"))
-    sizes = pairs.groupBy("o").agg(F.count("*").alias("size"))
-    rare = first_per_key(pairs.join(spread, "e"), ["o"], [F.col("spread").asc(), F.col("e").asc()], seeds).select(F.col("o").alias("seed_owner"), "e")
-    met = rare.join(pairs, "e").where("seed_owner <> o").select(F.least("seed_owner", "o").alias("a"), F.greatest("seed_owner", "o").alias("b")).distinct()
-    mine, theirs = pairs.select(F.col("o").alias("a"), "e"), pairs.select(F.col("o").alias("b"), "e")
-    shared = met.join(mine, "a").join(theirs, ["b", "e"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    sized = shared.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    return sized.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= least)
-
-
-def phrases_in_text(texts: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
-    """id, place, phrase: the longest phrase (words separated by spaces, upper case) at each place of `texts` (id, words). Texts are
-    cut to n-grams and joined by equality; nothing compares every text to every phrase."""
-    starts = texts.select("id", "words", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("place"))
-    grams = starts.select("id", "place", F.explode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.col("place") + n - 1 <= F.size("words"), F.struct(n.alias("n"), F.array_join(F.slice("words", F.col("place"), n), " ").alias("phrase"))))).alias("g")).where("g IS NOT NULL")
-    hits = grams.select("id", "place", "g.n", "g.phrase").join(phrases.select("phrase").distinct(), "phrase")
-    return hits.groupBy("id", "place").agg(F.max_by("phrase", "n").alias("phrase"))
+    sets = _sets(bag, owner, element)
+    rare = _rarest(sets, seeds).withColumnRenamed("o", "seed_owner")
+    met = rare.join(sets.select("o", F.explode("es").alias("e")), "e").where("seed_owner <> o").select(F.least("seed_owner", "o").alias("a"), F.greatest("seed_owner", "o").alias("b")).distinct()
+    return _compared(met, sets).where(F.col("jaccard") >= least)
+
+
+def related_sets(bag: DataFrame, owner: str, element: str, seeds: int = 3, per_seed: int = 500, most: int = 12) -> DataFrame:
+    """a, b, shared, jaccard, place: for each owner a the `most` owners b most like it, of those that are among the first `per_seed` owners, by id, of one of its `seeds` rarest elements.
+
+    The bound on owners of an element is part of what is asked for: a list of related things wants a few good ones, and an element that very many have says little."""
+    sets = _sets(bag, owner, element)
+    rare = _rarest(sets, seeds)
+    listed = first_per_key(rare.select("e").distinct().join(sets.select("o", F.explode("es").alias("e")), "e"), ["e"], [F.col("o").asc()], per_seed)
+    met = rare.select(F.col("o").alias("a"), "e").join(listed.select(F.col("o").alias("b"), "e"), "e").where("a <> b").select("a", "b").distinct()
+    place = Window.partitionBy("a").orderBy(F.col("jaccard").desc(), F.col("shared").desc(), F.col("b"))
+    return _compared(met, sets).withColumn("place", F.row_number().over(place)).where(F.col("place") <= most)
+
+
+def phrases_in_text(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """id, place, phrase: the longest phrase (words separated by spaces, upper case) at each place of `texts` (id, words). Only words that begin a phrase are looked at further; nothing compares every
+    text to every phrase."""
+    found = hits(texts, ["id"], phrases.select(F.col("phrase").alias("term")))
+    return found.groupBy("id", "start").agg(F.max_by("term", F.col("stop")).alias("phrase")).select("id", (F.col("start") + 1).alias("place"), "phrase")

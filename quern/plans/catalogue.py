@@ -53,8 +53,10 @@ def q_group_counts(spark, sf_dir):
 SELECT l_returnflag, count(*) FILTER (WHERE l_discount > 0.05) AS discounted, count(*) FILTER (WHERE l_tax = 0) AS untaxed, count(DISTINCT l_partkey) AS parts,
   count(DISTINCT l_partkey) FILTER (WHERE l_quantity > 40) AS bulk_parts FROM lineitem GROUP BY l_returnflag""")
 def q_filtered_measures(spark, sf_dir):
-    """A4, A5: several measures in one pass."""
-    return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_if(F.col("l_discount") > 0.05).alias("discounted"), F.count_if(F.col("l_tax") == 0).alias("untaxed"), F.countDistinct("l_partkey").alias("parts"), F.countDistinct(F.when(F.col("l_quantity") > 40, F.col("l_partkey"))).alias("bulk_parts"))
+    """A4, A5: several measures in one pass, over a row for each flag and part instead of copies of every row for each distinct count."""
+    per_part = load(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_partkey").agg(F.count_if(F.col("l_discount") > 0.05).alias("discounted"), F.count_if(F.col("l_tax") == 0).alias("untaxed"), F.max(F.col("l_quantity") > 40).alias("bulk"))
+    known = F.col("l_partkey").isNotNull()
+    return per_part.groupBy("l_returnflag").agg(F.sum("discounted").alias("discounted"), F.sum("untaxed").alias("untaxed"), F.count_if(known).alias("parts"), F.count_if(known & F.col("bulk")).alias("bulk_parts"))
 
 
 @query("SELECT l_partkey, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) >= 25")
@@ -124,7 +126,7 @@ def q_counts_onto(spark, sf_dir):
 @query("""
 SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1""")
 def q_latest_per_key(spark, sf_dir):
-    """An aggregate instead of a window."""
+    """An aggregate instead of a window."""
     orders = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
     return ops.greatest_per_key(orders, ["o_custkey"], F.struct("o_orderdate", "o_orderkey")).drop("o_orderdate")
 
@@ -133,7 +135,7 @@ def q_latest_per_key(spark, sf_dir):
 WITH pairs AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), spread AS (SELECT l_partkey, count(*) AS orders FROM pairs GROUP BY 1)
 SELECT l_orderkey, l_partkey, orders, k FROM (SELECT l_orderkey, l_partkey, orders, row_number() OVER (PARTITION BY l_orderkey ORDER BY orders, l_partkey)::INT AS k FROM pairs JOIN spread USING (l_partkey)) WHERE k <= 3""")
 def q_rarest_three(spark, sf_dir):
-    """W3, W4, W6."""
+    """W3, W6."""
     pairs = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     spread = pairs.groupBy("l_partkey").agg(F.count("*").alias("orders"))
     place = Window.partitionBy("l_orderkey").orderBy("orders", "l_partkey")
@@ -142,7 +144,7 @@ def q_rarest_three(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name FROM customer ORDER BY md5(c_custkey::VARCHAR), c_custkey LIMIT 100")
 def q_hash_sample(spark, sf_dir):
-    """O6, O7."""
+    """O6."""
     return ops.hash_sample(load(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 100)
 
 
@@ -150,12 +152,24 @@ def q_hash_sample(spark, sf_dir):
 WITH RECURSIVE up(node, ancestor, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION ALL SELECT node, (ancestor - 1) // 3, depth + 1 FROM up WHERE ancestor > 0 AND depth < 5)
 SELECT node, ancestor, depth::INT AS depth FROM up""")
 def q_ancestors(spark, sf_dir):
-    """A tree walked five levels up."""
+    """A tree walked five levels up, a join a level."""
     customer = load(spark, sf_dir, "customer")
     tree = customer.select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") > 0, F.floor((F.col("c_custkey") - 1) / 3)).alias("parent"))
     return ops.ancestors(tree, 5)
 
 
+@query("""
+WITH RECURSIVE t AS (SELECT c_custkey AS node, CASE WHEN c_custkey > 0 THEN (c_custkey - 1) // 3 END AS parent FROM customer),
+down(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT root, t.node, depth + 1 FROM down JOIN t ON t.parent = down.node WHERE depth < 4)
+SELECT root, depth::INT AS depth, count(*) AS n, max(node) AS last FROM down GROUP BY ALL""")
+def q_descendants(spark, sf_dir):
+    """A tree walked four levels down from every fifth node."""
+    customer = load(spark, sf_dir, "customer")
+    tree = customer.select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") > 0, F.floor((F.col("c_custkey") - 1) / 3)).alias("parent"))
+    down = ops.descendants(tree, customer.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("root")))
+    return down.groupBy("root", "depth").agg(F.count("*").alias("n"), F.max("node").alias("last"))
+
+
 @query("""
 SELECT c.c_custkey AS child, p.c_custkey AS parent, p.c_mktsegment AS parent_segment, c.c_mktsegment = p.c_mktsegment AS same FROM customer c LEFT JOIN customer p ON p.c_custkey = CASE WHEN c.c_custkey > 0 THEN (c.c_custkey - 1) // 3 END""")
 def q_parent_join(spark, sf_dir):
@@ -177,13 +191,34 @@ def q_similar_sets(spark, sf_dir):
     return ops.similar_sets(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", least=0.25)
 
 
+@query("""
+WITH pairs AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS e FROM lineitem), spread AS (SELECT e, count(*) AS s FROM pairs GROUP BY e), sizes AS (SELECT o, count(*) AS n FROM pairs GROUP BY o),
+rare AS (SELECT o, e FROM (SELECT o, e, row_number() OVER (PARTITION BY o ORDER BY s, e) AS k FROM pairs JOIN spread USING (e)) WHERE k <= 3),
+listed AS (SELECT o, e FROM (SELECT o, e, row_number() OVER (PARTITION BY e ORDER BY o) AS k FROM pairs WHERE e IN (SELECT e FROM rare)) WHERE k <= 15),
+met AS (SELECT DISTINCT r.o AS a, l.o AS b FROM rare r JOIN listed l USING (e) WHERE r.o <> l.o),
+shared AS (SELECT a, b, count(*) AS shared FROM met JOIN pairs x ON x.o = a JOIN pairs y ON y.o = b AND y.e = x.e GROUP BY a, b),
+scored AS (SELECT a, b, shared, shared::DOUBLE / (x.n + y.n - shared) AS jaccard FROM shared JOIN sizes x ON x.o = a JOIN sizes y ON y.o = b)
+SELECT a, b, shared, jaccard, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, shared DESC, b) AS place FROM scored) WHERE place <= 4""")
+def q_related_sets(spark, sf_dir):
+    """For every basket the four most like it, of the first 15 that have one of its three rarest parts."""
+    return ops.related_sets(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", per_seed=15, most=4)
+
+
+@query("""
+SELECT l_partkey, l_orderkey, l_linenumber, l_linestatus FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_linestatus = 'O' DESC, l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS k FROM lineitem) WHERE k = 1""")
+def q_best_record(spark, sf_dir):
+    """Of each part's records the open ones before the others, then the latest."""
+    lines = load(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_linestatus", "l_shipdate", "l_suppkey")
+    return ops.greatest_per_key(lines, ["l_partkey"], F.struct(F.col("l_linestatus") == "O", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")).drop("l_shipdate", "l_suppkey")
+
+
 @query("""
 WITH c AS (SELECT *, 0 AS r FROM lineitem WHERE l_linenumber <= 3 UNION ALL SELECT *, 1 FROM lineitem WHERE l_linenumber > 3)
-SELECT l_orderkey, l_partkey, min(l_linenumber) AS position, bool_or(l_returnflag = 'R') AS organic, bool_and(l_linestatus = 'O') AS trace, min(l_tax) AS note FROM c GROUP BY 1, 2""")
+SELECT l_orderkey, l_partkey, min(l_linenumber) AS position, bool_or(l_returnflag = 'R') AS organic, bool_and(l_linestatus = 'O') AS trace, bool_or(l_linestatus = 'O') AS trace_anywhere, min(l_tax) AS note FROM c GROUP BY 1, 2""")
 def q_merge_rows(spark, sf_dir):
-    """Upsert with a rule for each column."""
-    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("position"), (F.col("l_returnflag") == "R").alias("organic"), (F.col("l_linestatus") == "O").alias("trace"), F.col("l_tax").alias("note"))
-    return ops.merge_rows(rows.where("position <= 3"), rows.where("position > 3"), ["l_orderkey", "l_partkey"], {"position": "min", "organic": "or", "trace": "and", "note": "min"})
+    """Upsert with a rule for each column; traces by AND, as one source merges them, and by OR, as the other does."""
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("position"), (F.col("l_returnflag") == "R").alias("organic"), (F.col("l_linestatus") == "O").alias("trace"), (F.col("l_linestatus") == "O").alias("trace_anywhere"), F.col("l_tax").alias("note"))
+    return ops.merge_rows(rows.where("position <= 3"), rows.where("position > 3"), ["l_orderkey", "l_partkey"], {"position": "min", "organic": "or", "trace": "and", "trace_anywhere": "or", "note": "min"})
 
 
 @query("""
@@ -228,9 +263,9 @@ def q_brand_keys(spark, sf_dir):
 
 @query(r"""
 WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
-SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS plain FROM b""")
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS plain FROM b""")
 def q_strip_html(spark, sf_dir):
-    """F17, with five named entities decoded."""
+    """texts of pages, with entities decoded."""
     return load(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("plain"))
 
 
@@ -270,7 +305,7 @@ def q_multiform_join(spark, sf_dir):
 @query("""
 SELECT reason, count(*) AS n FROM (SELECT CASE WHEN o_totalprice < 2000 THEN 'too_small' WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_orderpriority = '5-LOW' THEN 'low_priority' WHEN year(o_orderdate) < 1996 THEN 'old' ELSE 'accepted' END AS reason FROM orders) GROUP BY reason""")
 def q_reject_reasons(spark, sf_dir):
-    """The first rule that fails, and a census of reasons."""
+    """The first rule that fails, and a census of reasons."""
     rules = [("too_small", F.col("o_totalprice") < 2000), ("pending", F.col("o_orderstatus") == "P"), ("low_priority", F.col("o_orderpriority") == "5-LOW"), ("old", F.year("o_orderdate") < 1996)]
     return load(spark, sf_dir, "orders").groupBy(ops.first_reason(rules, "accepted").alias("reason")).agg(F.count("*").alias("n"))
 
@@ -307,11 +342,11 @@ s AS (SELECT conv_id, turn, words, unnest(range(1, len(words) + 1)) AS place FRO
 h AS (SELECT conv_id, turn, place, phrase, n FROM s JOIN ph ON phrase = array_to_string(words[place:place + n - 1], ' ') AND place + n - 1 <= len(words))
 SELECT conv_id, turn, place::INT AS place, phrase FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, place ORDER BY n DESC) AS k FROM h) WHERE k = 1""")
 def q_phrases_in_text(spark, sf_dir):
-    """Longest phrase at a place, by n-grams and an equality join."""
+    """Longest phrase at a place, by its first word and an equality join."""
     conversations, benchmark = load(spark, sf_dir, "conversations", "benchmark")
     words = lambda: F.split(text.word_form(F.col("text")), " ")
     phrases = benchmark.select(words().alias("w")).select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.when(F.size("w") >= n, F.array_join(F.slice("w", F.lit(1), n), " ")))).alias("phrase")).where("phrase IS NOT NULL")
-    found = ops.phrases_in_text(conversations.select(F.struct("conv_id", "turn").alias("id"), words().alias("words")), phrases, 3)
+    found = ops.phrases_in_text(conversations.select(F.struct("conv_id", "turn").alias("id"), words().alias("words")), phrases)
     return found.select("id.conv_id", "id.turn", "place", "phrase")
 
 
@@ -331,7 +366,7 @@ def q_freshness(spark, sf_dir):
 WITH t AS (SELECT o_orderstatus AS old_state, CASE WHEN bool_and(l_linestatus = 'F') THEN 'F' WHEN bool_and(l_linestatus = 'O') THEN 'O' ELSE 'P' END AS new_state, o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus)
 SELECT old_state, new_state, count(*) AS n FROM t WHERE old_state IS DISTINCT FROM new_state GROUP BY ALL""")
 def q_transitions(spark, sf_dir):
-    """A plan of updates, only where something changes."""
+    """A plan of updates, only where something changes."""
     orders, lineitem = load(spark, sf_dir, "orders", "lineitem")
     done = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_and(F.col("l_linestatus") == "F").alias("f"), F.bool_and(F.col("l_linestatus") == "O").alias("o"))
     target = done.select("o_orderkey", F.when(F.col("f"), "F").when(F.col("o"), "O").otherwise("P").alias("o_orderstatus"))
@@ -388,7 +423,7 @@ SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'flagged' WHEN r.n > 400 THEN 're
   CASE WHEN s_acctbal < 0 THEN 0 WHEN r.n > 400 THEN 1 WHEN p.parts >= 300 THEN 2 ELSE 3 END AS severity
 FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) r ON r.l_suppkey = s_suppkey LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1) p ON p.l_suppkey = s_suppkey""")
 def q_signals(spark, sf_dir):
-    """One decision table of four labels over per-entity aggregates."""
+    """One decision table of four labels over per-entity aggregates."""
     supplier, lineitem = load(spark, sf_dir, "supplier", "lineitem")
     held = lineitem.groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("returns"), F.countDistinct("l_partkey").alias("parts"))
     rules = [("flagged", F.col("s_acctbal") < 0), ("recalled", F.col("returns") > 400), ("broad", F.col("parts") >= 300)]
@@ -401,7 +436,7 @@ def q_signals(spark, sf_dir):
 SELECT n_nationkey, n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000) AND NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal < -950)
   AND n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA')""")
 def q_orphans(spark, sf_dir):
-    """Rows that none of several children holds."""
+    """Rows that none of several children holds."""
     nation, supplier, customer, region = load(spark, sf_dir, "nation", "supplier", "customer", "region")
     children = [supplier.where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey")), customer.where("c_acctbal < -950").select(F.col("c_nationkey").alias("n_nationkey"))]
     asia = region.where("r_name = 'ASIA'").select(F.col("r_regionkey").alias("n_regionkey"))

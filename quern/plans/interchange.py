@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions import rules
+from quern.functions import hazards, rules
 from quern.operators import relational as ops
 from quern.plans.catalogue import load, query
 from quern.sources import files, sinks
@@ -96,27 +96,33 @@ def q_brand_mentions(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", rules.mentions_brand(said, name).alias("mentioned"))
 
 
-GRAINS = ["wheat flour", "malted barley flour", "maltodextrin", "rice malt syrup", "malt extract", "buckwheat", "malted milk", "corn starch", "graham crackers", "ryegrass", "maltitol", "corn malt and rye"]
+#: What turns words of documents into grains, malts and their look-alikes.
+GRAIN_WORDS = [(" the ", " wheat "), (" of ", " malted "), (" der ", " malt "), (" la ", " rice "), (" que ", " buckwheat "), (" de ", " ryegrass "), (" and ", " maltodextrin "), (" un ", " corn "), (" zu ", " rye "), (" y ", " graham ")]
+GRAINS_SQL = reduce(lambda c, r: f"replace({c}, '{r[0]}', '{r[1]}')", GRAIN_WORDS, "text")
 
 
 @query(f"""
-WITH n AS (SELECT p_partkey, ({GRAINS!r})[p_partkey % {len(GRAINS)} + 1] AS name FROM part)
-SELECT p_partkey, name, regexp_matches(name, '{rules.one_of(rules.GLUTEN_GRAINS)}') OR (regexp_matches(name, '\\bmalt(ed)?\\b') AND NOT regexp_matches(name, '{rules.one_of(rules.OTHER_MALT)}')) AS gluten FROM n""")
+WITH s AS (SELECT doc_id, unnest(ss) AS name, generate_subscripts(ss, 1)::INTEGER AS n FROM (SELECT doc_id, string_split({GRAINS_SQL}, '. ') AS ss FROM documents)),
+w AS (SELECT doc_id, n, string_split_regex(lower(name), '[^a-z0-9_]+') AS ws FROM s)
+SELECT doc_id, n, list_has_any(ws, {rules.GLUTEN_GRAINS!r}) OR (list_has_any(ws, ['malt', 'malted']) AND NOT list_has_any(ws, {rules.OTHER_MALT!r})) AS gluten FROM w""")
 def q_gluten_grains(spark, sf_dir):
-    """names of grains with gluten, with malt as an exception to the exception."""
-    name = F.element_at(F.array(*map(F.lit, GRAINS)), (F.col("p_partkey") % len(GRAINS) + 1).cast("int"))
-    named = load(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
-    return named.withColumn("gluten", rules.names_gluten_grain(F.col("name")))
+    """sentences of texts that name grains with gluten, with malt as an exception to the exception."""
+    said = F.col("text")
+    for word, grain in GRAIN_WORDS:
+        said = F.replace(said, F.lit(word), F.lit(grain))
+    named = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(said, r"\. ")).alias("at", "name"))
+    return named.select("doc_id", (F.col("at") + 1).alias("n"), rules.names_gluten_grain(F.lower("name")).alias("gluten"))
 
 
 @query("""
-WITH n AS (SELECT p_partkey, ['FSIS', 'FDA', 'FDA', 'CPSC', NULL, 'FDA'][p_partkey % 6 + 1] AS agency, ['F-', 'h-', 'D-', NULL, 'Z-'][p_partkey % 5 + 1] || p_size AS ref FROM part)
-SELECT p_partkey, coalesce(agency = 'FSIS' OR (agency = 'FDA' AND (upper(ref) LIKE 'F-%' OR upper(ref) LIKE 'H-%')), false) AS food FROM n""")
+WITH n AS (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'FSIS' WHEN o_orderpriority LIKE '5%' THEN NULL WHEN o_orderpriority LIKE '2%' THEN 'CPSC' ELSE 'FDA' END AS agency, CASE WHEN o_orderkey % 9 > 0 THEN CASE WHEN o_custkey % 2 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END || '-' || o_orderkey END AS ref FROM orders)
+SELECT o_orderkey, coalesce(agency = 'FSIS' OR (agency = 'FDA' AND (starts_with(upper(ref), 'F-') OR starts_with(upper(ref), 'H-'))), false) AS food FROM n""")
 def q_food_notices(spark, sf_dir):
     """Notices about food, by agency and by the beginning of their reference."""
-    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
-    reference = F.concat(pick("F-", "h-", "D-", None, "Z-"), F.col("p_size").cast("string"))
-    return load(spark, sf_dir, "part").select("p_partkey", rules.is_food_notice(pick("FSIS", "FDA", "FDA", "CPSC", None, "FDA"), reference).alias("food"))
+    priority, status = F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus")
+    agency = F.when(priority == "1", "FSIS").when(priority == "2", "CPSC").when(priority != "5", "FDA")
+    reference = F.when(F.col("o_orderkey") % 9 > 0, F.concat(F.when(F.col("o_custkey") % 2 == 0, F.lower(status)).otherwise(status), F.lit("-"), F.col("o_orderkey").cast("string")))
+    return load(spark, sf_dir, "orders").select("o_orderkey", rules.is_food_notice(agency, reference).alias("food"))
 
 
 @query("""
@@ -202,16 +208,16 @@ def q_tags(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, CASE p_partkey % 7 WHEN 1 THEN 'low_confidence' WHEN 2 THEN 'empty_title' WHEN 3 THEN 'does_not_reconstruct' WHEN 4 THEN 'title_is_brand' WHEN 5 THEN 'title_has_no_words' WHEN 6 THEN 'no_split_offered' END AS fault FROM part""")
+SELECT p_partkey, CASE p_partkey % 7 WHEN 1 THEN 'unsure' WHEN 2 THEN 'untitled' WHEN 3 THEN 'differs' WHEN 4 THEN 'says_maker' WHEN 5 THEN 'wordless' WHEN 6 THEN 'undivided' END AS fault FROM part""")
 def q_split_faults(spark, sf_dir):
     """proposed splits of names, refused where their parts don't put the name together again."""
     kind, nothing = F.col("p_partkey") % 7, F.lit(None).cast("string")
     brand, name, sort = F.col("p_brand"), F.col("p_name"), F.col("p_type")
     whole = F.concat(brand, F.lit("&nbsp;"), name, F.lit(", "), sort)
-    lead = F.when(kind == 4, nothing).when(kind == 6, nothing).when(kind == 5, F.concat(brand, name)).otherwise(brand)
+    lead = F.when(kind.isin(4, 6), nothing).when(kind == 5, F.concat(brand, name)).otherwise(brand)
     title = F.when(kind == 2, " ").when(kind == 3, "Other").when(kind == 4, brand).when(kind == 5, "!!").when(kind == 6, whole).otherwise(name)
     second = F.when(kind == 4, F.concat(name, sort)).when(kind == 6, nothing).otherwise(sort)
-    fault = rules.split_fault(F.when(kind == 1, "low").otherwise("high"), lead, title, second, whole, brand)
+    fault = rules.split_fault(F.array(lead, title, second), whole, title, brand, kind != 1)
     return load(spark, sf_dir, "part").select("p_partkey", fault.alias("fault"))
 
 
@@ -239,15 +245,47 @@ def q_record_chain(spark, sf_dir):
     return best.join(said, "l_orderkey").select("l_partkey", "l_orderkey", "o_orderpriority")
 
 
-#: Reasons of notices, and whether the way of making was at fault.
-REASONS = [("May contain Salmonella", True), ("Undeclared milk", False), ("cGMP deviations", True), ("Pieces of METAL", True), ("metallic print on label", False), (None, False), ("E. coli O157:H7", True), ("Unlabelled", False), ("underprocessed", True), ("Produced without benefit of inspection", True)]
+#: What turns documents into notices: some of their words become hazards, harmless look-alikes, and the names of things.
+NOTICE_WORDS = [(" the ", " Listeria "), (" que ", " E. coli "), (" de ", " metal, "), (" von ", " metallic "), (" und ", " undeclared eggs "), (" les ", " under-processed "), (" to ", " GMPs "), (" la ", " leads to "), (" zu ", " thawed "), (" in ", " without benefit of inspection ")]
 
 
-@query(f"SELECT p_partkey, ({[p for _, p in REASONS]!r})[p_partkey % {len(REASONS)} + 1] AS process FROM part")
+def notice_texts(spark, sf_dir):
+    said = F.col("text")
+    for word, hazard in NOTICE_WORDS:
+        said = F.replace(said, F.lit(word), F.lit(hazard))
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(said, "\n")).alias("line", "said"))
+    return rows.select("doc_id", "line", "said")
+
+
+NOTICES_SQL = f"""
+lines AS (SELECT doc_id, unnest(ls) AS said, generate_subscripts(ls, 1) - 1 AS line FROM (SELECT doc_id, string_split({reduce(lambda c, r: f"replace({c}, '{r[0]}', '{r[1]}')", NOTICE_WORDS, "text")}, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+words AS (SELECT doc_id, line::INTEGER AS line, ' ' || regexp_replace(lower(said), '[^a-z0-9]+', ' ', 'g') || ' ' AS w FROM lines),
+terms AS (SELECT unnest({[[k, str(i), t] for i, (k, ts) in enumerate((hazards.PROCESS | hazards.OTHER).items()) for t in ts]!r}::VARCHAR[][]) AS t),
+named AS (SELECT DISTINCT doc_id, line, t[1] AS kind, t[2]::INTEGER AS k FROM words, terms WHERE contains(w, t[3])),
+kinds AS (SELECT doc_id, line, string_agg(kind, '|' ORDER BY k) AS classes, bool_or(k < {len(hazards.PROCESS)}) AS process FROM named GROUP BY doc_id, line)"""
+
+
+@query(f"WITH {NOTICES_SQL} SELECT doc_id, line, coalesce(classes, '') AS classes, coalesce(process, false) AS process FROM words LEFT JOIN kinds USING (doc_id, line)")
 def q_process_faults(spark, sf_dir):
-    """Notices whose reason is a fault of the process rather than of a label."""
-    reason = F.element_at(F.array(*(F.lit(r) for r, _ in REASONS)), (F.col("p_partkey") % len(REASONS) + 1).cast("int"))
-    return load(spark, sf_dir, "part").select("p_partkey", rules.is_process_fault(reason).alias("process"))
+    """Lines of texts that name a fault of the process rather than of a label, with the classes of hazards that they name."""
+    found = notice_texts(spark, sf_dir)
+    return found.select("doc_id", "line", F.array_join(hazards.hazard_classes(F.col("said")), "|").alias("classes"), hazards.is_process_fault(F.col("said")).alias("process"))
+
+
+def _sentence_sql(kind: str, plain: str, named: list[str], filled: str) -> str:
+    if not named:
+        return f"WHEN list_contains(cs, '{kind}') THEN '{plain}'"
+    word = f"regexp_extract(w, ' ({'|'.join(named)})(?:e?s)? ', 1)"
+    return f"WHEN list_contains(cs, '{kind}') THEN CASE WHEN {word} = '' THEN '{plain}' ELSE replace('{filled}', '{{}}', {word}) END"
+
+
+@query(f"""
+WITH {NOTICES_SQL}, c AS (SELECT doc_id, line, w, string_split(classes, '|') AS cs FROM words JOIN kinds USING (doc_id, line))
+SELECT doc_id, line, CASE {" ".join(f"WHEN list_contains(cs, '{k}') THEN '{k}'" for k, *_ in hazards.SENTENCES)} END AS kind, CASE {" ".join(_sentence_sql(*s) for s in hazards.SENTENCES)} END AS sentence FROM c""")
+def q_plain_reasons(spark, sf_dir):
+    """what is wrong, in a sentence for readers, for every line of a text that names a hazard."""
+    found = notice_texts(spark, sf_dir).select("doc_id", "line", hazards.plain_reason(F.col("said")).alias("r"))
+    return found.where("r IS NOT NULL").select("doc_id", "line", "r.*")
 
 
 @query("""

@@ -139,9 +139,12 @@ def q_owner_evidence(spark, sf_dir):
     """The words that an owner's products use, over the whole table, as evidence on a ladder."""
     lineitem, orders, customer, part, nation = load(spark, sf_dir, "lineitem", "orders", "customer", "part", "nation")
     sold = lineitem.where("l_quantity > 49").join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(customer, F.col("c_custkey") == F.col("o_custkey")).join(part, F.col("p_partkey") == F.col("l_partkey"))
-    owned = sold.select(F.col("c_nationkey").alias("owner"), F.explode(F.split("p_name", " ")).alias("token")).groupBy("owner").agg(F.collect_set("token").alias("used"))
-    rows = part.withColumn("n_nationkey", (F.col("p_partkey") % 25).cast("int")).join(nation.select("n_nationkey"), "n_nationkey").join(owned, F.col("n_nationkey") == F.col("owner"), "left")
-    shared = F.size(F.array_intersect(F.array_distinct(F.split("p_name", " ")), F.coalesce("used", F.array().cast("array<string>"))))
+    used = sold.select(F.col("c_nationkey").alias("owner"), F.explode(F.split("p_name", " ")).alias("used")).distinct()
+    rows = part.withColumn("n_nationkey", (F.col("p_partkey") % 25).cast("int")).join(nation.select("n_nationkey"), "n_nationkey")
+    words = rows.select("p_partkey", "p_brand", "n_nationkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("word"))
+    met = words.join(used, (F.col("n_nationkey") == F.col("owner")) & (F.col("word") == F.col("used")), "left")
+    rows = met.groupBy("p_partkey", "p_brand", "n_nationkey").agg(F.count("used").alias("n"))
+    shared = F.col("n")
     evidence = F.when(F.col("p_brand") == F.concat(F.lit("Brand#"), "n_nationkey"), "exact").when(shared == 2, "owner_lists").when(shared == 1, "shared_token").otherwise("none")
     return rows.select("p_partkey", "n_nationkey", evidence.alias("evidence"))
 
