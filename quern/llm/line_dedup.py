@@ -194,9 +194,24 @@ def within(pairs: DataFrame, texts: DataFrame, n_pairs: int, n_texts: int, t: in
     return close.select(F.when(first, F.col("b_at")).otherwise(F.col("a_at")).alias("at"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("id")).distinct()
 
 
-def identity(line: Column) -> Column:
-    """96 bits of two hashes, which tell all lines of a corpus apart; pairs of lines are pairs of these."""
-    return F.struct(F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"))
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def known_lines(work: Workspace, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`members` (id, rest, at, ...) with ids that tell all lines apart, and the lines by id with their earliest place and their parities.
+
+    An id is a hash of 64 bits. A second hash shows where different lines have the same one; among very many lines a few do, and get new ids out of both.
+    """
+    texts = members.groupBy("id").agg(F.min("at").alias("at"), F.any_value("rest").alias("line"), (F.min(F.hash("rest")) != F.max(F.hash("rest"))).alias("mixed"))
+    texts = work.table(texts.withColumn("parity", parities(F.col("line"))), "texts")
+    mixed = texts.where("mixed").select(F.col("id").alias("mixed_id"))
+    n_mixed = mixed.count()
+    if not n_mixed:
+        return members, texts
+    told = members.join(small(mixed, n_mixed), F.col("id") == F.col("mixed_id"), "left")
+    told = told.withColumn("id", F.when(F.col("mixed_id").isNotNull(), F.xxhash64("id", F.hash("rest"), F.reverse("rest"))).otherwise(F.col("id"))).drop("mixed_id")
+    return known_lines(work, work.table(told, "members"))
 
 
 def near_lines(work: Workspace, lines: DataFrame, t: int) -> DataFrame:
@@ -208,9 +223,8 @@ def near_lines(work: Workspace, lines: DataFrame, t: int) -> DataFrame:
     whole = lines.select("at", F.col("line").alias("rest"), F.lit(0).cast("long").alias("path"), F.lit(0).alias("role"))
     live = work.table(live_keys(under_keys(whole, t, [])), "live")
     found = under_keys(whole, t, ["at"]).join(small(live, live.count()), F.col("key") == F.col("live"))
-    members = work.table(found.select("at", identity(F.col("rest")).alias("id"), "key", "role", "m", "pairs", "rest", "start", "size", _met(None, t).alias("met")), "members")
-    texts = members.groupBy("id").agg(F.min("at").alias("at"), F.any_value("rest").alias("line"))
-    texts = work.table(texts.withColumn("parity", parities(F.col("line"))), "texts")
+    members = work.table(found.select("at", line_hash(F.col("rest")).alias("id"), "key", "role", "m", "pairs", "rest", "start", "size", _met(None, t).alias("met")), "members")
+    members, texts = known_lines(work, members)
     n_texts = texts.count()
     pairs, gone, counted = [pairs_under(members.where(F.col("pairs") <= FEW_PAIRS))], [], False
     while n_hot := (hot := members.where(F.col("pairs") > FEW_PAIRS)).count():

@@ -90,6 +90,18 @@ def test_crowded_nodes_keep_the_prefix_of_the_target(spark):
     assert found == {(k, 10 + k % 2) for k in range(20)} | {(k, 5 + k // 25) for k in range(20, 30)} | {(k, 50 + k // 25) for k in range(20, 30)}
 
 
+def test_lines_whose_hashes_collide(spark, monkeypatch):
+    """With hashes that most lines share, each line is still a line of its own."""
+    rng = random.Random(8)
+    lines = ["".join(rng.choices("abcdefghij klmno", k=rng.choice((40, 41, 42)))) for _ in range(80)]
+    lines += [w[:7] + "#" + w[8:] for w in lines[:30]]
+    docs = spark.createDataFrame([(k, w) for k, w in enumerate(lines)], "doc_id long, text string")
+    want = sorted((r.row.doc_id, r.n_exact, r.n_near) for r in line_dedup.dedup_lines(spark, docs).collect())
+    assert sum(n for _, _, n in want) == 30
+    monkeypatch.setattr(line_dedup, "line_hash", lambda line: F.length(line).cast("long"))
+    assert sorted((r.row.doc_id, r.n_exact, r.n_near) for r in line_dedup.dedup_lines(spark, docs).collect()) == want
+
+
 def planted_groups(rng, left, right, n_words=193):
     """Texts of two groups of near copies; every text of one group is at a similarity of 0.80 to 0.81 to every text of the other."""
     words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(3 * n_words)]
