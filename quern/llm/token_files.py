@@ -19,6 +19,8 @@ from quern.llm.tokens import encoded_slices
 
 #: Parquet writer settings: bytes of a row group, bytes and rows of a page.
 LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "512", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "compression": "zstd"}
+#: Bytes of text that a file stands for, and the least that a file of its own is worth where there are more cores than files.
+FILE_BYTES, LEAST_FILE_BYTES = 256 << 20, 4 << 20
 STORED = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
@@ -39,15 +41,21 @@ def _encode(tokenizer: str, spaced: bool, end_id: int):
     return run
 
 
+def file_count(size: int, cores: int) -> int:
+    return max(1, -(-size // FILE_BYTES), min(2 * cores, -(-size // LEAST_FILE_BYTES)))
+
+
 def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", spaced: bool = False, end_id: int = 1, files: int | None = None) -> None:
     """Write the ids of `docs` (doc_id, text) to Parquet files under `path`, in ascending doc_id order over all files.
 
     A null or empty text is the end id alone. Rows without a doc_id come first; rows that repeat one are
-    stored one after another. Other columns are ignored. An empty table gives files without rows.
+    stored one after another, in several files if they are many. Other columns are ignored. An empty table gives files without rows. The number of files follows
+    the bytes of the texts unless `files` says it.
     """
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(_encode(tokenizer, spaced, end_id), STORED).write.options(**LAYOUT).parquet(path)
+    n = files or file_count(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, spark.sparkContext.defaultParallelism)
+    order = F.col("doc_id").asc_nulls_first()
+    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.rand(11).alias("spread")).repartitionByRange(n, order, "spread")
+    dealt.sortWithinPartitions(order).select("doc_id", "text").mapInArrow(_encode(tokenizer, spaced, end_id), STORED).write.options(**LAYOUT).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
