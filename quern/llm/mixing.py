@@ -66,7 +66,9 @@ def mix(spark: SparkSession, docs: DataFrame, weights: DataFrame, share: float =
     """
     work = Workspace(spark, "mix")
     sized = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("size"))
-    keyed = sized.join(weights.select(F.col("doc_id").alias("weight_id"), F.col("weight").alias("w")), F.col("doc_id") == F.col("weight_id"), "left")
+    known = F.col("doc_id").isNotNull()  # rows without an id have no weight; a join would send all of them to one task
+    weighed = sized.where(known).join(weights.select(F.col("doc_id").alias("weight_id"), F.col("weight").alias("w")), F.col("doc_id") == F.col("weight_id"), "left")
+    keyed = weighed.drop("weight_id").unionByName(sized.where(~known).withColumn("w", F.lit(None).cast("double")))
     key = -F.log(uniform(F.col("doc_id"))) / F.coalesce(F.col("w"), F.lit(UNKNOWN))
     rows = work.table(keyed.select("doc_id", "source", "text_hash", "size", key.alias("key")), "keys")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))

@@ -1,3 +1,4 @@
+import numpy as np
 import random
 from collections import Counter, defaultdict
 
@@ -87,3 +88,43 @@ def test_equal_texts_get_equal_predictions(spark, odd_docs, no_docs):
     none = language_id.fit(no_docs)
     assert none.languages == [] and all(r.lang_pred == "und" and r.rejected for r in language_id.predict(odd_docs, none, ["doc_id"]).collect())
     assert language_id.predict(no_docs, model, ["doc_id"]).count() == 0
+
+
+def plain_vector(text, idf):
+    """TF-IDF over hashed byte n-grams, one n-gram at a time."""
+    raw = bytes(32 if b < 65 or 90 < b < 97 or 122 < b < 128 else b + 32 if b < 91 else b for b in text.encode())
+    b = b" " + raw + b" "
+    counts = Counter()
+    for k in range(len(raw)):
+        counts[b[k + 1]] += 1
+    for k in range(len(b) - 1):
+        counts[(b[k] * 257 + b[k + 1] + (1 << 18)) % 2**32] += 1
+    for k in range(len(b) - 2):
+        counts[((b[k] * 257 + b[k + 1]) * 257 + b[k + 2] + (1 << 26)) % 2**32] += 1
+    held = Counter()
+    for gram, n in counts.items():
+        held[(gram * 2654435761 % 2**32) >> 20] += n
+    v = np.zeros(language_id.BUCKETS)
+    for bucket, n in held.items():
+        v[bucket] = np.log1p(n) * idf[bucket]
+    return held, v / max(np.linalg.norm(v), 1e-12)
+
+
+def test_predictions_equal_a_plain_version(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    learned = docs.where(~language_id.held_out(F.col("doc_id")))
+    model = language_id.fit(learned)
+    teaching = [r.text for r in learned.collect() if r.lang is not None and r.text is not None and any(c.isalpha() for c in r.text)]
+    seen = Counter(b for t in teaching for b in plain_vector(t, np.ones(language_id.BUCKETS))[0])
+    assert np.allclose(model.idf, [np.log((1 + len(teaching)) / (1 + seen[b])) + 0.2 for b in range(language_id.BUCKETS)], atol=1e-5)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5)
+    for r in language_id.predict(docs, model, ["doc_id", "text"]).collect():
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
+            continue
+        held, v = plain_vector(r.text, model.idf)
+        near = model.centroids @ v
+        assert abs(r.score - min(1, max(0, near.max()))) < 1e-4
+        assert near.max() - max(n for n, lang in zip(near, model.languages, strict=True) if lang == r.lang_pred) < 1e-5
+        least = np.interp(np.log(max(sum(held.values()) / 3, 1)), np.log(language_id.CUTS), model.reject_below)
+        assert r.rejected == (r.score < least) or abs(r.score - least) < 1e-4
