@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import workers
+
 BUCKETS = 4096
 #: Labelled rows of each language that centroids are fitted on, about; the rest of the labelled rows only counts towards document frequencies.
 SAMPLE = 1000
@@ -46,6 +48,7 @@ def _buckets(raw: np.ndarray) -> np.ndarray:
 
 def counts_of(column: pa.Array) -> np.ndarray:
     """A row of bucket counts for each text (binary)."""
+    workers.works_for("language_id")
     column = column.cast(pa.large_binary())
     out = np.zeros((len(column), BUCKETS), dtype=np.float32)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import workers
 from quern.llm.graph import components
 from quern.llm.storage import Workspace, small
 
@@ -50,6 +51,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POWERS: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
 
 
+def _forget() -> None:
+    _POWERS[:] = [np.zeros(0, np.uint64)] * 2
+
+
+workers.keeps("ngram_join", _forget)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
@@ -99,6 +107,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 def sets_of(column: pa.Array):
     """(index of the first text, shingle sets) for slices of a text column."""
+    workers.works_for("ngram_join")
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)

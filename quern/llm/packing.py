@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.storage import Workspace, small
-from quern.llm.tokens import encoded_slices
+from quern.llm.tokens import MEMO_ENTRIES, encoded_slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, place long"
 
@@ -89,7 +89,7 @@ def plan_runs(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, in
     return runs
 
 
-def _cut(tokenizer: str, end_id: int, capacity: int, narrow: bool):
+def _cut(tokenizer: str, end_id: int, capacity: int, narrow: bool, entries: int = MEMO_ENTRIES):
     """Cuts documents into pieces and ranks those of a length within the task."""
 
     def run(batches):
@@ -97,7 +97,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int, narrow: bool):
 
         part, seen = TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch, encoded in encoded_slices(batches, tokenizer, True):
+        for batch, encoded in encoded_slices(batches, tokenizer, True, entries=entries):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 ids += end
@@ -116,17 +116,17 @@ def _cut(tokenizer: str, end_id: int, capacity: int, narrow: bool):
     return run
 
 
-def pack(spark: SparkSession, docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, entries: int = MEMO_ENTRIES) -> DataFrame:
     """Pieces of `docs` (doc_id, text) with the sequence and offset that each is packed at.
 
     Returns doc_id, piece, start, length, ids_crc32, ids (little-endian 16-bit ids; a larger id is an error),
     sequence_id, offset. A null or empty text is a piece of the end id alone. Rows that repeat a
     doc_id, or have none, are documents of their own. A document of more than `capacity` ids is cut into pieces of
     `capacity`, the first one shorter where it doesn't come out even. Other columns of `docs`, whatever their names, are
-    ignored. An empty table gives none.
+    ignored. An empty table gives none. `entries` bounds what a Python worker remembers of words; it changes no result.
     """
     work = Workspace(spark, "pack")
-    pieces = work.table(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_cut(tokenizer, end_id, capacity, True), PIECES), "pieces")
+    pieces = work.table(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_cut(tokenizer, end_id, capacity, True, entries), PIECES), "pieces")
     return place(spark, pieces, capacity, work)
 
 

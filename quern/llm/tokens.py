@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from quern.llm import workers
+
 #: A private-use character that marks the ends of pieces encoded together.
 MARK = "\ue000"
 _PRIVATE = re.compile("[\ue000-\uefff]")
@@ -61,6 +63,7 @@ class PieceEncoder:
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
+        self.entries = MEMO_ENTRIES
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
@@ -166,7 +169,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
-        if len(self.memo) + len(self.words) > MEMO_ENTRIES:
+        if len(self.memo) + len(self.words) > self.entries:
             self.memo.clear()
             self.words.clear()
         out, again = [], []
@@ -190,6 +193,7 @@ class PieceEncoder:
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
+workers.keeps("tokens", _ENCODERS.clear)
 
 
 def encoder(path: str, spaced: bool) -> PieceEncoder:
@@ -210,9 +214,12 @@ def public_path(name: str) -> str:
 SLICE_CHARS = 2_000_000
 
 
-def encoded_slices(batches: Iterator[pa.RecordBatch], name: str, spaced: bool, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches of bounded size, each with the ids of its texts. `name`: file name of a public tokenizer, or a path."""
+def encoded_slices(batches: Iterator[pa.RecordBatch], name: str, spaced: bool, text: str = "text", entries: int = MEMO_ENTRIES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches of bounded size, each with the ids of its texts. `name`: file name of a public tokenizer, or a path; `entries`: pieces that
+    a worker remembers, about 200 bytes each."""
+    workers.works_for("tokens")
     enc = encoder(name if "/" in name else public_path(name), spaced)
+    enc.entries = entries
     for batch in batches:
         column = batch.column(text).cast(pa.large_string())
         sizes = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]) if len(column) else np.zeros(0)
