@@ -9,6 +9,10 @@ from quern.llm import language_id, line_dedup, mixing, ngram_join, packing
 from quern.llm.storage import Workspace
 
 
+#: Pieces of words that a Python worker remembers while it packs: fewer than by default, as executors still hold what the stages before needed.
+PACKING_ENTRIES = 300_000
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification doesn't reject."""
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
@@ -34,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in packed sequences."""
-    return packing.pack(spark, docs).drop("ids")
+    return packing.pack(spark, docs, entries=PACKING_ENTRIES).drop("ids")
 
 
 STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines), ("ngram_join", join_ngrams), ("mixing", mix_sources), ("packing", pack_documents)]
