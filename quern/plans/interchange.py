@@ -61,11 +61,55 @@ def q_header_below_preamble(spark, sf_dir):
     even = F.col("s_nationkey") % 2 == 0
     line = F.when(even, F.concat_ws(",", key, cell, balance)).otherwise(F.concat_ws(",", balance, cell, F.lit("x"), key))
     header = F.when(even, "Key of name,Name,Balance").otherwise("ACCOUNT BALANCE,Name of firm,Note,Key")
-    sheet = rows.groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
-    sheet.select("s_nationkey", F.concat(F.lit("Suppliers, by name\nin one nation,,\n"), header, F.lit("\n"), "body").alias("value")).write.partitionBy("s_nationkey").text(path)
+    body = rows.select("s_nationkey", F.lit(3).alias("at"), line.alias("value"))
+    heads = rows.select("s_nationkey", F.explode(F.array(*(F.struct(F.lit(k).alias("at"), v.alias("value")) for k, v in enumerate((F.lit("Suppliers, by name"), F.lit("in one nation,,"), header))))).alias("h")).select("s_nationkey", "h.*").distinct()
+    heads.union(body).repartition("s_nationkey").sortWithinPartitions("s_nationkey", "at", "value").select("s_nationkey", "value").write.partitionBy("s_nationkey").text(path)
     return files.read_csv_with_header_below(spark, path, {"key": "key", "name": "name", "balance": "balance"})
 
 
+@query("""
+SELECT 'supplier' AS held, s_suppkey::VARCHAR AS key, s_name AS name, NULL AS kind FROM supplier UNION ALL SELECT 'customer', c_custkey::VARCHAR, c_name, c_mktsegment FROM customer UNION ALL SELECT 'nation', n_nationkey::VARCHAR, n_name, NULL FROM nation""")
+def q_found_columns(spark, sf_dir):
+    """Exports of three sources, each with names of its own for the same columns, which are found by patterns in order."""
+    path = shared_path(spark, "sources")
+    wanted = {"key": [r"\bid\b", "key$"], "name": ["^(full )?name$", "name"], "kind": ["segment", "^kind$"]}
+    named = {"supplier": {"s_suppkey": "Supplier ID", "s_name": "Full Name", "s_nationkey": "Name of nation"}, "customer": {"c_custkey": "Cust_Key", "c_mktsegment": "Market Segment", "c_name": "NAME"}, "nation": {"n_name": "Nation name", "n_nationkey": "nationkey"}}
+    found = []
+    for table, names in named.items():
+        rows = load(spark, sf_dir, table)
+        rows.select(*(F.col(c).alias(n) for c, n in names.items())).write.option("header", True).option("escape", '"').csv(f"{path}/{table}")
+        found.append(files.with_columns_found(files.read_csv(spark, f"{path}/{table}"), wanted).select(F.lit(table).alias("held"), *wanted))
+    return reduce(DataFrame.union, found)
+
+
+@query("""
+WITH o AS (SELECT *, o_orderkey % 3 AS kind FROM orders WHERE o_orderkey % 10 > 0)
+SELECT CASE kind WHEN 0 THEN 'FDA' WHEN 1 THEN 'FSIS' ELSE 'CPSC' END AS agency, CASE kind WHEN 0 THEN 'F-' || o_orderkey WHEN 1 THEN 'R' || o_orderkey ELSE 'C' || o_orderkey END AS reference, strftime(o_orderdate, '%Y-%m-%d') AS dated, 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') AS firm,
+  CASE kind WHEN 0 THEN o_orderpriority WHEN 1 THEN o_orderpriority || '; ' || o_orderstatus ELSE NULL END AS reason FROM o""")
+def q_agency_feeds(spark, sf_dir):
+    """Notices of three agencies, each in JSON of its own shape, as rows of one shape; lines that are no JSON are left out."""
+    orders, path = load(spark, sf_dir, "orders"), shared_path(spark, "agencies")
+    key, firm, day = F.col("o_orderkey").cast("string"), F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")), F.date_format("o_orderdate", "yyyy-MM-dd")
+    shapes = [
+        F.struct(F.concat(F.lit("F-"), key).alias("recall_number"), F.date_format("o_orderdate", "yyyyMMdd").alias("report_date"), F.col("o_orderpriority").alias("reason_for_recall"), firm.alias("recalling_firm")),
+        F.struct(F.concat(F.lit("R"), key).alias("field_recall_number"), day.alias("field_recall_date"), F.array("o_orderpriority", "o_orderstatus").alias("field_reasons"), F.struct(firm.alias("name")).alias("establishment")),
+        F.struct(F.concat(F.lit("C"), key).alias("RecallNumber"), day.alias("RecallDate"), F.array(F.struct(firm.alias("Name"))).alias("Manufacturers")),
+    ]
+    for kind, shape in enumerate(shapes):
+        text = F.to_json(shape)
+        lines = orders.where(F.col("o_orderkey") % 3 == kind).select(F.when(F.col("o_orderkey") % 10 > 0, text).otherwise(F.substring(text, F.lit(1), F.length(text) - 3)).alias("value"))
+        lines.write.option("compression", "gzip").text(f"{path}/{kind}")
+
+    def notices(kind, schema, agency, reference, dated, by, reason):
+        read = files.read_json_lines(spark, f"{path}/{kind}", schema).where("NOT bad")
+        return read.select(F.lit(agency).alias("agency"), F.expr(reference).alias("reference"), F.expr(dated).alias("dated"), F.expr(by).alias("firm"), F.expr(reason).cast("string").alias("reason"))
+
+    fda = notices(0, "recall_number string, report_date string, reason_for_recall string, recalling_firm string", "FDA", "recall_number", "date_format(to_date(report_date, 'yyyyMMdd'), 'yyyy-MM-dd')", "recalling_firm", "reason_for_recall")
+    fsis = notices(1, "field_recall_number string, field_recall_date string, field_reasons array<string>, establishment struct<name:string>", "FSIS", "field_recall_number", "field_recall_date", "establishment.name", "array_join(field_reasons, '; ')")
+    cpsc = notices(2, "RecallNumber string, RecallDate string, Manufacturers array<struct<Name:string>>", "CPSC", "RecallNumber", "RecallDate", "Manufacturers[0].Name", "NULL")
+    return fda.unionByName(fsis).unionByName(cpsc)
+
+
 @query("""
 SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'REVIEW' ELSE c_mktsegment END AS after_run, c_acctbal < 0 AND c_mktsegment <> 'REVIEW' AS planned, c_mktsegment AS after_undo FROM customer""")
 def q_change_log(spark, sf_dir):

@@ -112,3 +112,22 @@ def test_stream_equals_batch(spark, data, tmp_path):
     run.awaitTermination(120)
     key = lambda r: (r.start, r.event_type, r.n, round(r.total, 4))
     assert sorted(map(key, spark.table("counts").collect())) == sorted(map(key, windowed_counts(batch).collect()))
+
+
+def test_columns_are_found_in_the_order_of_patterns(spark):
+    assert files.find_column(["Name of nation", "Full Name", "id"], ["^(full )?name$", "name"]) == "Full Name"
+    assert files.find_column(["Nation name", "b"], ["^name$", "name"]) == "Nation name"
+    assert files.find_column(["a"], ["x"]) is None
+    df = spark.createDataFrame([("1", "n")], "`odd.key` string, b string")
+    assert [tuple(r) for r in files.with_columns_found(df, {"key": ["key"], "none": ["zzz"]}).collect()] == [("1", None)]
+    records = [{"Brand name": " ", "brand": "A", "maker": "M"}, {"maker": "M"}, {}, None]
+    rows = spark.createDataFrame(list(enumerate(records)), "k int, r map<string,string>").select("k", files.pick(F.col("r"), ["^brand", "maker"]).alias("v")).orderBy("k").collect()
+    assert [r["v"] for r in rows] == ["A", "M", None, None]
+
+
+def test_header_in_one_file_of_several(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffPreamble\n\nNote, Key ,NAME\nx,1,\"a, \"\"b\"\"\nc\"\n,,\ny,2\nNote,Key,Name\n")
+    (tmp_path / "b.csv").write_text("\ufeffname,key\nB,3\n")
+    (tmp_path / "c.csv").write_text("no header here\n1,2\n")
+    rows = files.read_csv_with_header_below(spark, str(tmp_path), ["key", "name"]).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([("1", 'a, "b"\nc'), ("2", None), ("Key", "Name"), ("3", "B")], key=str)
