@@ -108,7 +108,7 @@ def notice_names(name: Column, notice: Column, generic: list[str]) -> Column:
 def tidy_serving(label: Column) -> Column:
     """A serving's label with the first number of six or more decimals rounded to one, half up."""
     number = F.regexp_extract(label, r"[0-9]+\.[0-9]{6,}", 0)
-    tenths = F.floor(number.cast("double") * 10 + 0.5).cast("long")
+    tenths = F.floor(number.try_cast("double") * 10 + 0.5).cast("long")
     plain = F.concat(F.floor(tenths / 10).cast("string"), F.when(tenths % 10 != 0, F.concat(F.lit("."), (tenths % 10).cast("string"))).otherwise(""))
     return F.when(number == "", label).otherwise(F.replace(label, number, plain))
 

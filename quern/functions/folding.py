@@ -127,7 +127,7 @@ def names_agree(ours: Column, theirs: Column, generic: list[str]) -> Column:
     a, b = (F.filter(F.split(word_form(c), " "), lambda w: w != "") for c in (ours, theirs))
     run = lambda x: F.array_join(x, "")
     pad = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
-    telling = lambda x, least: (F.length(run(x)) >= least) & ~((F.size(x) == 1) & x[0].isin(generic))
+    telling = lambda x, least: (F.length(run(x)) >= least) & ~((F.size(x) == 1) & F.get(x, F.lit(0)).isin(generic))
     starts = lambda x, y: run(x).startswith(run(y))
     agree = (
         (run(a) == run(b))

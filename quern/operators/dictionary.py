@@ -132,3 +132,55 @@ def classes(found: DataFrame, keys: Sequence[str], rules: DataFrame) -> DataFram
     covered = F.coalesce(F.max(F.when(F.col("kind") == "harmless", F.col("stop"))).over(order) >= F.col("stop"), F.lit(False))
     per_class = seen.withColumn("_real", (F.col("kind") == "word") & ~covered).groupBy(*keys, "class").agg(F.bool_or("_real").alias("real"), F.bool_or(F.col("kind") == "veto").alias("vetoed"))
     return per_class.where("real AND NOT vetoed").groupBy(*keys).agg(F.array_sort(F.collect_set("class")).alias("classes"))
+
+
+def compounds(rows: DataFrame, key: str, name: str, known: DataFrame, heads: Sequence[str]) -> DataFrame:
+    """key, part, item: the things that a name joined by and, or, and/or is said to be.
+
+    Alternatives (or, and/or) always divide; both divide at `and` only if both halves, the first with the head word of the second if it lacks one, are `known` (name). An earlier half
+    takes the last word of the last if that is one of `heads` and it has none itself. A name without such words is one thing; a null or empty one is none.
+    """
+    words = F.col(name)
+    either = r"\s*,?\s+(?:and\s*/\s*or|or)\s+"
+    divided = F.when(words.rlike(either), F.split(words, either)).otherwise(F.split(words, r"\s+(?:and|&)\s+"))
+    last = lambda c: F.try_element_at(F.split(c, " "), F.lit(-1))
+    tail = F.try_element_at(F.col("_each"), F.lit(-1))
+    lends = (F.size(F.split(tail, " ")) > 1) & last(tail).isin(*heads)
+    whole = lambda c, k: F.when((k < F.size("_each") - 1) & lends & ~last(c).isin(*heads), F.concat_ws(" ", c, last(tail))).otherwise(c)
+    cut = rows.where(words != "").select(F.col(key), words.alias("_name"), words.rlike(either).alias("_either"), F.filter(divided, lambda p: F.trim(p) != "").alias("_each"))
+    parts = cut.select(key, "_name", "_either", F.size("_each").alias("_n"), F.posexplode(F.transform("_each", whole)).alias("part", "item"))
+    met = parts.join(known.select(F.col("name").alias("_known")).distinct(), F.col("item") == F.col("_known"), "left")
+    judged = met.groupBy(key, "_name", "_either", "_n").agg(F.array_sort(F.collect_list(F.struct("part", "item"))).alias("_items"), F.count("_known").alias("_found"))
+    kept = F.when(F.col("_either") | ((F.col("_n") == 2) & (F.col("_found") == 2)), F.col("_items")).otherwise(F.array(F.struct(F.lit(0).alias("part"), F.col("_name").alias("item"))))
+    return judged.select(key, F.explode(kept).alias("_i")).select(key, "_i.part", "_i.item")
+
+
+def nouns(names: DataFrame, name: str, maker: str, makers: int = 50, plain_share: float = 0.7) -> DataFrame:
+    """noun: the last words of names that at least `makers` makers use and that end, in at least `plain_share` of their uses, names without a comma."""
+    ends = names.select(F.try_element_at(stems(F.col(name)), F.lit(-1)).alias("noun"), F.col(maker).alias("_maker"), (~F.col(name).contains(",")).cast("int").alias("_plain")).where("noun IS NOT NULL")
+    return ends.groupBy("noun").agg(F.count_distinct("_maker").alias("_makers"), F.avg("_plain").alias("_share")).where((F.col("_makers") >= makers) & (F.col("_share") >= plain_share)).select("noun")
+
+
+def oriented(names: DataFrame, key: str, name: str, lexicon: DataFrame) -> DataFrame:
+    """key, title, secondary: names of two halves at a comma, the half that ends in a noun of `lexicon` first; as they stand if both or neither do. Other names have no secondary."""
+    halves = F.filter(F.transform(F.split(F.col(name), ","), lambda p: F.trim(p)), lambda p: p != "")
+    cut = names.select(key, F.trim(F.col(name)).alias("_name"), halves.alias("_h"))
+    ends = cut.select(key, "_name", "_h", F.try_element_at(stems(F.get("_h", F.lit(0))), F.lit(-1)).alias("_a"), F.try_element_at(stems(F.get("_h", F.lit(1))), F.lit(-1)).alias("_b"))
+    one, two = lexicon.select(F.col("noun").alias("_na")), lexicon.select(F.col("noun").alias("_nb"))
+    met = ends.join(one, F.col("_a") == F.col("_na"), "left").join(two, F.col("_b") == F.col("_nb"), "left")
+    pair, swap = F.size("_h") == 2, F.col("_nb").isNotNull() & F.col("_na").isNull()
+    title = F.when(~pair, F.col("_name")).when(swap, F.get("_h", F.lit(1))).otherwise(F.get("_h", F.lit(0)))
+    return met.select(key, title.alias("title"), F.when(pair, F.when(swap, F.get("_h", F.lit(0))).otherwise(F.get("_h", F.lit(1)))).alias("secondary"))
+
+
+def families(rows: DataFrame, key: str, code: str, table: DataFrame) -> DataFrame:
+    """key, names, unknown: for each key the distinct names that its codes have in `table` (code, name, place), in the order of `place`, and how many of its codes it doesn't have. A code that is listed twice keeps its first place."""
+    first = table.groupBy(F.col("code").alias("_code")).agg(F.min(F.struct("place", "name")).alias("_f"))
+    met = rows.join(first, F.col(code) == F.col("_code"), "left").groupBy(key)
+    listed = F.array_sort(F.collect_set("_f"))  # as many as the table has names
+    return met.agg(F.array_distinct(F.transform(listed, lambda f: f["name"])).alias("names"), F.count_if(F.col(code).isNotNull() & F.col("_code").isNull()).alias("unknown"))
+
+
+def codes_of(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """The codes of all rules (code, pattern) that a text of several labels meets, in the order of the rules, each once."""
+    return F.array_distinct(F.array_compact(F.array(*(F.when(text.rlike(f"(?i){p}"), F.lit(c)) for c, p in rules))))

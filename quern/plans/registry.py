@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import catalogue, display, interchange, labels, matching, names, requests, resolution, signals  # noqa: F401 (add their queries to the catalogue's)
+from quern.plans import catalogue, display, interchange, labels, lexicon, matching, names, requests, resolution, signals  # noqa: F401 (add their queries to the catalogue's)
 
 QUERIES = dict(catalogue.QUERIES)
 SQL = dict(catalogue.SQL)

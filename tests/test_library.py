@@ -253,3 +253,37 @@ def test_categories_by_example(spark):
     rows = spark.createDataFrame(list(enumerate(names)), "id int, name string")
     found = {r["id"]: (r["category"], r["term"]) for r in dictionary.categorise(rows, "id", "name", terms).collect()}
     assert found == {0: ("Chocolate", "milk chocolate"), 1: ("Ice Cream", "ice cream"), 2: ("Snack", "bar"), 3: ("Coffee", "coffee"), 4: ("Dairy", "cream")}
+
+
+def test_compounds_by_example(spark):
+    known = spark.createDataFrame([("canola oil",), ("sunflower oil",), ("salt",), ("pepper",), (None,)], "name string")
+    names = ["canola and/or sunflower oil", "canola and sunflower oil", "salt & pepper", "salt and vinegar", "salt, or pepper", "macaroni and cheese and salt", "oil", "", None, "salt and pepper", " or "]
+    found = {}
+    for r in dictionary.compounds(spark.createDataFrame(list(enumerate(names)), "id int, n string"), "id", "n", known, ["oil"]).orderBy("id", "part").collect():
+        found.setdefault(r["id"], []).append(r["item"])
+    two = ["canola oil", "sunflower oil"]
+    assert found == {0: two, 1: two, 2: ["salt", "pepper"], 3: ["salt and vinegar"], 4: ["salt", "pepper"], 5: ["macaroni and cheese and salt"], 6: ["oil"], 9: ["salt", "pepper"]}
+
+
+def test_nouns_and_orientation(spark):
+    used = spark.createDataFrame([(f"nice {w}", m) for w in ("crackers", "cracker") for m in range(3)] + [("x, fresh", m) for m in range(5)] + [("rare thing", 1), (None, 2), ("", 3)], "name string, maker int")
+    lexicon = dictionary.nouns(used, "name", "maker", makers=3)
+    assert [r["noun"] for r in lexicon.collect()] == ["cracker"]
+    names = ["Oat & Honey, Crackers", "Crackers, Oat", "Cracker, Crackers", "a, b", "one", "a, b, cracker", None, ""]
+    found = dictionary.oriented(spark.createDataFrame(list(enumerate(names)), "id int, n string"), "id", "n", lexicon).orderBy("id").collect()
+    assert [(r["title"], r["secondary"]) for r in found] == [("Crackers", "Oat & Honey"), ("Crackers", "Oat"), ("Cracker", "Crackers"), ("a", "b"), ("one", None), ("a, b, cracker", None), (None, None), ("", None)]
+
+
+def test_families_and_codes(spark):
+    table = spark.createDataFrame([("e1", "B", 2), ("e2", "A", 1), ("e3", "B", 0), ("e1", "C", 5)], "code string, name string, place int")
+    rows = spark.createDataFrame([(1, "e1"), (1, "e2"), (1, "e3"), (1, "e9"), (2, None), (3, "e1")], "k int, c string")
+    found = dictionary.families(rows, "k", "c", table).orderBy("k").collect()
+    assert [(r["k"], r["names"], r["unknown"]) for r in found] == [(1, ["B", "A"], 1), (2, [], 0), (3, ["B"], 0)]
+    assert column(spark, ["cancer, Developmental", "female", "", None], F.array_join(dictionary.codes_of(F.col("a"), [("c", "cancer"), ("d", "develop"), ("f", "female"), ("c", "^cancer")]), "|")) == ["c|d", "f", "", ""]
+
+
+def test_names_that_agree(spark):
+    pairs = [("Kellogg's", "KELLOGGS Raisin Bran"), ("365", "365 Whole Foods Market"), ("Clif", "CLIF BAR"), ("Red", "Red Gold"), ("", ""), (None, "x"), ("Wegmans Organic", "WEGMANS"), ("Ab", "Ab cd"), ("Übel", "UBEL & Söhne")]
+    assert column(spark, pairs, folding.names_agree(F.col("a"), F.col("b"), ["RED"])) == [True, True, True, False, False, False, True, False, True]
+    legal = [("Kashi", "Kashi Company LLC"), ("Kashl Company", "Kashi Company"), ("Pepperidge Farm", "Peperidge Farms Inc"), ("Oreo", "Mondelez"), ("", "x"), (None, "x")]
+    assert column(spark, legal, folding.spells_legal_name(F.col("a"), F.col("b"), ["company", "llc", "inc"])) == [True, True, True, False, False, False]
