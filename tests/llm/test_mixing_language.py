@@ -1,7 +1,7 @@
-import numpy as np
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 

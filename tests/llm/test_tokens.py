@@ -3,12 +3,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
-from pyspark.sql import functions as F
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from quern.llm import packing, token_counts, token_files
+from quern.llm import ngram_join, packing, token_counts, token_files, tokens, workers
 from quern.llm.tokens import PieceEncoder, public_path
 
 NAMES = {"byte_bpe_50k.json": True, "word_bpe_49k.json": False}
@@ -139,3 +139,16 @@ def test_token_counts(spark, odd_docs):
 def test_token_counts_of_nothing(spark, no_docs):
     sums = token_counts.with_suffix_sums(token_counts.length_histogram(no_docs))
     assert sums.count() == 0 and token_counts.truncated_total(sums, 5).first()[0] == 0
+
+
+def test_a_worker_keeps_one_operator_at_a_time():
+    encoder = tokens.encoder(tokens.public_path("word_bpe_49k.json"), False)
+    workers.works_for("tokens")
+    assert tokens.encoder(tokens.public_path("word_bpe_49k.json"), False) is encoder
+    workers.works_for("language_id")
+    assert not tokens._ENCODERS
+    ngram_join.shingle_sets(np.frombuffer(b"a b c d e f", dtype=np.uint8), np.array([0, 11]))
+    assert len(ngram_join._POWERS[0])
+    workers.works_for("tokens")
+    assert not len(ngram_join._POWERS[0])
+    assert len(ngram_join.shingle_sets(np.frombuffer(b"a b c d e f", dtype=np.uint8), np.array([0, 11]))[0]) == 2
