@@ -104,9 +104,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights: DataFrame, share: float =
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it."""
-    wanted = mixed.where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "text_hash", "copies").distinct()
-    wanted = small(wanted, wanted.count())
+    """The rows of `docs`, each as often as the mix takes it. Rows meet their decisions by a shuffle on id, source and text at every size: decisions are as many as documents."""
+    wanted = mixed.where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "text_hash", "copies").distinct().hint("shuffle_hash")
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("row_id"), F.col("source").alias("row_source"), F.xxhash64("text").alias("row_hash"))
     on = F.col("row_id").eqNullSafe(F.col("mix_id")) & F.col("row_source").eqNullSafe(F.col("mix_source")) & (F.col("row_hash") == F.col("text_hash"))
