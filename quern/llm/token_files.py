@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.llm import workers
 from quern.llm.storage import Workspace, small
 from quern.llm.tokens import encoded_slices
 
@@ -42,7 +43,7 @@ def _encode(tokenizer: str, spaced: bool, end_id: int):
 
 
 def file_count(size: int, cores: int) -> int:
-    return max(1, -(-size // FILE_BYTES), min(2 * cores, -(-size // LEAST_FILE_BYTES)))
+    return max(1, -(-size // FILE_BYTES), min(4 * cores, -(-size // LEAST_FILE_BYTES)))
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", spaced: bool = False, end_id: int = 1, files: int | None = None) -> None:
@@ -73,6 +74,7 @@ def read_token_files(spark: SparkSession, path: str, low: int | None = None, hig
 
 
 def _digest(batches):
+    workers.works_for("token_files")  # what was remembered for encoding isn't needed any more
     for batch in batches:
         ids = batch.column("ids")
         offsets = ids.offsets.to_numpy()

@@ -114,7 +114,7 @@ def test_delta_pages_and_many_rows_of_one_id(spark, tmp_path):
 
 
 def test_numbers_of_files():
-    assert [token_files.file_count(n, 8) for n in (0, 1, 5 << 20, 1 << 30, 100 << 40)] == [1, 1, 2, 16, 409_600]
+    assert [token_files.file_count(n, 8) for n in (0, 1, 5 << 20, 1 << 30, 100 << 40)] == [1, 1, 2, 32, 409_600]
 
 
 def test_token_files_of_nothing(spark, no_docs, tmp_path):
