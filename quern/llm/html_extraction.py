@@ -35,6 +35,8 @@ BROADCAST_BYTES, HOT = 32 << 20, 100
 FLOW = set("p li dt dd tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption caption".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 NOT_TEXT = set("head nav footer aside form menu dialog fieldset".split())
+#: Of these, what never holds the main text, whatever is in it; a form may stand around the whole page.
+NEVER_MAIN = NOT_TEXT - {"form", "fieldset"}
 #: First or last words of a class, id or role that is not the main text.
 SIDE = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside complementary widget widgets "
@@ -192,7 +194,7 @@ def kept(page: Slot, template: Slot | None) -> set[int]:
     def look(s: Slot) -> bool:
         below = [look(k) for k in s.kids]
         share[id(s)] = s.chars + sum(share[id(k)] for k in s.kids)
-        holds_main[id(s)] = any(below) or kind(s.label) == "main"
+        holds_main[id(s)] = (any(below) or kind(s.label) == "main") and s.label.split(".")[0] not in NEVER_MAIN
         return holds_main[id(s)]
 
     has_main = look(page)

@@ -108,6 +108,8 @@ ODD = {
     "<form><p>the whole page is a form here</p></form>": "the whole page is a form here",
     "<div><a href=x>only links</a> <a>more</a></div><p>text <a>link</a> and more text": "text link and more text",
     "<article>a</article><p>outside</p>": "a",
+    "<aside><article>teaser</article></aside><footer><main>x</main></footer><div><p>the text itself</div>": "the text itself",
+    "<form><div class=page-banner><article>a<section class=comments><article class=comment>c</article></section></article></div><p>more</form>": "a",
     "&#x41;&#66;&nbsp;&copy;&notanentity;&#xD800;": "AB ©¬anentity;�",
     "</p></div></body>stray": "stray",
 }
