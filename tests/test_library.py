@@ -3,13 +3,14 @@
 import itertools
 import json
 import random
+import time
 from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import folding, hazards, rules, text
-from quern.operators import census, dictionary, filters, resolve
+from quern.operators import census, dictionary, filters, relational, resolve
 from quern.sources import publish
 
 
@@ -287,3 +288,52 @@ def test_names_that_agree(spark):
     assert column(spark, pairs, folding.names_agree(F.col("a"), F.col("b"), ["RED"])) == [True, True, True, False, False, False, True, False, True]
     legal = [("Kashi", "Kashi Company LLC"), ("Kashl Company", "Kashi Company"), ("Pepperidge Farm", "Peperidge Farms Inc"), ("Oreo", "Mondelez"), ("", "x"), (None, "x")]
     assert column(spark, legal, folding.spells_legal_name(F.col("a"), F.col("b"), ["company", "llc", "inc"])) == [True, True, True, False, False, False]
+
+
+def _plain_pairs(bag, seeds):
+    """Sets and, for each owner, its rarest elements, in plain Python."""
+    sets = {}
+    for o, e in bag:
+        if o is not None and e is not None:
+            sets.setdefault(o, set()).add(e)
+    spread = {}
+    for es in sets.values():
+        for e in es:
+            spread[e] = spread.get(e, 0) + 1
+    return sets, {o: sorted(es, key=lambda e: (spread[e], e))[:seeds] for o, es in sets.items()}
+
+
+@pytest.mark.parametrize("carried", [64, 3, 0])
+def test_sets_are_compared_where_they_meet(spark, carried):
+    rng = random.Random(3)
+    bag = [(rng.randrange(60), rng.randrange(40)) for _ in range(400)] + [(1, e) for e in range(30)] + [(None, 3), (5, None), (7, 7), (7, 7)]
+    rows = spark.createDataFrame(bag, "o long, e long")
+    sets, rare = _plain_pairs(bag, 2)
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    met = {(min(a, b), max(a, b)) for a in sets for b in sets if a != b and set(rare[a]) & sets[b]}
+    similar = relational.similar_sets(rows, "o", "e", 2, 0.2, carried)
+    assert sorted(tuple(r) for r in similar.collect()) == sorted((a, b, len(sets[a] & sets[b]), like(a, b)) for a, b in met if like(a, b) >= 0.2)
+    firsts = {e: sorted(o for o in sets if e in sets[o])[:5] for e in {e for es in sets.values() for e in es}}
+    wanted = []
+    for a in sets:
+        others = {b for e in rare[a] for b in firsts[e] if b != a}
+        order = sorted(others, key=lambda b: (-like(a, b), -len(sets[a] & sets[b]), b))[:3]
+        wanted += [(a, b, len(sets[a] & sets[b]), like(a, b), k + 1) for k, b in enumerate(order)]
+    related = relational.related_sets(rows, "o", "e", 2, 5, 3, carried)
+    assert sorted(tuple(r) for r in related.collect()) == sorted(wanted)
+
+
+def test_sets_that_meet_are_not_shuffled_pair_by_pair(spark):
+    """2,000 owners share 20 elements, so that 99,000 pairs meet; few are alike."""
+    rows = spark.range(6000).select((F.col("id") % 2000).alias("o"), F.when(F.col("id") < 2000, F.col("id") % 20).otherwise(F.col("id") + 100).alias("e"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = written()
+    assert relational.similar_sets(rows, "o", "e", 3, 0.9).count() == 0
+    assert relational.related_sets(rows, "o", "e", 3, 50, 2).count() == 4000
+    time.sleep(1)
+    assert written() - before < 150_000
