@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache, reduce
 
 from pyspark.sql import Column
@@ -27,13 +28,18 @@ def _letters() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(single), "".join(single.values()), tuple(several)
 
 
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with `value` computed once, however often fn uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def unmarked(text: Column) -> Column:
-    """`text` after compatibility decomposition, without combining marks. Letters that do not decompose (ø, ß, æ) stay. A null stays null."""
+    """`text` after compatibility decomposition, without combining marks. Letters that do not decompose (ø, ß, æ) stay. A null stays null. A text of ASCII only is its own result."""
     source, target, several = _letters()
-    plain = F.translate(text, source, target)
     rare = "[" + "".join(c for c, _ in several) + "]"
-    spelt = reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), several, plain)
-    return F.regexp_replace(F.when(plain.rlike(rare), spelt).otherwise(plain), r"\p{M}", "")
+    spelt = lambda plain: reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), several, plain)
+    without = lambda plain: F.regexp_replace(F.when(plain.rlike(rare), spelt(plain)).otherwise(plain), r"\p{M}", "")
+    return once(text, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(once(F.translate(t, source, target), without)))
 
 
 def equal_letters(a: Column, b: Column) -> Column:
@@ -85,10 +91,20 @@ def brand_phrases(name: Column, generic: list[str], least: int = 4) -> Column:
     return F.filter(phrases, lambda p: (F.length(p) >= least) & ~p.isin(generic))
 
 
+def _padded(words: Column) -> Column:
+    return F.concat(F.lit(" "), words, F.lit(" "))
+
+
 def contains_words(text: Column, phrase: Column) -> Column:
     """Whether the phrase occurs as whole words, letters compared without case and marks; an empty phrase occurs nowhere."""
-    pad = lambda c: F.concat(F.lit(" "), word_form(c), F.lit(" "))
-    return F.coalesce((word_form(phrase) != "") & pad(text).contains(pad(phrase)), F.lit(False))
+    return contains_any(text, F.array(phrase))
+
+
+def contains_any(text: Column, phrases: Column) -> Column:
+    """Whether one of the phrases occurs as whole words; the text is brought into its form once, and not at all where there is no phrase."""
+    forms = F.filter(F.transform(phrases, word_form), lambda p: p != "")
+    inside = lambda words, ps: F.exists(ps, lambda p: words.contains(_padded(p)))
+    return F.coalesce(once(forms, lambda ps: F.when(F.size(ps) > 0, once(_padded(word_form(text)), lambda words: inside(words, ps)))), F.lit(False))
 
 
 def tight(name: Column) -> Column:
@@ -99,42 +115,59 @@ def tight(name: Column) -> Column:
 def nearly_equal(a: Column, b: Column, share: float = 0.34, least: int = 6) -> Column:
     """Equal, or both of `least` letters or more and not more than `share` of the longer one to be edited."""
     edits = F.floor(F.greatest(F.length(a), F.length(b)) * share)
-    return (a == b) | ((F.least(F.length(a), F.length(b)) >= least) & (F.levenshtein(a, b) <= edits))
+    close = (F.least(F.length(a), F.length(b)) >= least) & (F.abs(F.length(a) - F.length(b)) <= edits)
+    return (a == b) | (close & (F.levenshtein(a, b) <= edits))
 
 
 def significant_words(name: Column, dull: list[str]) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: (F.length(w) >= 2) & ~w.isin(dull)))
 
 
+def _words(name: Column) -> Column:
+    return F.filter(F.split(F.lower(unmarked(name)), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _beginnings(words: Column) -> Column:
+    return F.transform(words, lambda w, k: F.array_join(F.slice(words, 1, k + 1), ""))
+
+
 def prefixes(name: Column) -> Column:
     """The first one, two, three words of a name and so on, written together."""
-    words = F.filter(F.split(F.lower(unmarked(name)), "[^a-z0-9]+"), lambda w: w != "")
-    return F.transform(words, lambda w, k: F.array_join(F.slice(words, 1, k + 1), ""))
+    return once(_words(name), _beginnings)
 
 
 def spells_legal_name(candidate: Column, legal: Column, dull: list[str]) -> Column:
     """Whether a name is a spelling of a firm's legal name, of its telling words, or of the beginning of either."""
     filled = lambda array: F.filter(array, lambda x: x != "")
-    names = filled(F.array_append(prefixes(candidate), tight(candidate)))
-    whole = filled(F.array(tight(legal), F.array_join(significant_words(legal, dull), "")))
-    starts = filled(prefixes(legal))
-    full = tight(candidate)
-    return F.coalesce((full != "") & (F.exists(names, lambda n: F.exists(whole, lambda r: nearly_equal(n, r))) | F.exists(starts, lambda r: nearly_equal(full, r))), F.lit(False))
+    forms = F.struct(
+        filled(F.array_append(prefixes(candidate), tight(candidate))).alias("names"),
+        filled(F.array(tight(legal), F.array_join(significant_words(legal, dull), ""))).alias("whole"),
+        filled(prefixes(legal)).alias("starts"),
+        tight(candidate).alias("full"),
+    )
+
+    def spelt(v):
+        named = F.exists(v["names"], lambda n: F.exists(v["whole"], lambda r: nearly_equal(n, r)))
+        return (v["full"] != "") & named | F.exists(v["starts"], lambda r: nearly_equal(v["full"], r))
+
+    return F.coalesce(once(forms, spelt), F.lit(False))
 
 
 def names_agree(ours: Column, theirs: Column, generic: list[str]) -> Column:
     """Whether two records name the same maker: equal forms, one written together beginning the other (5 letters), one's words beginning the other's (3 letters) or standing in it (4 letters); a single generic word proves nothing."""
-    a, b = (F.filter(F.split(word_form(c), " "), lambda w: w != "") for c in (ours, theirs))
-    run = lambda x: F.array_join(x, "")
-    pad = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
-    telling = lambda x, least: (F.length(run(x)) >= least) & ~((F.size(x) == 1) & F.get(x, F.lit(0)).isin(generic))
-    starts = lambda x, y: run(x).startswith(run(y))
-    agree = (
-        (run(a) == run(b))
-        | (telling(a, 5) & telling(b, 5) & (starts(a, b) | starts(b, a)))
-        | (telling(a, 3) & pad(b).startswith(pad(a)))
-        | (telling(b, 3) & pad(a).startswith(pad(b)))
-        | (telling(a, 4) & pad(b).contains(pad(a)))
-        | (telling(b, 4) & pad(a).contains(pad(b)))
-    )
-    return F.coalesce((F.size(a) > 0) & (F.size(b) > 0) & agree, F.lit(False))
+    form = lambda c: once(F.filter(F.split(word_form(c), " "), lambda w: w != ""), lambda w: F.struct(w.alias("words"), F.array_join(w, "").alias("run"), _padded(F.array_join(w, " ")).alias("pad")))
+    telling = lambda x, least: (F.length(x["run"]) >= least) & ~((F.size(x["words"]) == 1) & F.get(x["words"], F.lit(0)).isin(generic))
+
+    def agree(v):
+        a, b = v["a"], v["b"]
+        same = (
+            (a["run"] == b["run"])
+            | (telling(a, 5) & telling(b, 5) & (a["run"].startswith(b["run"]) | b["run"].startswith(a["run"])))
+            | (telling(a, 3) & b["pad"].startswith(a["pad"]))
+            | (telling(b, 3) & a["pad"].startswith(b["pad"]))
+            | (telling(a, 4) & b["pad"].contains(a["pad"]))
+            | (telling(b, 4) & a["pad"].contains(b["pad"]))
+        )
+        return (F.size(a["words"]) > 0) & (F.size(b["words"]) > 0) & same
+
+    return F.coalesce(once(F.struct(form(ours).alias("a"), form(theirs).alias("b")), agree), F.lit(False))

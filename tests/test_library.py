@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import folding, hazards, rules, text
-from quern.operators import census, dictionary, filters, relational, resolve
+from quern.operators import census, dictionary, filters, nested, relational, resolve
 from quern.sources import publish
 
 
@@ -337,3 +337,19 @@ def test_sets_that_meet_are_not_shuffled_pair_by_pair(spark):
     assert relational.related_sets(rows, "o", "e", 3, 50, 2).count() == 4000
     time.sleep(1)
     assert written() - before < 150_000
+
+
+@pytest.mark.parametrize(
+    ("expression", "most"),
+    [
+        (lambda t: folding.unmarked(t), 1),
+        (lambda t: folding.contains_words(t, F.col("phrase")), 1),
+        (lambda t: folding.spells_legal_name(t, F.col("legal"), ["inc"]), 3),
+        (lambda t: folding.names_agree(t, F.col("other"), ["RED"]), 1),
+        (lambda t: hazards.hazard_classes(t), 1),
+        (lambda t: hazards.plain_reason(t), 1),
+        (lambda t: nested.statements(t), 1),
+    ],
+)
+def test_long_texts_are_brought_into_their_forms_once(spark, expression, most):
+    assert str(expression(F.col("the_text"))).count("the_text") <= most
