@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.folding import once
+
 #: Terms of hazards that lie in how a food was made or handled. A term with a leading or trailing blank ends where words do; another may stand inside a word.
 PROCESS = {
     "bacteria": ["listeria", "salmonella", "e coli", "ecoli", "o157", "stec", "clostridium", "botulinum", "botulism", "cronobacter", "staphylococc", "bacillus", "pathogen", "microbial"],
@@ -44,13 +48,16 @@ def said(reason: Column) -> Column:
 def _names(words: Column, terms: list[str]) -> Column:
     plain = [t for t in terms if t.strip() == t]
     whole = [t.strip() for t in terms if t.strip() != t]
-    patterns = ([f"({'|'.join(plain)})"] if plain else []) + ([f" ({'|'.join(whole)}) "] if whole else [])
-    return words.rlike("|".join(patterns))
+    held = [words.contains(t) for t in (*plain, *(f" {t} " for t in whole))]
+    return reduce(lambda a, b: a | b, held)
 
 
 def hazard_classes(reason: Column) -> Column:
     """The classes of hazards that a reason names, in the order of the tables; none for a null."""
-    words = said(reason)
+    return once(said(reason), _classes)
+
+
+def _classes(words: Column) -> Column:
     return F.array_compact(F.array(*(F.when(_names(words, terms), F.lit(name)) for name, terms in (PROCESS | OTHER).items())))
 
 
@@ -73,4 +80,4 @@ def plain_reason(reason: Column) -> Column:
             out = F.when(F.array_contains(x["classes"], kind), F.struct(F.lit(kind).alias("kind"), sentence.alias("sentence"))).otherwise(out)
         return out
 
-    return F.transform(F.array(F.struct(said(reason).alias("words"), hazard_classes(reason).alias("classes"))), judge)[0]  # classes are found once
+    return once(once(said(reason), lambda words: F.struct(words.alias("words"), _classes(words).alias("classes"))), judge)
