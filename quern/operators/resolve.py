@@ -13,6 +13,13 @@ from quern.sources.shared import shared_path
 #: A key is specific enough to be looked for inside longer names if it has so many words or so many characters.
 WORDS, CHARACTERS = 2, 7
 
+#: Rows of a table of keys up to which it is sent to every executor.
+FEW = 100_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FEW else df
+
 
 def widened(keys: DataFrame, names: DataFrame) -> DataFrame:
     """key_id, name_id, how (exact or contains) for keys (key_id, key, needs) and names (name_id, name), both in lower-case words with single spaces.
@@ -24,14 +31,20 @@ def widened(keys: DataFrame, names: DataFrame) -> DataFrame:
     keyed = keys.where(F.col("key") != "")
     named = names.where(F.col("name") != "")
     exact = keyed.join(named, F.col("key") == F.col("name")).select("key_id", "name_id", F.lit("exact").alias("how"))
-    words = named.select("name_id", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
-    spread = words.groupBy("word").agg(F.count("*").alias("spread"))
     specific = keyed.where((F.size(F.split("key", " ")) >= WORDS) | (F.length("key") >= CHARACTERS))
     parts = specific.select("key_id", "key", "needs", F.explode(F.array_distinct(F.split("key", " "))).alias("word"))
+    n_parts = parts.count()
+    wanted = few(parts.select("word").distinct(), n_parts)
+    words = named.select("name_id", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
+    at = words.select("name_id", "word").join(wanted, "word", "left_semi")  # words that no key has aren't shuffled, names never
+    spread = at.groupBy("word").agg(F.count("*").alias("spread"))
     rarest = parts.join(spread, "word").groupBy("key_id", "key").agg(F.min_by("word", F.struct("spread", "word")).alias("word"), F.any_value("needs").alias("needs"))
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     inside = pad(F.col("name")).contains(pad(F.col("key"))) & (F.col("name") != F.col("key"))
-    met = rarest.join(words, "word").where(inside)
+    if n_parts <= FEW:
+        met = words.join(F.broadcast(rarest), "word").where(inside)
+    else:
+        met = rarest.join(at, "word").join(named, "name_id").where(inside)
     denies = [F.concat("key", F.lit(" free")), *(F.concat(F.lit(d + " "), "key") for d in ("free of", "free from", "no", "without", "not"))]
     denied = F.lit(False)
     for d in denies:

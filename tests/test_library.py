@@ -353,3 +353,15 @@ def test_sets_that_meet_are_not_shuffled_pair_by_pair(spark):
 )
 def test_long_texts_are_brought_into_their_forms_once(spark, expression, most):
     assert str(expression(F.col("the_text"))).count("the_text") <= most
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_keys_meet_names_by_either_join(spark, monkeypatch, most):
+    monkeypatch.setattr(resolve, "FEW", most)
+    keys = spark.createDataFrame([(1, "red bolt", ["new"]), (2, "red bolt", []), (3, "gearbox", None), (4, "x", []), (5, None, [])], "key_id long, key string, needs array<string>")
+    names = spark.createDataFrame([(1, "red bolt"), (2, "a new red bolt"), (3, "no red bolt"), (4, "one gearbox here"), (5, None), (6, "an x y")], "name_id long, name string")
+    found = resolve.widened(keys, names)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "exact"), (1, 2, "contains"), (2, 1, "exact"), (2, 2, "contains"), (3, 4, "contains")]
+    if most:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [word" not in plan
