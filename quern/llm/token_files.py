@@ -22,6 +22,8 @@ from quern.llm.tokens import encoded_slices
 LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "512", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "compression": "zstd"}
 #: Bytes of text that a file stands for, and the least that a file of its own is worth where there are more cores than files.
 FILE_BYTES, LEAST_FILE_BYTES = 256 << 20, 4 << 20
+#: Pieces that a worker remembers while it encodes: each once, so fewer than elsewhere do.
+ENTRIES = 500_000
 STORED = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
@@ -31,7 +33,7 @@ def _encode(tokenizer: str, spaced: bool, end_id: int):
 
         part, at = TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch, encoded in encoded_slices(batches, tokenizer, spaced):
+        for batch, encoded in encoded_slices(batches, tokenizer, spaced, entries=ENTRIES):
             sizes = np.array([len(e) // 4 + 1 for e in encoded], dtype=np.int64)
             starts = at + np.concatenate([[0], np.cumsum(sizes)])
             offsets = pa.array(starts - at, pa.int32())

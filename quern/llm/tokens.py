@@ -8,6 +8,7 @@ doesn't cover are cut more carefully or encoded whole, so the ids are always tho
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from array import array
@@ -61,6 +62,7 @@ class PieceEncoder:
     """`spaced`: the tokenizer keeps the space before a word (byte-level), else it drops white space."""
 
     def __init__(self, path: str, spaced: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory of their own
         from tokenizers import Tokenizer
 
         self.entries = MEMO_ENTRIES
@@ -93,7 +95,8 @@ class PieceEncoder:
             return None
         elif letters is not word:
             word = _LETTERS[32] + letters
-        ids = self.words[key] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        (self.words if self.spaced else self.memo)[key] = ids
         return ids
 
     def _word(self, piece: str) -> bytes | None:
@@ -105,11 +108,18 @@ class PieceEncoder:
             after, word = self.signs[word[-1]], word[:-1]
         if not self.spaced:
             word = word.lower()
-        elif not before:
-            word = " " + word
-        ids = self.words[word]
+            ids = self._alone(word)
+        else:
+            ids = self.words[word if before else " " + word]
         return None if ids is None else before + ids + after
 
+    def _alone(self, word: str) -> bytes | None:
+        """Ids of a lower-case plain word where spaces are dropped: such a word is also a piece, so it is remembered as one and not a second time."""
+        if not (word.isalpha() if word.isascii() else word and _plain_word(word)):
+            return None
+        ids = self.memo.get(word)
+        return self._plain(word) if ids is None else ids
+
     def _pieces(self, text: str) -> list:
         if not self.spaced:
             return text.replace("\n", " ").split(" ")

@@ -152,3 +152,10 @@ def test_a_worker_keeps_one_operator_at_a_time():
     workers.works_for("tokens")
     assert not len(ngram_join._POWERS[0])
     assert len(ngram_join.shingle_sets(np.frombuffer(b"a b c d e f", dtype=np.uint8), np.array([0, 11]))[0]) == 2
+
+
+def test_words_are_remembered_once_where_spaces_are_dropped():
+    enc = tokens.PieceEncoder(tokens.public_path("word_bpe_49k.json"), False)
+    text = "Lorem lorem ipsum, ipsum. Käse käse,\nlorem. c3po c3po, -- --, ǅ ǆ. İx ix,"
+    assert enc.encode([text, text])[1] == np.array(enc._one(text), dtype="<u4").tobytes()
+    assert not enc.words and {"lorem", "ipsum", "käse"} <= set(enc.memo)
