@@ -364,4 +364,4 @@ def test_keys_meet_names_by_either_join(spark, monkeypatch, most):
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "exact"), (1, 2, "contains"), (2, 1, "exact"), (2, 2, "contains"), (3, 4, "contains")]
     if most:
         plan = found._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin [word" not in plan
+        assert "BroadcastHashJoin [word" in plan
