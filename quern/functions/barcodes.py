@@ -72,9 +72,14 @@ def normalize_barcode(raw: Column) -> Column:
     return bind(bind(bare, widened), judged)
 
 
+def bare_form(code: Column) -> Column:
+    """The code without any padding, which is the same for all of its forms."""
+    return F.regexp_replace(code, "^0+", "")
+
+
 def query_forms(code: Column) -> Column:
     """The zero-paddings under which another register may hold the code."""
-    bare = F.regexp_replace(code, "^0+", "")
+    bare = bare_form(code)
     return F.filter(F.array_distinct(F.array(code, bare, F.lpad(bare, 12, "0"), F.lpad(bare, 13, "0"), F.lpad(bare, 14, "0"))), lambda c: c != "")
 
 
