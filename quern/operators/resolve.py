@@ -89,17 +89,24 @@ def cascade(spark: SparkSession, rows: DataFrame, key: str, rungs: Sequence[tupl
     """key, rung, target, ambiguous for each row of `rows`: the first rung that finds anything for it.
 
     A rung is a name and a function from the rows that are still open to (key, target) pairs; rows that an earlier rung has settled never reach it. Where a rung finds
-    several targets for a row, the row is settled as ambiguous, with no target and their number. What no rung finds has the rung `none`. What each rung finds is
-    written, so that later rungs don't compute it again.
+    several targets for a row, the row is settled as ambiguous, with no target and their number. What no rung finds has the rung `none`. What each rung finds, and
+    what it leaves open, is written, so that later rungs don't compute the rows or the earlier rungs again.
     """
-    open_rows, out, path = rows, None, shared_path(spark, "cascade")
-    for name, find in rungs:
+    out, path = None, shared_path(spark, "cascade")
+
+    def written(df: DataFrame, at: str) -> DataFrame:
+        df.write.parquet(f"{path}/{at}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{at}")
+
+    open_rows = written(rows, "open")
+    for k, (name, find) in enumerate(rungs):
         per_key = find(open_rows).select(key, "target").distinct().groupBy(key).agg(F.count("*").alias("n"), F.min("target").alias("target"))
-        per_key.write.parquet(f"{path}/{name}")
-        found = spark.read.schema(per_key.schema).parquet(f"{path}/{name}")
+        found = written(per_key, f"found_{k}")
         settled = found.select(key, F.lit(name).alias("rung"), F.when(F.col("n") == 1, F.col("target")).alias("target"), F.when(F.col("n") > 1, F.col("n")).alias("ambiguous"))
         out = settled if out is None else out.union(settled)
         open_rows = open_rows.join(found.select(key), key, "left_anti")
+        if k + 1 < len(rungs):
+            open_rows = written(open_rows, f"open_{k}")
     rest = open_rows.select(key, F.lit("none").alias("rung"))
     return out.unionByName(rest, allowMissingColumns=True)
 

@@ -154,6 +154,7 @@ def q_name_cascade(spark, sf_dir):
     """Every order's name resolved by the first of four rungs that finds a part, or ambiguous at it, or by none."""
     part = load(spark, sf_dir, "part")
     known = part.groupBy("p_name").agg(F.min("p_partkey").alias("target"), F.count("*").alias("parts"))
+    known = resolve.few(known, known.count())
     head = F.array_join(dictionary.stems(F.split("name", ",")[0]), " ")
     rows = order_names(spark, sf_dir).select("l_orderkey", F.trim(F.regexp_replace("name", "[, ]+$", "")).alias("bare"), head.alias("head"))
 
