@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.folding import once
 from quern.functions.rules import INVISIBLE
 from quern.functions.text import decode_entities
 
@@ -137,23 +140,38 @@ JUNK = r"^[\s+/\\|*~_,.;:&-]+|[\s+/\\|*~_,.;:&-]+$"
 
 def cleaned_item(raw: Column) -> Column:
     """struct(action, name, why): whether an item of a list is kept, renamed or dropped, and why."""
-    name, low = F.trim(raw), F.lower(F.trim(raw))
-    bare = F.regexp_replace(F.replace(name, F.lit("_"), F.lit(" ")), JUNK, "")
-    less = F.regexp_replace(F.regexp_replace(bare, QUANTITY, ""), JUNK, "")
-    shorter = (less != bare) & less.rlike("[a-zA-Z]{3}")
-    out = F.trim(F.regexp_replace(F.when(shorter, less).otherwise(bare), r"\s{2,}", " "))
     said = lambda action, to, why: F.struct(F.lit(action).alias("action"), to.alias("name"), F.lit(why).cast("string").alias("why"))
-    none, packed = F.lit(None).cast("string"), "|".join(p.replace(".", r"\.") for p in PACKAGE)
-    return (
-        F.when(low.isin(TORN), said("drop", none, "a torn piece of a list"))
-        .when(low.rlike(packed), said("drop", none, "words of a package"))
-        .when(name.rlike(r"^[0-9][0-9\s./%-]*$"), said("drop", none, "digits"))
-        .when(out == name, said("keep", name, None))
-        .when((F.length(out) < 2) | ~out.rlike("[a-zA-Z]"), said("drop", none, "nothing left"))
-        .when(name.contains("_"), said("rename", out, "marked up"))
-        .when(shorter, said("rename", out, "a quantity before it"))
-        .otherwise(said("rename", out, "signs around it"))
-    )
+    none = F.lit(None).cast("string")
+
+    def forms(name):
+        bare = F.regexp_replace(F.replace(name, F.lit("_"), F.lit(" ")), JUNK, "")
+        return F.struct(name.alias("name"), F.lower(name).alias("low"), bare.alias("bare"))
+
+    def shortened(v):
+        """Without a quantity before it; only a share can be one."""
+        less = F.regexp_replace(F.regexp_replace(v["bare"], QUANTITY, ""), JUNK, "")
+        some = F.when(v["low"].contains("%") | v["low"].contains("percent"), less).otherwise(v["bare"])
+        return F.struct(v["name"].alias("name"), v["low"].alias("low"), v["bare"].alias("bare"), some.alias("less"))
+
+    def spelt(v):
+        shorter = (v["less"] != v["bare"]) & v["less"].rlike("[a-zA-Z]{3}")
+        out = F.trim(F.regexp_replace(F.when(shorter, v["less"]).otherwise(v["bare"]), r"\s{2,}", " "))
+        return F.struct(v["name"].alias("name"), v["low"].alias("low"), shorter.alias("shorter"), out.alias("out"))
+
+    def judged(v):
+        name, low, out = v["name"], v["low"], v["out"]
+        return (
+            F.when(low.isin(TORN), said("drop", none, "a torn piece of a list"))
+            .when(reduce(Column.__or__, (low.contains(p) for p in PACKAGE)), said("drop", none, "words of a package"))
+            .when(name.rlike(r"^[0-9][0-9\s./%-]*$"), said("drop", none, "digits"))
+            .when(out == name, said("keep", name, None))
+            .when((F.length(out) < 2) | ~out.rlike("[a-zA-Z]"), said("drop", none, "nothing left"))
+            .when(name.contains("_"), said("rename", out, "marked up"))
+            .when(v["shorter"], said("rename", out, "a quantity before it"))
+            .otherwise(said("rename", out, "signs around it"))
+        )
+
+    return once(once(once(once(F.trim(raw), forms), shortened), spelt), judged)
 
 
 #: How a notice came to be shown beside a product, in words; {} takes the firm that issued it.
