@@ -16,6 +16,8 @@ STRONG, FLAVOUR, WEAK, NEUTRAL = range(4)
 #: What divides a name into parts, and a part into what it is and what comes with it.
 DIVIDERS = r"[,;:|()\[\]{}/+]|\s[-–—]|[-–—]\s"
 LINKS = ["with", "in", "on", "for", "from"]
+#: Rows of a dictionary up to which it is sent to every executor, so that words of texts needn't be shuffled.
+FEW = 100_000
 #: A term before one of these names a taste, not the thing.
 TASTES = ["flavor", "flavored", "flavour", "flavoured", "inspired"]
 
@@ -46,15 +48,31 @@ def segments(names: DataFrame, key: str, text: str) -> DataFrame:
     return subs.select(key, "part", "sub", F.filter(F.split("said", " "), lambda w: w != "").alias("words")).where(F.size("words") > 0)
 
 
-def hits(found: DataFrame, keys: Sequence[str], terms: DataFrame) -> DataFrame:
-    """keys, start, stop (behind the last word), term, after (the word behind it) for every occurrence of a term (`term`: words with single spaces) in `words`."""
+def few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FEW else df
+
+
+def _runs(found: DataFrame, keys: Sequence[str], terms: DataFrame, outer: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """The runs of words (keys, start, stop, term, after) that begin like a term and are as long as one that does; the distinct terms; and their number.
+
+    If `outer`, a word at which no term begins has a row without a term, and the first row of all words of a segment (`_all`).
+    """
     distinct = terms.select("term").distinct().withColumn("n", F.size(F.split("term", " ")))
-    longest = distinct.agg(F.max("n")).first()[0] or 1
+    longest, n_terms = distinct.agg(F.max("n"), F.count("*")).first()
     firsts = distinct.groupBy(F.split("term", " ")[0].alias("first")).agg(F.collect_set("n").alias("lengths"))  # at most one of each length
-    words = found.select(*keys, "words", F.posexplode("words").alias("start", "first")).select(*keys, "start", "first", F.slice("words", F.col("start") + 1, longest + 1).alias("ahead"))
-    grams = words.join(firsts, "first").select(*keys, "start", "ahead", F.explode("lengths").alias("n")).where(F.col("n") <= F.size("ahead"))
-    spelt = grams.select(*keys, "start", (F.col("start") + F.col("n")).alias("stop"), F.array_join(F.slice("ahead", 1, F.col("n")), " ").alias("term"), F.get("ahead", F.col("n")).alias("after"))
-    return spelt.join(distinct.select("term"), "term").select(*keys, "start", "stop", "term", "after")
+    every = [F.when(F.col("start") == 0, F.col("words")).alias("_all")] if outer else []
+    words = found.select(*keys, "words", F.posexplode("words").alias("start", "first")).select(*keys, "start", "first", F.slice("words", F.col("start") + 1, (longest or 1) + 1).alias("ahead"), *every)
+    kept = [*keys, "start", "ahead", *(["_all"] if outer else [])]
+    begun = words.join(few(firsts, n_terms), "first", "left" if outer else "inner").select(*kept, (F.explode_outer if outer else F.explode)("lengths").alias("n"))
+    grams = begun if outer else begun.where(F.col("n") <= F.size("ahead"))
+    term = F.when(F.col("n") <= F.size("ahead"), F.array_join(F.slice("ahead", 1, F.col("n")), " "))
+    return grams.select(*keys, "start", (F.col("start") + F.col("n")).alias("stop"), term.alias("term"), F.get("ahead", F.col("n")).alias("after"), *(["_all"] if outer else [])), distinct, n_terms
+
+
+def hits(found: DataFrame, keys: Sequence[str], terms: DataFrame) -> DataFrame:
+    """keys, start, stop (behind the last word), term, after (the word behind it) for every occurrence of a term (`term`: words with single spaces) in `words`."""
+    spelt, distinct, n_terms = _runs(found, keys, terms)
+    return spelt.join(few(distinct.select("term"), n_terms), "term").select(*keys, "start", "stop", "term", "after")
 
 
 def longest_only(found: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -71,6 +89,17 @@ def residual(found: DataFrame, keys: Sequence[str], matched: DataFrame) -> DataF
     return joined.withColumn("rest", F.transform(kept, lambda x: x["w"])).drop("_at")
 
 
+def uncovered(found: DataFrame, keys: Sequence[str], terms: DataFrame) -> DataFrame:
+    """`residual` of all occurrences of `terms`, in one pass: the words of a segment are looked up and put together again where they are. `keys` must tell segments apart."""
+    spelt, distinct, n_terms = _runs(found, keys, terms, outer=True)
+    known = spelt.join(few(distinct.select("term", F.lit(True).alias("_known")), n_terms), "term", "left")
+    covers = F.when(F.col("_known"), F.sequence("start", F.col("stop") - 1))
+    met = known.groupBy(*keys).agg(F.max("_all").alias("words"), F.flatten(F.collect_set(covers)).alias("_at"))  # within one segment
+    kept = F.filter(F.transform("words", lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: ~F.array_contains("_at", x["k"]))
+    rest = F.when(F.size("_at") == 0, F.col("words")).otherwise(F.transform(kept, lambda x: x["w"]))
+    return met.select(*keys, "words", rest.alias("rest"))
+
+
 @dataclass
 class Override:
     """Changes one of `categories` to `to` (None: unsure) where the text has `pattern` and not `unless`."""
@@ -115,11 +144,12 @@ def first_rules(found: DataFrame, keys: Sequence[str], rules: DataFrame) -> Data
 
     A rule with a null result stops the search: the keys come out with it. An excluded term may be any run of words.
     """
-    wanted = rules.select("rule", "term", "result")
-    barred = rules.select("rule", F.explode("excludes").alias("term"))
-    seen = hits(found, keys, wanted.select("term").union(barred.select("term"))).select(*keys, "term").distinct()
-    allowed = seen.join(wanted, "term").join(seen.join(barred, "term").select(*keys, "rule").distinct(), [*keys, "rule"], "left_anti")
-    return allowed.groupBy(*keys).agg(F.min("rule").alias("rule"), F.min_by(F.struct("result"), "rule").alias("r")).select(*keys, "rule", "r.result")
+    wanted = rules.select("term", "rule", F.struct("result").alias("_r"))
+    barred = rules.select(F.explode("excludes").alias("term"), "rule", F.lit(None).cast(wanted.schema["_r"].dataType).alias("_r"))
+    roles = wanted.union(barred)
+    met = hits(found, keys, roles).select(*keys, "term").join(few(roles, roles.count()), "term")  # roles go to the words: the words of one key stay together
+    each = met.groupBy(*keys, "rule").agg(F.max("_r").alias("_r"), F.bool_or(F.col("_r").isNull()).alias("_barred")).where(~F.col("_barred"))
+    return each.groupBy(*keys).agg(F.min("rule").alias("rule"), F.min_by("_r", "rule").alias("r")).select(*keys, "rule", "r.result")
 
 
 def classes(found: DataFrame, keys: Sequence[str], rules: DataFrame) -> DataFrame:
@@ -127,7 +157,8 @@ def classes(found: DataFrame, keys: Sequence[str], rules: DataFrame) -> DataFram
 
     A `word` rule says that the class is there, unless its occurrence lies within one of a `harmless` rule of that class; a `veto` anywhere in the words takes the class away.
     """
-    seen = hits(found, keys, rules).join(rules.select("class", "term", "kind").distinct(), "term")
+    roles = rules.select("class", "term", "kind").distinct()
+    seen = hits(found, keys, rules).join(few(roles, roles.count()), "term")
     order = Window.partitionBy(*keys, "class").orderBy("start", F.col("stop").desc(), F.when(F.col("kind") == "harmless", 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, -1)
     covered = F.coalesce(F.max(F.when(F.col("kind") == "harmless", F.col("stop"))).over(order) >= F.col("stop"), F.lit(False))
     per_class = seen.withColumn("_real", (F.col("kind") == "word") & ~covered).groupBy(*keys, "class").agg(F.bool_or("_real").alias("real"), F.bool_or(F.col("kind") == "veto").alias("vetoed"))
