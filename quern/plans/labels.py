@@ -23,7 +23,9 @@ REWRITES = [
 def labels(spark, sf_dir):
     text = F.col("text")
     for pattern, replacement in REWRITES:
-        text = F.regexp_replace(text, pattern, replacement.replace("\\1", "$1"))
+        plain = pattern.replace("\\n", "\n")
+        fixed = not set(plain) & set(r"\.[](){}|*+?^$")
+        text = F.replace(text, F.lit(plain), F.lit(replacement)) if fixed else F.regexp_replace(text, pattern, replacement.replace("\\1", "$1"))
     return load(spark, sf_dir, "documents").select("doc_id", text.alias("label"))
 
 
