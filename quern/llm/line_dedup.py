@@ -3,8 +3,8 @@
 Of equal lines the first stays. Among those left, a line that is within `THRESHOLD` edits of an earlier one goes too. Two lines
 within t edits agree on one of t + 1 segments of the shorter one, at a place that the edits can have moved only a little; so
 each line is entered under its segments and looked up under the few substrings of the right length at the right
-places. A segment that very many lines share is refined by the letter counts of its lines, then by segments of what is left of them. Pairs that share a key and whose letter counts
-allow it are verified by a banded bit-parallel edit distance: the band's vertical differences are bits of a number that is advanced one character at a time.
+places. A segment that very many lines share is refined by the letter counts of its lines, then by segments of what is left of them. Pairs that share a key and whose lengths and parities of
+letters and of neighbouring letters allow it are verified by a banded bit-parallel edit distance: the band's vertical differences are bits of a number that is advanced one character at a time.
 """
 
 from __future__ import annotations
@@ -41,6 +41,28 @@ def parities(line: Column) -> Column:
     return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", one, F.ascii(c).bitwiseAND(31))))
 
 
+#: Classes of neighbouring characters, as bits of a number that has room for the last character above them.
+PAIR_CLASSES = 56
+
+
+def pair_parities(line: Column) -> Column:
+    """Whether the neighbouring characters of each class are odd in number, as bits. An edit takes two pairs at most and brings two at most, so it changes four bits at most."""
+    one, bits = F.lit(1).cast("long"), F.lit((1 << PAIR_CLASSES) - 1)
+
+    def step(state, c):
+        code = F.ascii(c).bitwiseAND(127).cast("long")
+        which = ((F.call_function("shiftright", state, F.lit(PAIR_CLASSES)) * 31 + code) % PAIR_CLASSES).cast("int")
+        return state.bitwiseAND(bits).bitwiseXOR(F.call_function("shiftleft", one, which)).bitwiseOR(F.call_function("shiftleft", code, F.lit(PAIR_CLASSES)))
+
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), step).bitwiseAND(bits)
+
+
+def may_be_near(a: str, b: str, t: int) -> Column:
+    """Whether lengths and parities, the columns with the prefixes a and b, leave room for t edits or fewer. It never denies a pair that is so near."""
+    differ = lambda c: F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}")))
+    return (F.abs(F.col(f"{a}_size") - F.col(f"{b}_size")) <= t) & (differ("parity") <= 2 * t) & (differ("beside") <= 4 * t)
+
+
 def agreeing(a: Column, b: Column, most: Column) -> Column:
     """Characters, `most` at most, that a and b have in common at their beginnings; by halving, so that texts are compared as wholes."""
     powers = F.transform(F.sequence(F.lit(20), F.lit(0)), lambda k: F.call_function("shiftleft", F.lit(1), k))
@@ -172,22 +194,26 @@ def live_keys(keys: DataFrame) -> DataFrame:
     return counted.where((e >= 2) | ((e >= 1) & (found >= 1))).select(F.col("key").alias("live"), ((e * (e - 1) / 2 + e * found) / (e + found)).alias("pairs"))
 
 
-def pairs_under(members: DataFrame) -> DataFrame:
-    """a < b: texts that meet under one of the keys of `members`, of which each has few, and under none before that."""
-    entered = members.where("role = 0").select("key", F.col("id").alias("x"), F.col("met").alias("x_met"))
-    others = members.select(F.col("key").alias("other_key"), F.col("role").alias("other_role"), F.col("id").alias("y"), F.col("met").alias("y_met"))
+SIGNS = ["size", "parity", "beside"]
+
+
+def pairs_under(members: DataFrame, texts: DataFrame, n_texts: int, t: int) -> DataFrame:
+    """a < b: texts that meet under one of the keys of `members`, of which each has few, and under none before that, and whose lengths and parities are near enough."""
+    signs = small(texts.select(F.col("id").alias("sign_id"), *(F.col(c).alias(f"x_{c}") for c in SIGNS)), n_texts)
+    known = members.select("key", "role", "id", "met").join(signs, F.col("id") == F.col("sign_id"))
+    entered = known.where("role = 0").select("key", F.col("id").alias("x"), F.col("met").alias("x_met"), *(f"x_{c}" for c in SIGNS))
+    others = known.select(F.col("key").alias("other_key"), F.col("role").alias("other_role"), F.col("id").alias("y"), F.col("met").alias("y_met"), *(F.col(f"x_{c}").alias(f"y_{c}") for c in SIGNS))
     new = ~F.arrays_overlap("x_met", "y_met")
-    met = entered.join(others, (F.col("key") == F.col("other_key")) & (F.col("x") != F.col("y")) & ((F.col("other_role") == 1) | (F.col("x") < F.col("y"))) & new)
+    met = entered.join(others, (F.col("key") == F.col("other_key")) & (F.col("x") != F.col("y")) & ((F.col("other_role") == 1) | (F.col("x") < F.col("y"))) & may_be_near("x", "y", t) & new)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def within(pairs: DataFrame, texts: DataFrame, n_pairs: int, n_texts: int, t: int) -> DataFrame:
     """at, id: the later text of each pair of at most t edits."""
-    side = lambda c: small(texts.select(F.col("id").alias(f"{c}_id"), F.col("at").alias(f"{c}_at"), F.col("line").alias(f"{c}_line"), F.col("parity").alias(f"{c}_parity")), n_texts, VERIFY_TEXTS)
-    both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
-    differ = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity")))
-    both = both.where((F.abs(F.length("a_line") - F.length("b_line")) <= t) & (differ <= 2 * t))
-    both = both.repartition(max(1, min(20_000, n_pairs // 100)))  # few pairs, long work
+    side = lambda c: small(texts.select(F.col("id").alias(f"{c}_id"), F.col("at").alias(f"{c}_at"), F.col("line").alias(f"{c}_line"), *(F.col(s).alias(f"{c}_{s}") for s in SIGNS)), n_texts, VERIFY_TEXTS)
+    dealt = pairs.repartition(max(1, min(20_000, n_pairs // 100)))  # few pairs, long work; behind the joins it would come too late, as conditions are moved into them
+    both = dealt.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
+    both = both.where(may_be_near("a", "b", t))
     apart = bound(between(F.col("a_line"), F.col("b_line"), t), lambda v: edit_distance(v["a"], v["b"], t))
     close = both.where(apart <= t)
     first = F.col("a_at") < F.col("b_at")
@@ -199,12 +225,12 @@ def line_hash(line: Column) -> Column:
 
 
 def known_lines(work: Workspace, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`members` (id, rest, at, ...) with ids that tell all lines apart, and the lines by id with their earliest place and their parities.
+    """`members` (id, rest, at, ...) with ids that tell all lines apart, and the lines by id with their earliest place, their length and their parities.
 
     An id is a hash of 64 bits. A second hash shows where different lines have the same one; among very many lines a few do, and get new ids out of both.
     """
     texts = members.groupBy("id").agg(F.min("at").alias("at"), F.any_value("rest").alias("line"), (F.min(F.hash("rest")) != F.max(F.hash("rest"))).alias("mixed"))
-    texts = work.table(texts.withColumn("parity", parities(F.col("line"))), "texts")
+    texts = work.table(texts.withColumns({"size": F.length("line"), "parity": parities(F.col("line")), "beside": pair_parities(F.col("line"))}), "texts")
     mixed = texts.where("mixed").select(F.col("id").alias("mixed_id"))
     n_mixed = mixed.count()
     if not n_mixed:
@@ -226,7 +252,7 @@ def near_lines(work: Workspace, lines: DataFrame, t: int) -> DataFrame:
     members = work.table(found.select("at", line_hash(F.col("rest")).alias("id"), "key", "role", "m", "pairs", "rest", "start", "size", _met(None, t).alias("met")), "members")
     members, texts = known_lines(work, members)
     n_texts = texts.count()
-    pairs, gone, counted = [pairs_under(members.where(F.col("pairs") <= FEW_PAIRS))], [], False
+    pairs, gone, counted = [pairs_under(members.where(F.col("pairs") <= FEW_PAIRS), texts, n_texts, t)], [], False
     while n_hot := (hot := members.where(F.col("pairs") > FEW_PAIRS)).count():
         hot = hot.select("key", "role", "m", "at", "id", "met", without_cut().alias("rest"))
         me = F.struct("at", "id")
@@ -244,17 +270,17 @@ def near_lines(work: Workspace, lines: DataFrame, t: int) -> DataFrame:
             finer = work.table(under_counts(left, work.table(groups, "groups"), n_texts, t), "counted")
             live = work.table(live_keys(finer), "live")
             members = work.table(finer.join(small(live, (2 * t + 1) * n_hot), F.col("key") == F.col("live")).drop("live").withColumn("start", F.lit(0)).withColumn("size", F.lit(0)), "members")
-            pairs.append(pairs_under(members.where(F.col("pairs") <= FEW_PAIRS)))
+            pairs.append(pairs_under(members.where(F.col("pairs") <= FEW_PAIRS), texts, n_texts, t))
             counted = True
             continue
-        pairs.append(pairs_under(left.where(F.col("m") <= t)))  # nothing is left to cut
+        pairs.append(pairs_under(left.where(F.col("m") <= t), texts, n_texts, t))  # nothing is left to cut
         once = under_keys(left.where(F.col("m") > t).withColumnRenamed("key", "path"), t, ["at", "id", "met"])
         once = once.select("at", "id", F.col("key").alias("path"), "role", "m", without_cut().alias("rest"), _met("met", t).alias("met"))
         twice = under_keys(once, t, ["at", "id", "met"])  # two cuts before keys are counted again
         live = work.table(live_keys(twice), "live")
         found = twice.join(small(live, 9 * n_hot), F.col("key") == F.col("live"))
         members = work.table(found.select("at", "id", "key", "role", "m", "pairs", "rest", "start", "size", _met("met", t).alias("met")), "members")
-        pairs.append(pairs_under(members.where(F.col("pairs") <= FEW_PAIRS)))
+        pairs.append(pairs_under(members.where(F.col("pairs") <= FEW_PAIRS), texts, n_texts, t))
     every = work.table(reduce(DataFrame.union, pairs).distinct(), "pairs")
     return reduce(DataFrame.union, [*gone, within(every, texts, every.count(), n_texts, t)])
 

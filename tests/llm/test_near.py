@@ -316,3 +316,34 @@ def test_embedding_recall_of_a_tight_group_beside_loose_pairs(spark):
     loose = [k for k in range(len(rows)) if not 900 <= k < 1500]
     assert sum(want[k] for k in loose) > 100
     assert [found[k] for k in range(len(rows))] == want.tolist()
+
+
+@given(st.text(alphabet="abcdeé?_ 😀", min_size=2, max_size=40), st.lists(st.tuples(st.integers(0, 40), st.sampled_from("abz?é😀"), st.sampled_from("isd")), max_size=2))
+@settings(max_examples=60, deadline=None)
+def test_pair_parities_allow_for_edits(spark, line, edits):
+    near = line
+    for at, c, kind in edits:
+        at = min(at, len(near))
+        near = near[:at] + ("" if kind == "d" else c) + near[at + (kind != "i") :]
+    sign = lambda c: F.struct(F.length(c).alias("size"), line_dedup.parities(F.col(c)).alias("parity"), line_dedup.pair_parities(F.col(c)).alias("beside"))
+    signs = spark.createDataFrame([(line, near)], "a string, b string").select(sign("a").alias("a"), sign("b").alias("b"))
+    flat = signs.select(*(F.col(f"{c}.{s}").alias(f"{c}_{s}") for c in "ab" for s in line_dedup.SIGNS))
+    assert flat.select(line_dedup.may_be_near("a", "b", max(len(edits), 1))).first()[0]
+
+
+def test_line_dedup_verifies_few_pairs_of_a_group(spark, monkeypatch):
+    rng = random.Random(17)
+    start = "".join(rng.choices("abcdefgh ijklmnop", k=60))
+    lines = [start + "".join(rng.choices("abcdefgh ijklmnop", k=80)) for _ in range(60)]
+    lines.append(lines[7][:100] + "Q" + lines[7][101:])
+    asked, within = [], line_dedup.within
+
+    def counted(pairs, texts, n_pairs, *rest):
+        asked.append(pairs.count())
+        return within(pairs, texts, n_pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", 1000)  # so that all lines that share a segment meet
+    monkeypatch.setattr(line_dedup, "within", counted)
+    found = line_dedup.dedup_lines(spark, spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.row.doc_id for r in found if r.n_near} == {60}
+    assert sum(asked) <= 60  # not the 1,830 pairs that share the start
