@@ -8,6 +8,8 @@ doesn't cover are cut more carefully or encoded whole, so the ids are always tho
 
 from __future__ import annotations
 
+import codecs
+import operator
 import os
 import re
 import unicodedata
@@ -25,6 +27,8 @@ _PRIVATE = re.compile("[\ue000-\uefff]")
 _RUNS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Entries that a worker remembers before it starts again, and characters of the longest piece that it remembers.
 MEMO_ENTRIES, MEMO_CHARS = 1_000_000, 64
+#: Pieces of at most so many characters come again most often: a worker that starts again keeps them, unless they fill half of its memory.
+RECURRING_CHARS = 7
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,12 +38,27 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+_ID = operator.attrgetter("id")
 _LETTERS = _byte_letters()
+_LETTER_TABLE = "".join(_LETTERS[b] for b in range(256))
+
+
+def _as_letters(word: str) -> str:
+    """The characters that byte-level models write for the bytes of `word`."""
+    return codecs.charmap_decode(word.encode(), "strict", _LETTER_TABLE)[0]
 
 
 def _plain_word(word: str) -> bool:
     """Only letters of the Latin blocks, which every version of Unicode takes for letters and NFC leaves as they are."""
-    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+    return word.isalpha() and (_latin_1(word) or (max(word) < "\u0250" and "\u0130" not in word))
+
+
+def _latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def _open_ended(piece: str) -> bool:
@@ -75,7 +94,7 @@ class PieceEncoder:
         # the id that holds the mark's first byte (EE): no text without private-use characters has it
         self.mark_at = next(k for k, i in enumerate(self.mark_ids) if "î" in (self.tokenizer.id_to_token(i) or ""))
         self.words = _Memo(self._plain)
-        self.memo = _Memo(self._learn)
+        self.memo = _Memo(self._learn if spaced else self._learn_alone)
         self.waiting: list = []
 
     def _one(self, text: str) -> list[int]:
@@ -90,13 +109,13 @@ class PieceEncoder:
         if not letters.isascii():
             if not _plain_word(letters):
                 return None
-            word = word.encode().decode("latin-1").translate(_LETTERS)
+            word = _as_letters(word)
         elif not letters.isalpha():
             return None
         elif letters is not word:
             word = _LETTERS[32] + letters
         ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        (self.words if self.spaced else self.memo)[key] = ids
+        self.words[key] = ids
         return ids
 
     def _word(self, piece: str) -> bytes | None:
@@ -106,22 +125,32 @@ class PieceEncoder:
             before, word = self.signs["\n"], word[1:]
         if word[-1:] in (".", ","):
             after, word = self.signs[word[-1]], word[:-1]
-        if not self.spaced:
-            word = word.lower()
-            ids = self._alone(word)
-        else:
-            ids = self.words[word if before else " " + word]
+        ids = self.words[word if before else " " + word]
         return None if ids is None else before + ids + after
 
-    def _alone(self, word: str) -> bytes | None:
-        """Ids of a lower-case plain word where spaces are dropped: such a word is also a piece, so it is remembered as one and not a second time."""
-        if not (word.isalpha() if word.isascii() else word and _plain_word(word)):
-            return None
+    def _learn_alone(self, piece: str) -> bytes:
+        """As _learn, where spaces are dropped: most pieces that are new to a worker are plain words, perhaps before a comma or full stop, so these take
+        the shortest way. The lower-case word is also a piece, so it is remembered as one and not a second time."""
+        word, after = piece, None
+        if piece[-1:] in (",", "."):
+            word, after = piece[:-1], self.signs[piece[-1]]
+        word = word.lower()
+        if len(piece) > MEMO_CHARS or not (word.isalpha() if word.isascii() else _plain_word(word)):
+            self.waiting.append(piece)
+            return b""
         ids = self.memo.get(word)
-        return self._plain(word) if ids is None else ids
+        if ids is None:
+            tokens = self.model.tokenize(word if word.isascii() else _as_letters(word))
+            ids = self.memo[word] = array("I", map(_ID, tokens)).tobytes()
+        if after is not None:
+            ids += after
+        self.memo[piece] = ids
+        return ids
 
     def _pieces(self, text: str) -> list:
         if not self.spaced:
+            if _latin_1(text):
+                text = text.lower()  # these characters are lower-cased one for one, as the tokenizer does, so words with and without capitals are one piece
             return text.replace("\n", " ").split(" ")
         parts: list = text.replace("\n", " \n").split(" ")
         parts[0] = (parts[0],)  # a tuple: without a space before it
@@ -180,8 +209,11 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
         if len(self.memo) + len(self.words) > self.entries:
-            self.memo.clear()
-            self.words.clear()
+            for memo in (self.memo, self.words):
+                kept = {p: ids for p, ids in memo.items() if isinstance(p, str) and len(p) <= RECURRING_CHARS}
+                memo.clear()
+                if len(kept) <= self.entries // 2:
+                    memo.update(kept)
         out, again = [], []
         for k, text in enumerate(texts):
             out.append(self._joined(text or ""))

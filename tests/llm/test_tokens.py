@@ -159,3 +159,19 @@ def test_words_are_remembered_once_where_spaces_are_dropped():
     text = "Lorem lorem ipsum, ipsum. Käse käse,\nlorem. c3po c3po, -- --, ǅ ǆ. İx ix,"
     assert enc.encode([text, text])[1] == np.array(enc._one(text), dtype="<u4").tobytes()
     assert not enc.words and {"lorem", "ipsum", "käse"} <= set(enc.memo)
+
+
+def test_new_words_are_learned_once_whatever_their_capitals():
+    enc = tokens.PieceEncoder(tokens.public_path("word_bpe_49k.json"), spaced=False)
+    texts = ["Straßenzug straßenzug STRASSENZUG, Zug. zUG", "Σίγμας ΣΊΓΜΑΣ İz Kelvin K 'S it'S $$$, Ꭰ ª.", None]
+    want = [np.array(enc.tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert enc.encode(texts) == want
+    assert "straßenzug" in enc.memo and "Straßenzug" not in enc.memo
+    enc.entries = 4
+    assert enc.encode(texts[:1]) == want[:1]  # starts again
+    enc.entries = 2 * len(enc.memo)
+    assert enc.encode(texts) == want
+    enc.entries = len(enc.memo) - 1
+    learned = dict(enc.memo)
+    enc.encode([""])
+    assert enc.memo["zug"] == learned["zug"] and "straßenzug" not in enc.memo  # short pieces stay
