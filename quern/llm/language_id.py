@@ -107,8 +107,10 @@ def _frequencies(batches):
 def _counted(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            counts = counts_of(batch.column("text").slice(at, 256)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(at, 256), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "counts"])
+            counts = counts_of(batch.column("text").slice(at, 256))
+            used = [np.flatnonzero(c) for c in counts]
+            buckets = pa.array([u.astype("<u2").tobytes() for u in used], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(at, 256), buckets, pa.array([c[u].tobytes() for c, u in zip(counts, used, strict=True)], pa.binary())], names=["lang", "buckets", "counts"])
 
 
 def _cut_scores(model: Model):
@@ -142,9 +144,15 @@ def fit(labelled: DataFrame) -> Model:
     spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(int((1 << 30) * min(1, SAMPLE / c)))) for lang, c in sizes.items()))
     chosen = rows.where(spread < share).select("lang", "text")
-    sample = chosen.mapInArrow(_counted, "lang string, counts binary").toArrow()
+    sample = chosen.mapInArrow(_counted, "lang string, buckets binary, counts binary").toArrow()  # buckets that a text has: most have few
     lang = np.array(sample["lang"].to_pylist())
-    x = vectors(np.frombuffer(b"".join(sample["counts"].to_pylist()), dtype=np.float32).reshape(-1, BUCKETS), idf)
+    x = np.zeros((len(lang), BUCKETS), np.float32)
+    for row, buckets, counts in zip(x, sample["buckets"], sample["counts"], strict=True):
+        row[np.frombuffer(buckets.as_buffer(), dtype="<u2")] = np.frombuffer(counts.as_buffer(), dtype=np.float32)
+    del sample
+    np.log1p(x, out=x)  # as vectors() does, in place: the driver has little memory
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     names, centres = [], []
     for name in sorted(set(lang)):
         found = _clusters(x[lang == name], CENTROIDS)

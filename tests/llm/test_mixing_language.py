@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,14 @@ def test_predictions_equal_a_plain_version(spark, data):
         assert near.max() - max(n for n, lang in zip(near, model.languages, strict=True) if lang == r.lang_pred) < 1e-5
         least = np.interp(np.log(max(sum(held.values()) / 3, 1)), np.log(language_id.CUTS), model.reject_below)
         assert r.rejected == (r.score < least) or abs(r.score - least) < 1e-4
+
+
+def test_only_buckets_that_a_text_has_leave_a_task():
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "en"], "text": [b"a few words", b""]})
+    (found,) = language_id._counted(iter([batch]))
+    counts = language_id.counts_of(batch.column("text"))
+    for row, want in zip(found.to_pylist(), counts, strict=True):
+        got = np.zeros(language_id.BUCKETS, np.float32)
+        got[np.frombuffer(row["buckets"], "<u2")] = np.frombuffer(row["counts"], np.float32)
+        assert (got == want).all()
+    assert found.nbytes < language_id.BUCKETS  # 16 KB a text before
