@@ -12,12 +12,14 @@ import codecs
 import operator
 import os
 import re
+import string
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from quern.llm import workers
 
@@ -40,7 +42,7 @@ def _byte_letters() -> dict[int, str]:
 
 _ID = operator.attrgetter("id")
 _LETTERS = _byte_letters()
-_LETTER_TABLE = "".join(_LETTERS[b] for b in range(256))
+_LETTER_TABLE, _SPACE = "".join(_LETTERS[b] for b in range(256)), _LETTERS[32]
 
 
 def _as_letters(word: str) -> str:
@@ -89,11 +91,11 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         self.model = self.tokenizer.model
-        self.signs = {c: self._bytes(c) for c in ".,\n"}
+        self.signs = _Memo(self._sign)
         self.mark_ids = self._one(" " + MARK)
         # the id that holds the mark's first byte (EE): no text without private-use characters has it
         self.mark_at = next(k for k, i in enumerate(self.mark_ids) if "î" in (self.tokenizer.id_to_token(i) or ""))
-        self.words = _Memo(self._plain)
+        self.words: dict = {}  # plain words without a space before them, where the tokenizer keeps that
         self.memo = _Memo(self._learn if spaced else self._learn_alone)
         self.waiting: list = []
 
@@ -103,31 +105,10 @@ class PieceEncoder:
     def _bytes(self, text: str) -> bytes:
         return np.array(self._one(text), dtype="<u4").tobytes()
 
-    def _plain(self, word: str) -> bytes | None:
-        """Ids of a word that is plain, by the model alone; None for others. A space stands before it if the tokenizer keeps that."""
-        key, letters = word, word[1:] if word[:1] == " " else word
-        if not letters.isascii():
-            if not _plain_word(letters):
-                return None
-            word = _as_letters(word)
-        elif not letters.isalpha():
-            return None
-        elif letters is not word:
-            word = _LETTERS[32] + letters
-        ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        self.words[key] = ids
+    def _sign(self, signs: str) -> bytes:
+        ids = self.signs[signs] = self._bytes(signs)
         return ids
 
-    def _word(self, piece: str) -> bytes | None:
-        """Ids of a plain word, perhaps after a line break and before a comma or full stop; None for other pieces."""
-        before, word, after = b"", piece, b""
-        if word[0] == "\n":
-            before, word = self.signs["\n"], word[1:]
-        if word[-1:] in (".", ","):
-            after, word = self.signs[word[-1]], word[:-1]
-        ids = self.words[word if before else " " + word]
-        return None if ids is None else before + ids + after
-
     def _learn_alone(self, piece: str) -> bytes:
         """As _learn, where spaces are dropped: most pieces that are new to a worker are plain words, perhaps before a comma or full stop, so these take
         the shortest way. The lower-case word is also a piece, so it is remembered as one and not a second time."""
@@ -148,19 +129,26 @@ class PieceEncoder:
         return ids
 
     def _pieces(self, text: str) -> list:
-        if not self.spaced:
-            if _latin_1(text):
-                text = text.lower()  # these characters are lower-cased one for one, as the tokenizer does, so words with and without capitals are one piece
-            return text.replace("\n", " ").split(" ")
-        parts: list = text.replace("\n", " \n").split(" ")
-        parts[0] = (parts[0],)  # a tuple: without a space before it
-        return parts
+        if _latin_1(text):
+            text = text.lower()  # these characters are lower-cased one for one, as the tokenizer does, so words with and without capitals are one piece
+        return text.replace("\n", " ").split(" ")
 
     def _learn(self, piece) -> bytes:
-        """Ids of a plain word; other pieces wait until they are encoded together and stand for nothing until then."""
-        if len(piece) <= MEMO_CHARS and isinstance(piece, str) and piece and (ids := self._word(piece)) is not None:
-            self.memo[piece] = ids
-            return ids
+        """Ids of a plain word, perhaps after a line break and before signs of ASCII, which the tokenizer cuts off as one; other pieces wait until they are
+        encoded together and stand for nothing until then. A word is remembered as the piece that it is without signs."""
+        if isinstance(piece, str) and len(piece) <= MEMO_CHARS:
+            word, known, space, before = piece.rstrip(string.punctuation), self.memo, _SPACE, b""
+            after = piece[len(word) :]
+            if word[:1] == "\n":
+                word, known, space, before = word[1:], self.words, "", self.signs["\n"]
+            if word.isalpha() if word.isascii() else _plain_word(word):
+                ids = known.get(word)
+                if ids is None:
+                    tokens = self.model.tokenize(space + (word if word.isascii() else _as_letters(word)))
+                    ids = known[word] = array("I", map(_ID, tokens)).tobytes()
+                if before or after:
+                    ids = self.memo[piece] = before + ids + (self.signs[after] if after else b"")
+                return ids
         self.waiting.append(piece)
         return b""
 
@@ -206,14 +194,18 @@ class PieceEncoder:
             known[r] = np.array(one.ids, dtype="<u4").tobytes()
         return b"".join(map(known.__getitem__, runs))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
-        if len(self.memo) + len(self.words) > self.entries:
-            for memo in (self.memo, self.words):
+        if len(self.memo) + len(self.words) + len(self.signs) > self.entries:
+            for memo in (self.memo, self.words, self.signs):
                 kept = {p: ids for p, ids in memo.items() if isinstance(p, str) and len(p) <= RECURRING_CHARS}
                 memo.clear()
                 if len(kept) <= self.entries // 2:
                     memo.update(kept)
+        if self.spaced:
+            return self._gathered(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        if isinstance(texts, pa.Array):
+            texts = texts.to_pylist()
         out, again = [], []
         for k, text in enumerate(texts):
             out.append(self._joined(text or ""))
@@ -227,11 +219,43 @@ class PieceEncoder:
                 del self.memo[p]
         return out
 
+    def _gathered(self, texts: pa.Array) -> list[bytes]:
+        """Where spaces are kept: Arrow cuts the texts and finds their distinct pieces, each is looked up once, and their ids are taken by position."""
+        pieces = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " \n"), " ")
+        ends = np.cumsum(pc.list_value_length(pieces).to_numpy(), dtype=np.int64)
+        heads = np.concatenate([[0], ends])[:-1]
+        coded = pieces.flatten().dictionary_encode()
+        known, at = len(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
+        at[heads] += known  # the first piece of a text has no space before it: another key
+        used = np.flatnonzero(np.bincount(at, minlength=2 * known))
+        spaced = int(np.searchsorted(used, known))
+        keys: list = coded.dictionary.take(pa.array(used % max(known, 1))).to_numpy(zero_copy_only=False).tolist()
+        keys[spaced:] = [(p,) for p in keys[spaced:]]  # a tuple: without a space before it
+        found = list(map(self.memo.__getitem__, keys))
+        if self.waiting:
+            passing = self._learn_waiting()
+            for k in [k for k, ids in enumerate(found) if not ids]:
+                found[k] = self.memo[keys[k]]
+            for p in passing:
+                del self.memo[p]
+        open_ended = [k for k, ids in enumerate(found) if ids is None]
+        for k in open_ended:
+            found[k] = b""
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+        rank = np.zeros(2 * known, dtype=np.int64)
+        rank[used] = np.arange(len(used))
+        at = rank[at]
+        lists = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(found), dtype="<u4")))
+        raw = memoryview(np.ascontiguousarray(lists.take(pa.array(at)).flatten().to_numpy())).cast("B")
+        stops = 4 * np.concatenate([[0], np.cumsum(np.diff(bounds)[at])])
+        out = [raw[a:b].tobytes() for a, b in zip(stops[heads].tolist(), stops[ends].tolist(), strict=True)]
+        if open_ended:
+            for k in np.unique(np.searchsorted(ends, np.flatnonzero(np.isin(at, open_ended)), "right")).tolist():
+                out[k] = self._carefully(texts[k].as_py() or "")
+        return out
+
     def _joined(self, text: str) -> bytes:
-        try:
-            return b"".join(map(self.memo.__getitem__, self._pieces(text)))
-        except TypeError:  # a piece that is marked as open-ended
-            return self._carefully(text)
+        return b"".join(map(self.memo.__getitem__, self._pieces(text)))
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
@@ -252,8 +276,8 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Characters of text that a worker splits at a time.
-SLICE_CHARS = 2_000_000
+#: Bytes of text that a worker splits at a time: in Python, and in Arrow where spaces are kept.
+SLICE_CHARS, SPACED_SLICE_CHARS = 2_000_000, 4_000_000
 
 
 def encoded_slices(batches: Iterator[pa.RecordBatch], name: str, spaced: bool, text: str = "text", entries: int = MEMO_ENTRIES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -267,8 +291,8 @@ def encoded_slices(batches: Iterator[pa.RecordBatch], name: str, spaced: bool, t
         sizes = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]) if len(column) else np.zeros(0)
         at = 0
         while at < len(column):
-            end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE_CHARS)))
+            end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SPACED_SLICE_CHARS if spaced else SLICE_CHARS)))
             part = batch.slice(at, end - at)
-            yield part, enc.encode(column.slice(at, end - at).to_pylist())
+            yield part, enc.encode(column.slice(at, end - at))
             at = end
 

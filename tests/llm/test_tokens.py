@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -175,3 +176,32 @@ def test_new_words_are_learned_once_whatever_their_capitals():
     learned = dict(enc.memo)
     enc.encode([""])
     assert enc.memo["zug"] == learned["zug"] and "straßenzug" not in enc.memo  # short pieces stay
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["the", "Käse", "ſt", "s", "1", "$$$", ",%%%", "'", "'s", ".###", "!!", " ", "\n", "\t", "<|endoftext|>", "\ue000", "_", "…", "x" * 70]), max_size=20).map("".join)), max_size=5), entries=st.sampled_from([0, 5, 1000]))
+def test_ids_of_words_before_signs_are_those_of_the_library(texts, entries):
+    name = "byte_bpe_50k.json"
+    enc = tokens.encoder(public_path(name), True)
+    enc.entries = entries
+    want = [library(name, t) for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == want
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(pa.array(["cut off", *texts], pa.large_string()).slice(1))] == want
+
+
+def test_distinct_pieces_are_looked_up_once_where_spaces_are_kept():
+    enc = PieceEncoder(public_path("byte_bpe_50k.json"), spaced=True)
+    asked, waited, wait = Counter(), [], enc._learn_waiting
+
+    class Asked(tokens._Memo):
+        def __getitem__(self, piece):
+            asked[piece] += 1
+            return super().__getitem__(piece)
+
+    enc.memo = Asked(enc._learn)
+    enc._learn_waiting = lambda: waited.extend(enc.waiting) or wait()
+    text = "\nLorem ipsum ipsum, lorem###\nIpsum,%%% Käse!! käse" * 50
+    assert enc.encode([text, text]) == [np.array(enc._one(text), dtype="<u4").tobytes()] * 2
+    assert asked and max(asked[p] for p in asked if p not in waited) == 1
+    assert set(waited) <= {("",)}  # words before signs need not wait
+    assert set(enc.words) == {"Lorem", "Ipsum"} and "ipsum" in enc.memo  # a word after a space is remembered once
