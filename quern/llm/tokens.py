@@ -225,11 +225,12 @@ class PieceEncoder:
         ends = np.cumsum(pc.list_value_length(pieces).to_numpy(), dtype=np.int64)
         heads = np.concatenate([[0], ends])[:-1]
         coded = pieces.flatten().dictionary_encode()
-        known, at = len(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
+        known, at = len(coded.dictionary), coded.indices.to_numpy().copy()
         at[heads] += known  # the first piece of a text has no space before it: another key
         used = np.flatnonzero(np.bincount(at, minlength=2 * known))
         spaced = int(np.searchsorted(used, known))
         keys: list = coded.dictionary.take(pa.array(used % max(known, 1))).to_numpy(zero_copy_only=False).tolist()
+        del pieces, coded  # these hold a slice's whole text; ids come next
         keys[spaced:] = [(p,) for p in keys[spaced:]]  # a tuple: without a space before it
         found = list(map(self.memo.__getitem__, keys))
         if self.waiting:
@@ -242,13 +243,15 @@ class PieceEncoder:
         for k in open_ended:
             found[k] = b""
         bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
-        rank = np.zeros(2 * known, dtype=np.int64)
+        rank = np.zeros(2 * known, dtype=np.int32)
         rank[used] = np.arange(len(used))
         at = rank[at]
+        stops = np.concatenate([[0], np.cumsum(np.diff(bounds)[at])])
+        heads, stops = 4 * stops[heads], 4 * stops[ends]
         lists = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(found), dtype="<u4")))
+        del found, keys
         raw = memoryview(np.ascontiguousarray(lists.take(pa.array(at)).flatten().to_numpy())).cast("B")
-        stops = 4 * np.concatenate([[0], np.cumsum(np.diff(bounds)[at])])
-        out = [raw[a:b].tobytes() for a, b in zip(stops[heads].tolist(), stops[ends].tolist(), strict=True)]
+        out = [raw[a:b].tobytes() for a, b in zip(heads.tolist(), stops.tolist(), strict=True)]
         if open_ended:
             for k in np.unique(np.searchsorted(ends, np.flatnonzero(np.isin(at, open_ended)), "right")).tolist():
                 out[k] = self._carefully(texts[k].as_py() or "")
