@@ -161,6 +161,18 @@ def under_keys(rows: DataFrame, t: int, keep: list[str]) -> DataFrame:
     return put.select(*keep, "rest", "role", (F.col("whole") - F.col("size")).alias("m"), "start", "size", key.alias("key"), earlier.alias("earlier"))
 
 
+def segment_keys(line: Column, t: int) -> Column:
+    """The keys that `under_keys` gives a whole text, as an array in the order of `places`; null where a segment would stand outside."""
+
+    def key(shorter, i, move):
+        whole = F.length(line) - F.lit(shorter)
+        begin, end = F.floor(whole * i / (t + 1)).cast("int"), F.floor(whole * (i + 1) / (t + 1)).cast("int")
+        inside = (begin + move >= 0) & (end + move <= F.length(line))
+        return F.when(inside, F.xxhash64(F.lit(0).cast("long"), whole, F.lit(i), F.substring(line, begin + move + 1, end - begin)))
+
+    return F.array(*(key(*place) for place in places(t)))
+
+
 def without_cut() -> Column:
     """The rest of a text without the segment that its key names."""
     return F.concat(F.substring("rest", F.lit(1), F.col("start")), F.substring("rest", F.col("start") + F.col("size") + 1, F.length("rest")))
@@ -240,16 +252,33 @@ def known_lines(work: Workspace, members: DataFrame) -> tuple[DataFrame, DataFra
     return known_lines(work, work.table(told, "members"))
 
 
-def near_lines(work: Workspace, lines: DataFrame, t: int) -> DataFrame:
-    """at, id of the `lines` (at, line; all different) within t edits of an earlier one.
+def lines_under_live_keys(work: Workspace, lines: DataFrame, gone: DataFrame, t: int) -> tuple[DataFrame, DataFrame, int]:
+    """The `lines` (at, line), but for those at a gone_at of `gone`, that can meet others, with id, and the live keys with their number.
+
+    Rows of every line are many and its texts long, so until it is known which lines can meet any, only ids and hashes of segments are shuffled.
+    """
+    told = lines.withColumn("id", line_hash(F.col("line")))
+    hashed = work.table(told.select("at", "id", segment_keys(F.col("line"), t).alias("keys")).join(gone, F.col("at") == F.col("gone_at"), "left_anti").select("id", "keys"), "hashed")
+    entered = [k for k, (shorter, _, move) in enumerate(places(t)) if not shorter and not move]
+    entries = hashed.select("id", F.posexplode("keys").alias("place", "key")).where(F.col("key").isNotNull())
+    live = work.table(live_keys(entries.select("key", F.when(F.col("place").isin(entered), 0).otherwise(1).alias("role"))), "live")
+    n_live = live.count()
+    ids = work.table(entries.select("id", "key").join(small(live, n_live, BROADCAST_LINES), F.col("key") == F.col("live"), "left_semi").select(F.col("id").alias("live_id")).distinct(), "ids")
+    work.drop(hashed)
+    meeting = told.join(small(ids, ids.count(), BROADCAST_LINES), F.col("id") == F.col("live_id"), "left_semi")
+    return meeting.join(gone, F.col("at") == F.col("gone_at"), "left_anti"), live, n_live
+
+
+def near_lines(work: Workspace, lines: DataFrame, gone: DataFrame, t: int) -> DataFrame:
+    """at, id of the `lines` (at, line; all different but for those at a gone_at of `gone`, which don't count) within t edits of an earlier one.
 
     Lines meet under the keys of their segments. A key that many share is divided, first by how often letters occur in its lines, of which t edits leave some groups alone. If many still
     share a key, what agrees is taken out, the t edits lie in the rest, and the rest is cut into segments again, and so on until few lines share a key. Before that, each line of such a key is compared with the earliest one; keys whose lines have all found an earlier partner are done.
     """
-    whole = lines.select("at", F.col("line").alias("rest"), F.lit(0).cast("long").alias("path"), F.lit(0).alias("role"))
-    live = work.table(live_keys(under_keys(whole, t, [])), "live")
-    found = under_keys(whole, t, ["at"]).join(small(live, live.count()), F.col("key") == F.col("live"))
-    members = work.table(found.select("at", line_hash(F.col("rest")).alias("id"), "key", "role", "m", "pairs", "rest", "start", "size", _met(None, t).alias("met")), "members")
+    lines, live, n_live = lines_under_live_keys(work, lines, gone, t)
+    whole = lines.select("at", "id", F.col("line").alias("rest"), F.lit(0).cast("long").alias("path"), F.lit(0).alias("role"))
+    found = under_keys(whole, t, ["at", "id"]).join(small(live, n_live, BROADCAST_LINES), F.col("key") == F.col("live"))
+    members = work.table(found.select("at", "id", "key", "role", "m", "pairs", "rest", "start", "size", _met(None, t).alias("met")), "members")
     members, texts = known_lines(work, members)
     n_texts = texts.count()
     pairs, gone, counted = [pairs_under(members.where(F.col("pairs") <= FEW_PAIRS), texts, n_texts, t)], [], False
@@ -316,8 +345,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD
     lines, take time in proportion. Other columns stay in `row` under any name. An empty table gives none.
     """
     work = Workspace(spark, "lines")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.struct(row_key(F.col("doc_id"), F.col("text")).alias("id"), F.xxhash64("text").alias("th")).alias("doc_key"), F.col("text"))
-    told = keyed.select("doc_key", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).where(F.trim("line") != "")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.struct(row_key(F.col("doc_id"), F.col("text")).alias("id"), F.xxhash64("text").alias("th")).alias("doc_key"))
+    text = F.col("row.text")
+    told = keyed.select("doc_key", F.posexplode(lines_of(text)).alias("pos", "line")).where(F.trim("line") != "")
     hashes = told.select("doc_key", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
     occurrences = work.table(hashes, "occurrences")
     place = F.struct("doc_key", "pos")
@@ -325,18 +355,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD
     copies = occurrences.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(place != F.col("first")).select("doc_key", "pos")
     copies = work.table(copies.distinct(), "copies")
     n_exact = copies.count()
-    gone = small(copies.toDF("gone_key", "gone_pos"), n_exact, BROADCAST_LINES)
-    first = told.where(F.length("line") >= max(least_chars, threshold + 1)).join(gone, (F.col("doc_key") == F.col("gone_key")) & (F.col("pos") == F.col("gone_pos")), "left_anti")
-    lines = first.select(F.struct("doc_key", "pos").alias("at"), "line")
-    near = near_lines(work, lines, threshold).select("at.doc_key", "at.pos")
+    work.drop(occurrences)
+    gone = small(copies.select(place.alias("gone_at")), n_exact, BROADCAST_LINES)
+    lines = told.where(F.length("line") >= max(least_chars, threshold + 1)).select(place.alias("at"), "line")
+    near = near_lines(work, lines, gone, threshold).select("at.doc_key", "at.pos")
     near = work.table(near, "near")
     side = lambda lines, n, name: small(_removal(lines, name).withColumnRenamed("doc_key", f"{name}_key"), n, BROADCAST_LINES)
     out = keyed.join(side(copies, n_exact, "exact"), F.col("doc_key") == F.col("exact_key"), "left").join(side(near, near.count(), "near"), F.col("doc_key") == F.col("near_key"), "left")
     none = F.array().cast("array<int>")
     gone = F.array_sort(F.concat(F.coalesce("exact", none), F.coalesce("near", none)))
-    cleaned = F.when(F.col("exact").isNotNull() | F.col("near").isNotNull(), F.array_join(kept_lines(F.col("text"), gone), "\n")).otherwise(F.col("text"))
+    cleaned = F.when(F.col("exact").isNotNull() | F.col("near").isNotNull(), F.array_join(kept_lines(text, gone), "\n")).otherwise(text)
     size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
-    return out.select("row", cleaned.alias("cleaned"), F.coalesce(_line_count(F.col("text")), F.lit(0)).alias("n_lines"), size("exact").alias("n_exact"), size("near").alias("n_near"))
+    return out.select("row", cleaned.alias("cleaned"), F.coalesce(_line_count(text), F.lit(0)).alias("n_lines"), size("exact").alias("n_exact"), size("near").alias("n_near"))
 
 
 def _line_count(text: Column) -> Column:
