@@ -49,7 +49,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), False
     for name, stage in STAGES:
-        docs = work.table(stage(spark, docs, sf_dir), name)
+        done = work.table(stage(spark, docs, sf_dir), name)
+        if written:  # the next stage has all that it needs of it
+            work.drop(docs)
+        docs, written = done, True
     return docs
